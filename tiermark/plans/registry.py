@@ -1,4 +1,4 @@
 """Registered queries and their SQL."""
 
-QUERIES: dict = {}
-ORACLE_SQL: dict = {}
+from tiermark.plans.oracles import ORACLE_SQL  # noqa: F401
+from tiermark.plans.queries import QUERIES  # noqa: F401
