@@ -72,7 +72,10 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def ship(spark: SparkSession) -> None:
-    """Send this package to the executors, once a context, for callers whose workers don't find it by themselves."""
+    """Send this package to the executors, once a context, for callers whose workers don't find it by themselves; and where
+    Arrow batches have Spark's default of 10,000 rows, which may be whole long texts, make them 1,000."""
+    if spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch") == "10000":
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "1000")
     sc, name = spark.sparkContext, "tiermark.zip"
     if not any(f.endswith("/" + name) for f in sc.listFiles):
         folder = tempfile.mkdtemp(prefix="spark-", dir="/tmp")

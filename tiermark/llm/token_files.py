@@ -10,6 +10,7 @@ from __future__ import annotations
 
 import re
 import zlib
+from array import array
 from collections.abc import Iterator
 
 import numpy as np
@@ -105,55 +106,71 @@ class TokenFile:
         return self.ids[self.ends[k - 1] if k else 0 : self.ends[k]]
 
 
-class WordCache:
+class WordCache(dict):
     """Ids of a whole text by way of its words, with a bounded cache of words already encoded.
 
     The tokenizer drops white space and never joins what it separates, so a text may be cut at blanks, tabs and line ends;
-    nor does it join a letter and a full stop or comma, so a blank may go between.  ASCII texts may be lower-cased first.  Texts
-    with the start of a special token are encoded whole.
+    nor does it join a letter and a full stop or comma, so a blank may go between.  Texts of Latin-1 characters may be
+    lower-cased first.  Words of such letters alone need no normalizer and no cutting: the library's model reads their bytes
+    in its alphabet.  Everything else goes through the library's whole path; texts with a special token are encoded whole.
+    `cuts` says whether probes confirm all that for the tokenizer at hand; if not, every text is encoded whole.
     """
 
-    _STOP = re.compile(r"(?<=[A-Za-zÀ-ÖØ-öø-ÿ])(?=[.,])")
+    _LETTERS = "A-Za-zÀ-ÖØ-öø-ÿ"
+    _OTHER_STOP = re.compile(f"[.,](?<![{_LETTERS}][.,])")  # one that follows no letter
+    _STOP = re.compile(f"(?<=[{_LETTERS}])(?=[.,])")
+    _LATIN = re.compile(f"[{_LETTERS}]+")
 
-    def __init__(self, path: str, most: int = 400_000):
+    def __init__(self, path: str, most: int = 200_000):
         from tokenizers import Tokenizer
 
-        self.tokenizer, self.most, self.cache = Tokenizer.from_file(path), most, {}
+        super().__init__()
+        self.tokenizer, self.most = Tokenizer.from_file(path), most
         self.width = 2 if self.tokenizer.get_vocab_size() <= 1 << 16 else 4
-        self.kind = f"<u{self.width}"
+        self.kind, self.code = f"<u{self.width}", "H" if self.width == 2 else "I"  # as little-endian machines have them
         specials = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
         self.special = re.compile("|".join(re.escape(s) for s in specials), re.I) if specials else None
-        probe = ["Ab. c,d\n\te", "über, Ärger.\n", "x.. ,y a.b"]
-        self.cuts = all(self._whole(p) == b"".join(map(self._whole, self._words(p))) for p in probe)
+        # the byte alphabet: printable bytes are themselves, the others follow from 256 on
+        shown = [*range(33, 127), *range(161, 173), *range(174, 256)]
+        self.alphabet = {b: b for b in shown} | {b: 256 + k for k, b in enumerate(b for b in range(256) if b not in shown)}
+        probe = ["Ab. c,d\n\te", "über, Ärger.\n", "x.. ,y a.b", "ÿÞorn ªº µ ß"]
+        self.cuts = True
+        self.cuts = all(self._whole(p) == self.encode(p) for p in probe)
+        self.clear()
 
     def _whole(self, text: str) -> bytes:
-        return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, dtype=self.kind).tobytes()
+        return array(self.code, self.tokenizer.encode(text, add_special_tokens=False).ids).tobytes()
 
     def _words(self, text: str) -> list[str]:
-        text = self._STOP.sub(" ", text.lower() if text.isascii() else text)
+        if text.isascii() or max(text) < "\u0100":
+            text = text.lower()
+        if self._OTHER_STOP.search(text):
+            text = self._STOP.sub(" ", text)
+        else:
+            text = text.replace(".", " .").replace(",", " ,")
         return text.replace("\n", " ").replace("\t", " ").replace("\r", " ").split(" ")
 
-    def encode(self, texts: list[str]) -> list[bytes]:
-        whole = [not self.cuts or bool(self.special and self.special.search(t)) for t in texts]
-        split = [[] if w else self._words(t) for t, w in zip(texts, whole)]
-        seen = set().union(*split)
-        new = seen - self.cache.keys()
-        if len(self.cache) + len(new) > self.most:
-            self.cache.clear()
-            new = seen
-        plain = [w for w in new if w.isascii() and w.isalpha() and w.islower()]
-        for w in plain:  # the model alone: there is nothing to normalise or to cut
-            self.cache[w] = np.array([t.id for t in self.tokenizer.model.tokenize(w)], dtype=self.kind).tobytes()
-        rest = [w for w in new if w not in self.cache]
-        for w, e in zip(rest, self.tokenizer.encode_batch_fast(rest, add_special_tokens=False)):
-            self.cache[w] = np.array(e.ids, dtype=self.kind).tobytes()
-        return [self._whole(t) if w else b"".join(map(self.cache.__getitem__, s)) for t, w, s in zip(texts, whole, split)]
+    def __missing__(self, word: str) -> bytes:
+        if self._LATIN.fullmatch(word):
+            shown = word.lower() if word.isascii() else word.lower().encode().decode("latin-1").translate(self.alphabet)
+            ids = [t.id for t in self.tokenizer.model.tokenize(shown)]
+        else:
+            ids = self.tokenizer.encode(word, add_special_tokens=False).ids
+        found = self[word] = array(self.code, ids).tobytes()
+        return found
+
+    def encode(self, text: str) -> bytes:
+        if not self.cuts or self.special and self.special.search(text):
+            return self._whole(text)
+        if len(self) > self.most:
+            self.clear()
+        return b"".join(map(self.__getitem__, self._words(text)))
 
 
 _CACHES: dict[str, WordCache] = {}
 
 
-def write_token_files(docs: DataFrame, path: str, tokenizer: str, key: str = "doc_id", text: str = "text", end_id: int = 2, file_bytes: int = 16 << 20) -> None:
+def write_token_files(docs: DataFrame, path: str, tokenizer: str, key: str = "doc_id", text: str = "text", end_id: int = 2, file_bytes: int = 4 << 20) -> None:
     """Every whole text, with end_id at its end, in ascending order of key (nulls first, ties by text) over the files: shards are
     the ranges of one range shuffle, chunks the files of a shard, of about file_bytes each."""
     ordered = docs.select(F.col(key).cast("bigint").alias("id"), F.coalesce(F.col(text), F.lit("")).alias("t")).repartitionByRange("id").sortWithinPartitions("id", "t")
@@ -167,16 +184,15 @@ def write_token_files(docs: DataFrame, path: str, tokenizer: str, key: str = "do
             return pa.RecordBatch.from_arrays([pa.array([pack_file(shard, chunk, ids, lengths, b"".join(held), cache.width)], pa.binary())], names=["blob"])
 
         for batch in batches:
-            for start in range(0, batch.num_rows, 500):
-                part = batch.slice(start, 500)
-                for d, tokens in zip(part.column("id").to_pylist(), cache.encode(part.column("t").to_pylist())):
-                    ids.append(d)
-                    lengths.append(len(tokens) // cache.width + 1)
-                    held += (tokens, end)
-                    size += len(tokens) + len(end)
-                    if size >= file_bytes:
-                        yield file()
-                        ids, lengths, held, size, chunk = [], [], [], 0, chunk + 1
+            for d, t in zip(batch.column("id"), batch.column("t")):
+                tokens = cache.encode(t.as_py())
+                ids.append(d.as_py())
+                lengths.append(len(tokens) // cache.width + 1)
+                held += (tokens, end)
+                size += len(tokens) + len(end)
+                if size >= file_bytes:
+                    yield file()
+                    ids, lengths, held, size, chunk = [], [], [], 0, chunk + 1
         if ids:
             yield file()
 
