@@ -255,14 +255,15 @@ def test_licenses(spark):
 def test_toxicity(spark, odd, none):
     texts = [("you stupid idiot go away " * 3 if k % 4 == 0 else f"a fine day for a walk number {k} in the park") for k in range(200)]
     rows = [(k, t, int(k % 4 == 0)) for k, t in enumerate(texts)] + [(None, None, 1), (500, None, 0), (501, "x", None)]
-    model = toxicity.fit_toxicity(spark.createDataFrame(rows, "doc_id bigint, text string, toxic int"))
+    labelled = spark.createDataFrame(rows, "doc_id bigint, text string, toxic int")
+    model = toxicity.fit_toxicity(labelled, labelled)
     scores = {r["doc_id"]: r["s"] for r in odd.select("doc_id", toxicity.toxicity_score(odd, model).alias("s")).collect()}
     assert all(0 <= s <= 1 for s in scores.values()) and scores[0] == scores[1] == scores[2]
     unseen = spark.createDataFrame([(1, "what an idiiot you are so stupidd"), (2, "a walk in the park today")], "doc_id bigint, text string")
     got = {r["doc_id"]: r["s"] for r in unseen.select("doc_id", toxicity.toxicity_score(unseen, model).alias("s")).collect()}
     assert got[1] > 0.5 > got[2]
     assert none.select(toxicity.toxicity_score(none, model)).count() == 0
-    empty = toxicity.fit_toxicity(none.select("doc_id", "text", F.lit(1).alias("toxic")))
+    empty = toxicity.fit_toxicity(none, none.select("doc_id", F.lit(1).alias("toxic")))
     assert {r["s"] < 0.5 for r in odd.select(toxicity.toxicity_score(odd, empty).alias("s")).collect()} == {True}
     assert toxicity.train(["a b"], [1]).bias > 0
 

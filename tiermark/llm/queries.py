@@ -24,7 +24,7 @@ def held_out(key: str = "doc_id"):
 def toxicity_model(spark: SparkSession, docs: DataFrame, sf_dir: str) -> toxicity.ToxicityModel:
     """Trained on the labelled rows of docs outside the held-out fifth."""
     labels = table(spark, sf_dir, "labels").where(~held_out()).select("doc_id", "toxic")
-    return toxicity.fit_toxicity(docs.select("doc_id", "text").join(labels, "doc_id"))
+    return toxicity.fit_toxicity(docs, labels)
 
 
 def op1_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:

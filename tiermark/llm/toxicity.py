@@ -139,15 +139,22 @@ def train(texts: list[str], labels: list[int], class_weight: tuple[float, float]
     return model
 
 
-def fit_toxicity(labelled: DataFrame, text: str = "text", label: str = "toxic", key: str = "doc_id", max_rows: int = 2500, **settings) -> ToxicityModel:
-    """Train on at most `max_rows` rows of each class, those of the smallest hash of `key`; the classes are weighted back to
-    their shares among all rows of `labelled`.  Rows whose label is neither 0 nor 1 don't count; a null text is empty; no
-    rows, or one class alone, give a constant score."""
-    rows = labelled.where(F.col(label).isin(0, 1)).select(F.col(label).cast("int").alias("y"), F.xxhash64(F.col(key)).alias("h"), F.coalesce(F.col(text), F.lit("")).alias("t"))
+def fit_toxicity(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "text", label: str = "toxic", max_rows: int = 2500, **settings) -> ToxicityModel:
+    """Train on at most `max_rows` documents of each class, those of the smallest hash of `key`; the classes are weighted back
+    to their shares among all labelled documents.
+
+    The sample is chosen among keys and labels alone; only its texts are then read out of docs (a join with 2 * max_rows keys,
+    no text is shuffled for it).  Labels other than 0 and 1, and labels of no document, don't count; of repeated keys one row
+    does; a null text is empty; no rows, or one class alone, give a constant score.
+    """
+    known = labels.where(F.col(label).isin(0, 1) & F.col(key).isNotNull()).select(F.col(key).alias("k"), F.col(label).cast("int").alias("y")).dropDuplicates(["k"])
+    rows = known.join(docs.select(F.col(key).alias("k")), "k", "left_semi").withColumn("h", F.xxhash64("k"))
     total = {r["y"]: r["n"] for r in rows.groupBy("y").agg(F.count("*").alias("n")).collect()}
-    sample = [r for y in (0, 1) for r in rows.where(F.col("y") == y).orderBy("h", "t").limit(max_rows).collect()]
-    got = [sum(r["y"] == y for r in sample) for y in (0, 1)]
-    return train([r["t"] for r in sample], [r["y"] for r in sample], tuple(total.get(y, 0) / max(1, got[y]) for y in (0, 1)), **settings)
+    sample = rows.where("y = 0").orderBy("h", "k").limit(max_rows).unionByName(rows.where("y = 1").orderBy("h", "k").limit(max_rows))
+    texts = docs.select(F.col(key).alias("k"), F.coalesce(F.col(text), F.lit("")).alias("t")).join(F.broadcast(sample), "k").groupBy("k", "y", "h").agg(F.min("t").alias("t"))
+    got = sorted(texts.collect(), key=lambda r: (r["h"], r["k"]))
+    n = [sum(r["y"] == y for r in got) for y in (0, 1)]
+    return train([r["t"] for r in got], [r["y"] for r in got], tuple(total.get(y, 0) / max(1, n[y]) for y in (0, 1)), **settings)
 
 
 _CACHE: dict[str, float] = {}
