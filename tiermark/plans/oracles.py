@@ -206,7 +206,7 @@ _Q = {
     "subsample": "SELECT work_id, citations FROM papers",
     "fit_origin_h2": f"SELECT round(sum(x * h2) / sum(x * x), 6) AS slope, round(1 - (sum(h2 * h2) - sum(x * h2) / sum(x * x) * sum(x * h2)) / sum(h2 * h2), 6) AS r2, count(*) AS n FROM (SELECT h2, pow(author_count, 1 / {BETA_1}) AS x FROM h2 WHERE author_count >= 10)",
     "fit_origin_h3": f"SELECT round(sum(x * h3) / sum(x * x), 6) AS slope, round(1 - (sum(h3 * h3) - sum(x * h3) / sum(x * x) * sum(x * h3)) / sum(h3 * h3), 6) AS r2, count(*) AS n FROM (SELECT h3, pow(institution_count, 1 / {BETA_2}) AS x FROM h3 WHERE institution_count >= 2)",
-    "fit_ols_h3": "SELECT round(regr_slope(h3, sqrt(institution_count)), 6) AS slope, round(regr_intercept(h3, sqrt(institution_count)), 6) AS intercept, round(regr_r2(h3, sqrt(institution_count)), 6) AS r2, count(*) AS n FROM h3",
+    "fit_ols_h3": "SELECT nullif(round(regr_slope(h3, sqrt(institution_count)), 6), CAST('NaN' AS DOUBLE)) AS slope, round(regr_intercept(h3, sqrt(institution_count)), 6) AS intercept, round(regr_r2(h3, sqrt(institution_count)), 6) AS r2, count(*) AS n FROM h3",
     "choropleth_table": """SELECT n_name AS country_code, upper(n_name[1]) || lower(n_name[2:]) AS country_name, h3, institution_count, h3 IS NOT NULL AS has_data,
         round(CASE WHEN b > a THEN (ln(1 + h3) - a) / (b - a) WHEN h3 IS NOT NULL THEN 0.0 END, 6) AS normalized_log
         FROM nation LEFT JOIN (SELECT * FROM h3 WHERE institution_count >= 2) ON n_name = country_code, (SELECT min(ln(1 + h3)) AS a, max(ln(1 + h3)) AS b FROM h3 WHERE institution_count >= 2)""",
