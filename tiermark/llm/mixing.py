@@ -142,12 +142,13 @@ def mix_sources(docs: DataFrame, key: str = "doc_id", text: str = "text", member
     inside = Window.partitionBy("pattern", "bin").orderBy("h", "id", "size").rowsBetween(Window.unboundedPreceding, 0)
     summed = placed.join(before, ["pattern", "bin"]).withColumn("end", F.col("before") + F.sum("size").over(inside))
     chosen = stored(summed.select("id", "th", "h", "pattern", "size", "passes", "more", (F.col("end") <= F.col("more")).alias("extra")), "chosen")
-    gaps = {r["pattern"]: (r["more"], r["got"] or 0) for r in chosen.groupBy("pattern").agg(F.first("more").alias("more"), F.sum(F.when(F.col("extra"), F.col("size"))).alias("got")).collect()}
-    gap = F.create_map(*[F.lit(x) for k, (m, got) in gaps.items() for x in (k, m - got)]) if gaps else F.lit(None).cast("map<int,bigint>")
-    fits = chosen.where(~F.col("extra") & (F.col("size") > 0) & (F.col("size") <= F.element_at(gap, F.col("pattern"))))
+    gaps = chosen.groupBy("pattern").agg((F.first("more") - F.coalesce(F.sum(F.when(F.col("extra"), F.col("size"))), F.lit(0))).alias("gap"))
+    rest = {r["pattern"]: r["gap"] for r in gaps.collect()}
+    open_ = F.broadcast(spark.createDataFrame(list(rest.items()), "pattern int, gap bigint"))  # max_patterns rows at most
+    fits = chosen.join(open_, "pattern").where(~F.col("extra") & (F.col("size") > 0) & (F.col("size") <= F.col("gap")))
     order = Window.partitionBy("pattern", F.floor(F.log2("size"))).orderBy("h", "id")
     spare = fits.withColumn("n", F.row_number().over(order)).where("n <= 2").collect()  # two rows a pattern and size class
-    added, rest = [], {k: m - got for k, (m, got) in gaps.items()}
+    added = []
     for r in sorted(spare, key=lambda r: (-r["size"], r["h"])):
         if r["size"] <= rest[r["pattern"]]:
             rest[r["pattern"]] -= r["size"]
