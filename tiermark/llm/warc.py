@@ -37,7 +37,7 @@ def sha1_base32(data: bytes) -> str:
 
 
 def member(data: bytes) -> bytes:
-    z = zlib.compressobj(3, zlib.DEFLATED, 31)
+    z = zlib.compressobj(6, zlib.DEFLATED, 31)
     return z.compress(data) + z.flush()
 
 
