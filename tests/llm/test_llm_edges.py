@@ -229,6 +229,17 @@ def test_flow_over_overlapping_sources():
     assert mixing.targets({}) == {} and mixing.targets({"a": 0}) == {"a": 0.0}
 
 
+def test_closest_sum():
+    import itertools
+
+    rng = np.random.default_rng(2)
+    for _ in range(200):
+        sizes, goal = rng.integers(1, 30, size=rng.integers(0, 7)).tolist(), int(rng.integers(0, 60))
+        got = mixing.closest(sizes, goal)
+        sums = [sum(c) for n in range(len(sizes) + 1) for c in itertools.combinations(sizes, n)]
+        assert len(set(got)) == len(got) and abs(sum(sizes[k] for k in got) - goal) == min(abs(x - goal) for x in sums)
+
+
 def test_min_cost_flow_against_enumeration():
     import itertools
 

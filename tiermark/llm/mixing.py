@@ -81,6 +81,22 @@ def min_cost_flow(arcs: list[tuple[int, int, int, int]], start: int, end: int) -
             left[e ^ 1] += flow
 
 
+def closest(sizes: list[int], goal: int) -> list[int]:
+    """Places of the sizes whose sum is nearest to goal (of two sums as near the lower), by sets of reachable sums up to twice the goal."""
+    mask, layers = (1 << (2 * goal + 1)) - 1, [1]
+    for n in sizes:
+        layers.append(layers[-1] | layers[-1] << n & mask)
+    low = (layers[-1] & ((1 << (goal + 1)) - 1)).bit_length() - 1
+    above = layers[-1] >> (goal + 1)
+    high = goal + (above & -above).bit_length() if above else None
+    at, out = high if high is not None and high - goal < goal - low else low, []
+    for k in range(len(sizes) - 1, -1, -1):
+        if not layers[k] >> at & 1:
+            out.append(k)
+            at -= sizes[k]
+    return out
+
+
 @dataclass
 class Mix:
     """sizes, targets: by source.  flow: words by (pattern, source), patterns by their place in `patterns`."""
@@ -116,8 +132,8 @@ def mix_sources(docs: DataFrame, key: str = "doc_id", text: str = "text", member
     the document, 0 to `most`); and the plan.
 
     members: an array of the sources that a row belongs to (default: its `source` alone; null is a source of its own).  Words
-    beyond whole passes are taken by seeded hash up to the quota; the rest that the next document would overshoot is filled with at
-    most two further documents of each size class.  Rows that repeat an id and text share their fate.  Empty texts have size 0 and
+    beyond whole passes are taken by seeded hash up to the quota; the rest that the next document would overshoot is made up from at
+    most three further documents of each size class, those whose sum comes nearest.  Rows that repeat an id and text share their fate.  Empty texts have size 0 and
     go along with the whole passes.  More than max_patterns patterns are an error: the network is solved on the driver.
     """
     spark = docs.sparkSession
@@ -145,14 +161,15 @@ def mix_sources(docs: DataFrame, key: str = "doc_id", text: str = "text", member
     gaps = chosen.groupBy("pattern").agg((F.first("more") - F.coalesce(F.sum(F.when(F.col("extra"), F.col("size"))), F.lit(0))).alias("gap"))
     rest = {r["pattern"]: r["gap"] for r in gaps.collect()}
     open_ = F.broadcast(spark.createDataFrame(list(rest.items()), "pattern int, gap bigint"))  # max_patterns rows at most
-    fits = chosen.join(open_, "pattern").where(~F.col("extra") & (F.col("size") > 0) & (F.col("size") <= F.col("gap")))
+    near = chosen.join(open_, "pattern").where(~F.col("extra") & (F.col("size") > 0) & (F.col("size") <= 2 * F.col("gap")))
     order = Window.partitionBy("pattern", F.floor(F.log2("size"))).orderBy("h", "id")
-    spare = fits.withColumn("n", F.row_number().over(order)).where("n <= 2").collect()  # two rows a pattern and size class
+    spare: dict[int, list] = {}
+    for r in near.withColumn("n", F.row_number().over(order)).where("n <= 3").collect():  # three rows a pattern and size class
+        spare.setdefault(r["pattern"], []).append((r["h"], r["size"]))
     added = []
-    for r in sorted(spare, key=lambda r: (-r["size"], r["h"])):
-        if r["size"] <= rest[r["pattern"]]:
-            rest[r["pattern"]] -= r["size"]
-            added.append((r["pattern"], r["h"]))
+    for k, found_ in spare.items():
+        found_.sort()
+        added += [(k, found_[i][0]) for i in closest([n for _, n in found_], rest[k])]
     more = F.broadcast(spark.createDataFrame(sorted(set(added)), "a_pattern int, a_h bigint").withColumn("filled", F.lit(True)))
     joined = chosen.join(more, (F.col("pattern") == F.col("a_pattern")) & (F.col("h") == F.col("a_h")), "left")
     copies = F.least(F.lit(most), F.col("passes") + (F.col("extra") & (F.col("size") > 0) & (F.col("more") > 0) | F.coalesce("filled", F.lit(False))).cast("int"))
