@@ -72,34 +72,37 @@ def _distances(x: np.ndarray, pivots: np.ndarray) -> np.ndarray:
     return np.sqrt(np.maximum(square, 0)).astype(np.float32)
 
 
-def search_block(q: np.ndarray, q_ids: np.ndarray, dq: np.ndarray, x: np.ndarray, x_ids: np.ndarray, dx: np.ndarray, k: int, floor: np.ndarray, step: int = 256) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
-    """For each query its best k of a block that score floor or more: candidates in the order of their bounds, until the next
-    bound is below the k-th score so far."""
+def search_block(q: np.ndarray, q_ids: np.ndarray, dq: np.ndarray, x: np.ndarray, x_ids: np.ndarray, dx: np.ndarray, k: int, floor: np.ndarray, first: int = 64) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Places of queries, ids and scores of the best k of a block for each query that score floor or more.
+
+    A query's candidates are taken in the order of their bounds: the `first` highest come first and raise the floor to their
+    k-th score; of the rest only those whose bound reaches that floor are evaluated, and where there are none the search has ended.
+    """
     norm_q, norm_x = (q * q).sum(axis=1), (x * x).sum(axis=1)
-    slack = _SLACK + _SHARE * np.sqrt(max(norm_q.max(initial=0), norm_x.max(initial=0)))
-    for i in range(len(q)):
-        low = np.abs(dx - dq[i]).max(axis=1)
-        low = np.maximum(low.astype(np.float64) - slack, 0)
-        bound = (norm_q[i] + norm_x - low * low) / 2
-        order = np.flatnonzero(bound >= floor[i])
-        if not len(order):
-            continue
-        order = order[np.argsort(-bound[order], kind="stable")]
-        ids, scores, least = np.zeros(0, np.int64), np.zeros(0), floor[i]
-        for at in range(0, len(order), step):
-            if bound[order[at]] < least:
-                break
-            some = order[at : at + step]
-            some = some[x_ids[some] != q_ids[i]]
-            ids, scores = np.concatenate([ids, x_ids[some]]), np.concatenate([scores, x[some] @ q[i]])
-            if len(ids) > k:
-                best = np.lexsort((ids, -scores))[:k]
-                ids, scores = ids[best], scores[best]
-            if len(ids) == k:
-                least = max(least, scores.min())
-        hit = scores >= floor[i]
-        if hit.any():
-            yield i, ids[hit], scores[hit].astype(np.int64)
+    longest = max(norm_q.max(initial=0), norm_x.max(initial=0))
+    kind = np.float32 if longest < 1 << 24 else np.float64  # products are whole numbers up to longest: exact in either
+    low = np.zeros((len(q), len(x)), np.float32)
+    for one, other in zip(np.ascontiguousarray(dx.T), dq.T):  # pivot by pivot
+        gap = one - other[:, None]
+        np.maximum(low, np.abs(gap, out=gap), out=low)
+    low = np.maximum(low - np.float32(_SLACK + _SHARE * np.sqrt(longest)), 0, dtype=np.float64)
+    bound = (norm_q[:, None] + norm_x - low * low) / 2
+    bound[q_ids[:, None] == x_ids] = -np.inf
+    q, x, floor = q.astype(kind), x.astype(kind), floor.astype(np.float64)
+    if len(x) > first >= k:
+        best = np.argpartition(bound, len(x) - first, axis=1)[:, -first:]
+        scores = np.einsum("mfd,md->mf", x[best], q).astype(np.float64)
+        scores[np.take_along_axis(bound, best, axis=1) == -np.inf] = -np.inf
+        floor = np.maximum(floor, np.partition(scores, first - k, axis=1)[:, first - k])
+    left = bound >= np.maximum(floor, -1e300)[:, None]
+    rows = np.flatnonzero(left.any(axis=0))
+    scores = q @ x[rows].T
+    i, j = np.nonzero(left[:, rows] & (scores >= floor[:, None]))
+    found, ids = scores[i, j].astype(np.int64), x_ids[rows[j]]
+    order = np.lexsort((ids, -found, i))
+    i, ids, found = i[order], ids[order], found[order]
+    place = np.arange(len(i)) - np.searchsorted(i, i)
+    return i[place < k], ids[place < k], found[place < k]
 
 
 def _searched(pairs: DataFrame, k: int) -> DataFrame:
@@ -113,13 +116,8 @@ def _searched(pairs: DataFrame, k: int) -> DataFrame:
                 dims = max(1, max(map(len, [*qs, *xs])) // 4)
                 dx, dq = (np.frombuffer(b"".join(get(c)), dtype=np.float32).reshape(n, -1) for c, n in (("dxs", len(xs)), ("dqs", len(qs))))
                 q_ids, floors = np.array(get("q_ids"), dtype=np.int64), np.array(get("floors"), dtype=np.float64)
-                out: tuple[list, list, list] = ([], [], [])
-                for i, ids, scores in search_block(_matrix(qs, dims), q_ids, dq, _matrix(xs, dims), np.array(get("x_ids"), dtype=np.int64), dx, k, floors):
-                    out[0].append(np.full(len(ids), q_ids[i]))
-                    out[1].append(ids)
-                    out[2].append(scores)
-                if out[0]:
-                    yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(c), pa.int64()) for c in out], names=["query_id", "vec_id", "score"])
+                i, ids, scores = search_block(_matrix(qs, dims), q_ids, dq, _matrix(xs, dims), np.array(get("x_ids"), dtype=np.int64), dx, k, floors)
+                yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in (q_ids[i], ids, scores)], names=["query_id", "vec_id", "score"])
 
     return pairs.mapInArrow(search, _FOUND)
 
