@@ -139,7 +139,7 @@ def train(texts: list[str], labels: list[int], class_weight: tuple[float, float]
     return model
 
 
-def fit_toxicity(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "text", label: str = "toxic", max_rows: int = 2500, **settings) -> ToxicityModel:
+def fit_toxicity(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "text", label: str = "toxic", max_rows: int = 1500, **settings) -> ToxicityModel:
     """Train on at most `max_rows` documents of each class, those of the smallest hash of `key`; the classes are weighted back
     to their shares among all labelled documents.
 
