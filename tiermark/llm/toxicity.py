@@ -98,17 +98,26 @@ def train(texts: list[str], labels: list[int], class_weight: tuple[float, float]
     pairs, times = np.unique(np.concatenate([k * n_words + b for k, b in enumerate(bags)]), return_counts=True)
     doc, word = pairs // n_words, pairs % n_words
     share = (times / np.maximum(1, np.array([len(b) for b in bags]))[doc]).astype(np.float32)
-    ids, own = subwords(list(index))
-    toxic, all_ = np.bincount(ids, np.bincount(word, y[doc], n_words)[own], buckets), np.bincount(ids, np.bincount(word, minlength=n_words)[own], buckets)
+    words, word_toxic, word_all = list(index), np.bincount(word, y[doc], n_words), np.bincount(word, minlength=n_words)
+    toxic, all_, n_sub, parts = np.zeros(buckets), np.zeros(buckets), np.zeros(n_words), range(0, n_words, 20_000)
+    for at in parts:  # word by word in parts: what all have together would be many times the texts
+        ids, own = subwords(words[at : at + 20_000])
+        toxic += np.bincount(ids, word_toxic[own + at], buckets)
+        all_ += np.bincount(ids, word_all[own + at], buckets)
+        n_sub[at : at + 20_000] = np.bincount(own)
     rate_1 = y[doc].mean()
     z = np.abs(toxic - rate_1 * all_) / np.sqrt(rate_1 * (1 - rate_1) * np.maximum(all_, 1) + 1e-12)
     z[all_ < min(5, n_docs)] = 0
     kept = z >= min(least_z, max(2.0, np.sort(z)[-128]))
     if not kept.any():
         return model
-    part = kept[ids]
-    slot, s_word = (np.cumsum(kept) - 1)[ids[part]], own[part]
-    s_share = (1 / np.sqrt(np.bincount(own, minlength=n_words)))[s_word].astype(np.float32)[:, None]
+    slots, pairs = np.cumsum(kept) - 1, []
+    for at in parts:
+        ids, own = subwords(words[at : at + 20_000])
+        part = kept[ids]
+        pairs.append((slots[ids[part]], own[part] + at))
+    slot, s_word = (np.concatenate(c) for c in zip(*pairs))
+    s_share = (1 / np.sqrt(n_sub))[s_word].astype(np.float32)[:, None]
     has = np.zeros(n_words, bool)
     has[s_word] = True
     use = has[word]
