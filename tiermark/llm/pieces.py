@@ -97,7 +97,7 @@ class PieceEncoder:
 
 
 _ENCODERS: dict[str, PieceEncoder] = {}
-_CACHE_MAX = 600_000
+_CACHE_MAX = 350_000
 
 
 def piece_digests(path: str, text: str = "text") -> Column:

@@ -168,7 +168,7 @@ def fit_toxicity(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text:
 
 _CACHE: dict[str, float] = {}
 _CACHE_OF: list[str] = [""]
-_CACHE_MAX = 400_000
+_CACHE_MAX = 250_000
 
 
 def toxicity_score(df: DataFrame, model: ToxicityModel, text: str = "text") -> Column:
