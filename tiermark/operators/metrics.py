@@ -170,3 +170,9 @@ def choropleth_table(countries: DataFrame, by_country: DataFrame) -> DataFrame:
     ends = by_country.agg(F.min(F.log1p(F.col("h3").cast("double"))).alias("_a"), F.max(F.log1p(F.col("h3").cast("double"))).alias("_b"))  # one row
     share = F.when(F.col("_b") > F.col("_a"), (log - F.col("_a")) / (F.col("_b") - F.col("_a"))).otherwise(F.when(log.isNotNull(), 0.0))
     return joined.join(F.broadcast(ends)).select("country_code", "country_name", "h3", "institution_count", F.col("h3").isNotNull().alias("has_data"), F.round(share, 6).alias("normalized_log"))
+
+
+def with_country_names(df: DataFrame, countries: DataFrame) -> DataFrame:
+    """df with country_name from a dimension of codes and names; a code that it lacks is its own name."""
+    names = countries.select("country_code", "country_name").where("country_name IS NOT NULL").dropDuplicates(["country_code"])
+    return df.join(names, "country_code", "left").withColumn("country_name", F.coalesce("country_name", "country_code"))

@@ -223,6 +223,7 @@ _Q = {
     "incremental_ingest": """SELECT CASE WHEN author_id % 2 = 0 THEN DATE '2024-01-01' ELSE DATE '2024-01-02' END AS updated_date, count(*) AS n_rows, '' AS missing FROM h1
         WHERE author_id IN (SELECT author_id FROM aff WHERE type = 'education') AND author_id IN (SELECT author_id FROM topics) GROUP BY 1""",
     "split_sink": r"SELECT trim(regexp_replace(field_name, '[^\w\-]', '_', 'g'), '_') AS slug, count(*) AS n, CAST(sum(h2) AS BIGINT) AS h2_sum, CAST(sum(author_count) AS BIGINT) AS author_sum FROM h2f GROUP BY 1",
+    "country_names": "SELECT country_code, coalesce(upper(n_name[1]) || lower(n_name[2:]), country_code) AS country_name, h3 FROM h3 LEFT JOIN nation ON n_name = country_code AND n_nationkey % 5 <> 0",
     "compaction": "SELECT event_type, count(*) AS n, round(sum(value), 2) AS value_sum FROM events GROUP BY 1",
     "quality_report": """SELECT 'quantile' AS "check", 'p' || q AS item, CAST(round(v, 4) AS VARCHAR) AS value FROM (
             SELECT unnest([25, 50, 75, 90, 99]) AS q, unnest(quantile_cont(CAST(h2 AS DOUBLE), [0.25, 0.5, 0.75, 0.9, 0.99])) AS v FROM h2f)

@@ -411,3 +411,20 @@ def compaction(spark, sf):
     path = _work_folder(spark)
     snapshots.compact(spark, f"{sf}/events.parquet", path, 2)
     return spark.read.parquet(path).groupBy("event_type").agg(F.count("*").alias("n"), F.round(F.sum("value"), 2).alias("value_sum"))
+
+
+@query
+def country_names(spark, sf):
+    """h3 with names from a dimension that lacks every fifth code."""
+    named = table(spark, sf, "nation").where("n_nationkey % 5 <> 0").select(F.col("n_name").alias("country_code"), F.initcap("n_name").alias("country_name"))
+    return metrics.with_country_names(Index(spark, sf).h3.select("country_code", "h3"), named)
+
+
+@query
+def efficiency_by_fitted_exponent(spark, sf):
+    """The fits written as a report, read back, and its beta_1 used for the efficiency of institutions."""
+    path = _work_folder(spark)
+    snapshots.write_report(tail_fit_summary(spark, sf), path)
+    beta = snapshots.read_report(spark, path, "beta_1 double")["beta_1"] or BETA_1
+    done = metrics.efficiency(Index(spark, sf).h2, ["institution_id", "institution_name"], "h2", "author_count", beta, 10, "filtered", ["institution_name", "institution_id"], "h2_rank")
+    return done.withColumn("beta", F.round(F.lit(beta), 6))

@@ -69,9 +69,23 @@ def ingest_new_partitions(spark: SparkSession, src: str, dst: str, required: lis
     return todo
 
 
-def compact(spark: SparkSession, src: str, dst: str, files: int, rows_per_file: int = 0) -> None:
-    """Many files to few, ZSTD."""
-    spark.read.parquet(src).repartition(files).write.mode("overwrite").option("compression", "zstd").option("maxRecordsPerFile", rows_per_file).parquet(dst)
+def compact(spark: SparkSession, src: str, dst: str, files: int, rows_per_file: int = 0, block_bytes: int = 128 << 20) -> None:
+    """Many files to few, ZSTD, in row groups of block_bytes."""
+    out = spark.read.parquet(src).repartition(files).write.mode("overwrite").option("compression", "zstd")
+    out.option("maxRecordsPerFile", rows_per_file).option("parquet.block.size", block_bytes).parquet(dst)
+
+
+def write_report(df: DataFrame, path: str) -> None:
+    """A report of a few rows as JSON lines."""
+    df.write.mode("overwrite").json(path)
+
+
+def read_report(spark: SparkSession, path: str, schema: str) -> dict:
+    """The only row of a report, for a later step."""
+    rows = spark.read.schema(schema).json(path).limit(2).collect()
+    if len(rows) != 1:
+        raise ValueError(f"a report has one row, {path} has {'none' if not rows else 'more'}")
+    return rows[0].asDict()
 
 
 def spread_places(n_items: int, n: int) -> list[int]:
