@@ -121,7 +121,7 @@ class WordCache(dict):
     _STOP = re.compile(f"(?<=[{_LETTERS}])(?=[.,])")
     _LATIN = re.compile(f"[{_LETTERS}]+")
 
-    def __init__(self, path: str, most: int = 200_000):
+    def __init__(self, path: str, most: int = 300_000):
         from tokenizers import Tokenizer
 
         super().__init__()
