@@ -148,8 +148,10 @@ def mix_sources(docs: DataFrame, key: str = "doc_id", text: str = "text", member
     out = []
     for k, p in enumerate(plan.patterns):
         total, n = sum(plan.flow.get((k, s), 0) for s in p), plan.pattern_sizes[k]
-        out.append((list(p), k, total // n if n else 0, total % n if n else 0))
-    quota = F.broadcast(spark.createDataFrame(out, "p_of array<string>, pattern int, passes int, more bigint"))  # max_patterns rows at most
+        more_ = total % n if n else 0
+        sure = more_ - min(more_ // 2, 3 * n // found[p]["n"])  # by hash alone; about the last three documents are chosen for their sizes too
+        out.append((list(p), k, total // n if n else 0, more_, sure))
+    quota = F.broadcast(spark.createDataFrame(out, "p_of array<string>, pattern int, passes int, more bigint, sure bigint"))  # max_patterns rows at most
     bits = max(4, min(20, (sum(r["n"] for r in counted) // 1000).bit_length()))
     placed = rows.join(quota, F.coalesce("pattern_of", F.array().cast("array<string>")).eqNullSafe(F.col("p_of"))).withColumn("bin", F.shiftrightunsigned("h", 64 - bits))
     # words before a document in the order of hashes: sums by bin, then within the bin
@@ -157,7 +159,7 @@ def mix_sources(docs: DataFrame, key: str = "doc_id", text: str = "text", member
     before = bins.withColumn("before", F.sum("words").over(Window.partitionBy("pattern").orderBy("bin")) - F.col("words")).select("pattern", "bin", "before")
     inside = Window.partitionBy("pattern", "bin").orderBy("h", "id", "size").rowsBetween(Window.unboundedPreceding, 0)
     summed = placed.join(before, ["pattern", "bin"]).withColumn("end", F.col("before") + F.sum("size").over(inside))
-    chosen = stored(summed.select("id", "th", "h", "pattern", "size", "passes", "more", (F.col("end") <= F.col("more")).alias("extra")), "chosen")
+    chosen = stored(summed.select("id", "th", "h", "pattern", "size", "passes", "more", (F.col("end") <= F.col("sure")).alias("extra")), "chosen")
     gaps = chosen.groupBy("pattern").agg((F.first("more") - F.coalesce(F.sum(F.when(F.col("extra"), F.col("size"))), F.lit(0))).alias("gap"))
     rest = {r["pattern"]: r["gap"] for r in gaps.collect()}
     open_ = F.broadcast(spark.createDataFrame(list(rest.items()), "pattern int, gap bigint"))  # max_patterns rows at most
