@@ -132,8 +132,9 @@ def mix_sources(docs: DataFrame, key: str = "doc_id", text: str = "text", member
     the document, 0 to `most`); and the plan.
 
     members: an array of the sources that a row belongs to (default: its `source` alone; null is a source of its own).  Words
-    beyond whole passes are taken by seeded hash up to the quota; the rest that the next document would overshoot is made up from at
-    most three further documents of each size class, those whose sum comes nearest.  Rows that repeat an id and text share their fate.  Empty texts have size 0 and
+    beyond whole passes are taken by seeded hash up to the quota; a document that would overshoot it is passed over, until what is
+    missing is about three documents.  These are chosen for the sum that comes nearest, and then no document is left that still fits.
+    Where more than the smallest document is missing then, the selection is made again with the next larger one taken first.  Rows that repeat an id and text share their fate.  Empty texts have size 0 and
     go along with the whole passes.  More than max_patterns patterns are an error: the network is solved on the driver.
     """
     spark = docs.sparkSession
@@ -148,36 +149,88 @@ def mix_sources(docs: DataFrame, key: str = "doc_id", text: str = "text", member
     out = []
     for k, p in enumerate(plan.patterns):
         total, n = sum(plan.flow.get((k, s), 0) for s in p), plan.pattern_sizes[k]
-        more_ = total % n if n else 0
-        sure = more_ - min(more_ // 2, 3 * n // found[p]["n"])  # by hash alone; about the last three documents are chosen for their sizes too
-        out.append((list(p), k, total // n if n else 0, more_, sure))
-    quota = F.broadcast(spark.createDataFrame(out, "p_of array<string>, pattern int, passes int, more bigint, sure bigint"))  # max_patterns rows at most
+        out.append((list(p), k, total // n if n else 0, total % n if n else 0))
+    quota = F.broadcast(spark.createDataFrame(out, "p_of array<string>, pattern int, passes int, more bigint"))  # max_patterns rows at most
     bits = max(4, min(20, (sum(r["n"] for r in counted) // 1000).bit_length()))
-    placed = rows.join(quota, F.coalesce("pattern_of", F.array().cast("array<string>")).eqNullSafe(F.col("p_of"))).withColumn("bin", F.shiftrightunsigned("h", 64 - bits))
-    # words before a document in the order of hashes: sums by bin, then within the bin
-    bins = placed.groupBy("pattern", "bin").agg(F.sum("size").alias("words"))
-    before = bins.withColumn("before", F.sum("words").over(Window.partitionBy("pattern").orderBy("bin")) - F.col("words")).select("pattern", "bin", "before")
-    inside = Window.partitionBy("pattern", "bin").orderBy("h", "id", "size").rowsBetween(Window.unboundedPreceding, 0)
-    summed = placed.join(before, ["pattern", "bin"]).withColumn("end", F.col("before") + F.sum("size").over(inside))
-    chosen = stored(summed.select("id", "th", "h", "pattern", "size", "passes", "more", (F.col("end") <= F.col("sure")).alias("extra")), "chosen")
-    gaps = chosen.groupBy("pattern").agg((F.first("more") - F.coalesce(F.sum(F.when(F.col("extra"), F.col("size"))), F.lit(0))).alias("gap"))
-    rest = {r["pattern"]: r["gap"] for r in gaps.collect()}
-    open_ = F.broadcast(spark.createDataFrame(list(rest.items()), "pattern int, gap bigint"))  # max_patterns rows at most
-    near = chosen.join(open_, "pattern").where(~F.col("extra") & (F.col("size") > 0) & (F.col("size") <= 2 * F.col("gap")))
-    order = Window.partitionBy("pattern", F.floor(F.log2("size"))).orderBy("h", "id")
-    spare: dict[int, list] = {}
-    for r in near.withColumn("n", F.row_number().over(order)).where("n <= 3").collect():  # three rows a pattern and size class
-        spare.setdefault(r["pattern"], []).append((r["h"], r["size"]))
-    added = []
-    for k, found_ in spare.items():
-        found_.sort()
-        added += [(k, found_[i][0]) for i in closest([n for _, n in found_], rest[k])]
-    more = F.broadcast(spark.createDataFrame(sorted(set(added)), "a_pattern int, a_h bigint").withColumn("filled", F.lit(True)))
-    joined = chosen.join(more, (F.col("pattern") == F.col("a_pattern")) & (F.col("h") == F.col("a_h")), "left")
-    copies = F.least(F.lit(most), F.col("passes") + (F.col("extra") & (F.col("size") > 0) & (F.col("more") > 0) | F.coalesce("filled", F.lit(False))).cast("int"))
+    placed = rows.join(quota, F.coalesce("pattern_of", F.array().cast("array<string>")).eqNullSafe(F.col("p_of"))).drop("p_of", "pattern_of")
+    # rows that repeat an id and text are one unit
+    placed = stored(placed.withColumn("unit", F.sum("size").over(Window.partitionBy("pattern", "h"))), "placed")
+    goals = {k: more for _, k, _, more in out if more}
+    gaps, rules, added = _select(spark, placed, bits, goals, {})
+    short = {k: g for k, g in gaps.items() if g > 0}
+    if short:  # all that fits is taken, so a larger unit must come first where more than the smallest unit is missing
+        rest = _left(spark, placed, {k: (goals[k], rules[k]) for k in short}, added).where("unit <= bound").groupBy("pattern").agg(F.min(F.struct("unit", "h")).alias("next"))
+        least = {r["pattern"]: r["least"] for r in placed.where("size > 0").groupBy("pattern").agg(F.min("unit").alias("least")).collect()}
+        first = {r["pattern"]: r["next"] for r in rest.collect() if short[r["pattern"]] >= least[r["pattern"]]}
+        other = _select(spark, placed, bits, {k: goals[k] - u["unit"] for k, u in first.items()}, {k: [u["h"]] for k, u in first.items()}) if first else ({}, {}, {})
+        for k in other[0]:
+            if abs(other[0][k]) < gaps[k]:
+                gaps[k], rules[k], added[k] = (x.get(k, []) for x in other)
+    more = F.broadcast(spark.createDataFrame([(k, rules[k], added.get(k, [])) for k in rules], f"r_pattern int, {_RULES}, added array<bigint>"))
+    joined = placed.join(more, F.col("pattern") == F.col("r_pattern"), "left")
+    extra = F.coalesce((F.col("size") > 0) & (_by_rules() | F.array_contains("added", F.col("h"))), F.lit(False))
+    copies = F.least(F.lit(most), F.col("passes") + extra.cast("int"))
     return joined.select("id", "th", "pattern", "size", copies.alias("copies")), plan
 
 
+_RULES = "rules array<struct<bound: bigint, cut: bigint>>"
+
+
+def _by_rules() -> Column:
+    """Whether a unit is taken by one of the rules: no larger than the bound and no later in the order of hashes than the cut."""
+    return F.exists("rules", lambda r: (F.col("unit") <= r["bound"]) & (F.col("h") <= r["cut"]))
+
+
+def _left(spark, placed: DataFrame, bounds: dict[int, tuple], added: dict[int, list[int]]) -> DataFrame:
+    """Rows of the patterns in bounds (a bound and rules each) that have words and are not taken yet; column bound."""
+    table = spark.createDataFrame([(k, b, r, added.get(k, [])) for k, (b, r) in bounds.items()], f"r_pattern int, bound bigint, {_RULES}, added array<bigint>")
+    joined = placed.join(F.broadcast(table), F.col("pattern") == F.col("r_pattern")).where("size > 0")  # max_patterns rows at most
+    return joined.where(~_by_rules() & ~F.array_contains("added", F.col("h"))).select("pattern", "h", "size", "unit", "bound")
+
+
+def _select(spark, placed: DataFrame, bits: int, goals: dict[int, int], taken: dict[int, list[int]]) -> tuple[dict, dict, dict]:
+    """By pattern: what is missing (below zero: too much) of the goal, rules, and hashes of single units; those of `taken` are among them."""
+    gaps, rules, added = dict(goals), {k: [] for k in goals}, dict(taken)
+    _fill(spark, placed, bits, gaps, rules, 3, added)
+    left = _left(spark, placed, {k: (g, rules[k]) for k, g in gaps.items() if g > 0}, added).where(F.col("unit") <= 2 * F.col("bound")).groupBy("pattern", "h").agg(F.first("unit").alias("unit"), F.first("bound").alias("bound"))
+    by_class, by_size = Window.partitionBy("pattern", F.floor(F.log2("unit"))).orderBy("h"), Window.partitionBy("pattern").orderBy(F.abs(F.col("unit") - F.col("bound")), "h")
+    spare: dict[int, set] = {}
+    for order in (by_class, by_size):
+        for r in left.withColumn("n", F.row_number().over(order)).where("n <= 3").collect():  # three rows a pattern and size class, three a pattern
+            spare.setdefault(r["pattern"], set()).add((r["h"], r["unit"]))
+    for k, found in spare.items():
+        units = sorted(found)
+        picked = closest([n for _, n in units], gaps[k])
+        added[k] = added.get(k, []) + [units[i][0] for i in picked]
+        gaps[k] -= sum(units[i][1] for i in picked)
+    _fill(spark, placed, bits, gaps, rules, 0, added)
+    return gaps, rules, added
+
+
+def _fill(spark, placed: DataFrame, bits: int, gaps: dict[int, int], rules: dict[int, list], reserve: int, added: dict) -> None:
+    """Take units by hash until no unit left fits, and lower the gaps; what overshoots is passed over.  In each round the units
+    that fit the bound are summed in the order of hashes, and those up to the bound are taken: the first fits, so the rounds end.  The bound is the gap
+    less `reserve` units of mean size (half the gap at most), which are left for a choice by size."""
+    open_ = {k for k, g in gaps.items() if g > 0}
+    while open_:
+        fits = _left(spark, placed, {k: (gaps[k], rules[k]) for k in open_}, added).where("unit <= bound")
+        seen = {r["pattern"]: r for r in fits.groupBy("pattern").agg(F.sum("size").alias("words"), F.count("*").alias("n"), F.min("unit").alias("least")).collect()}
+        bound = {k: gaps[k] - min(gaps[k] // 2, reserve * r["words"] // r["n"]) for k, r in seen.items()}
+        bound = {k: b for k, b in bound.items() if seen[k]["least"] <= b}
+        open_ = set(bound)
+        if not open_:
+            return
+        fits = _left(spark, placed, {k: (b, rules[k]) for k, b in bound.items()}, added).where("unit <= bound").withColumn("bin", F.shiftright("h", 64 - bits))
+        # words before a unit in the order of hashes: sums by bin, then within the bin
+        bins = fits.groupBy("pattern", "bin").agg(F.sum("size").alias("words"))
+        before = bins.withColumn("before", F.sum("words").over(Window.partitionBy("pattern").orderBy("bin")) - F.col("words")).select("pattern", "bin", "before")
+        inside = Window.partitionBy("pattern", "bin").orderBy("h").rangeBetween(Window.unboundedPreceding, Window.currentRow)
+        summed = fits.join(before, ["pattern", "bin"]).where("before < bound").withColumn("end", F.col("before") + F.sum("size").over(inside)).where("end <= bound")
+        for r in summed.groupBy("pattern").agg(F.max("h").alias("cut"), F.max("end").alias("words")).collect():
+            rules[r["pattern"]].append((bound[r["pattern"]], r["cut"]))
+            gaps[r["pattern"]] -= r["words"]
+
+
 def mixed_documents(docs: DataFrame, key: str = "doc_id", text: str = "text", **settings) -> DataFrame:
     """docs with every column, each row as often as the mix takes it."""
     taken, _ = mix_sources(docs, key, text, **settings)
