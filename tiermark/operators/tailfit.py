@@ -17,21 +17,20 @@ def tail_histogram(df: DataFrame, keys: list[str], value: str) -> DataFrame:
     return counts.select(*keys, "x", "c", F.sum("c").over(up).alias("n"), F.sum(F.col("c") * x).over(up).alias("sx"), F.sum(F.col("c") * F.ln(x)).over(up).alias("slog"))
 
 
-def tail_candidates(df: DataFrame, keys: list[str], value: str, xmin: int | None = None, max_candidates: int = 5000) -> DataFrame:
+def tail_candidates(df: DataFrame, keys: list[str], value: str, xmin: int | None = None, spread: int = 64) -> DataFrame:
     """keys, xmin, alpha, n_tail, ks for every distinct value that leaves two distinct values in the tail (or for one xmin).
 
     alpha is the closed form for discrete data, 1 + n / sum ln(x / (xmin - 1/2)); ks the greatest difference between the
-    empirical and the model's survival function at the distinct values.  Beyond max_candidates distinct values a key's
-    candidates are every k-th of them; every value is still compared.
+    empirical and the model's survival function at the distinct values.  Every distinct value is a candidate and is compared
+    with every value of its tail; the candidates of a key are dealt over `spread` parts, so that no task has all of them.
     """
     hist = tail_histogram(df, keys, value)
-    place = Window.partitionBy(*keys).orderBy("x")
-    full = Window.partitionBy(*keys)
-    numbered = hist.withColumn("i", F.row_number().over(place)).withColumn("m", F.count("*").over(full))
-    pick = (F.col("x") == xmin) if xmin is not None else ((F.col("i") < F.col("m")) & (F.col("i") % F.ceil(F.col("m") / max_candidates) == 0))
-    cand = numbered.where(pick).select(*keys, F.col("x").alias("xmin"), F.col("n").alias("n_tail"), F.col("slog").alias("s"), F.col("sx").alias("sum_tail"))
+    top = hist.groupBy(*keys).agg(F.max("x").alias("top"))
+    pick = (F.col("x") == xmin) if xmin is not None else (F.col("x") < F.col("top"))
+    cand = hist.join(top, keys).where(pick).select(*keys, F.col("x").alias("xmin"), F.col("n").alias("n_tail"), F.col("slog").alias("s"), F.col("sx").alias("sum_tail"))
     cand = cand.withColumn("alpha", 1 + F.col("n_tail") / (F.col("s") - F.col("n_tail") * F.ln(F.col("xmin") - 0.5))).withColumn("z_min", F.expr(zeta_sql("alpha", "xmin")))
-    pairs = cand.join(hist.select(*keys, "x", "n"), keys).where("x >= xmin")
+    dealt = hist.select(*keys, "x", "n", F.explode(F.sequence(F.lit(0), F.lit(spread - 1))).alias("part"))
+    pairs = cand.withColumn("part", F.pmod(F.hash("xmin"), F.lit(spread))).join(dealt, [*keys, "part"]).where("x >= xmin")
     gap = F.abs(F.col("n") / F.col("n_tail") - F.expr(zeta_sql("alpha", "x")) / F.col("z_min"))
     return pairs.groupBy(*keys, "xmin").agg(F.max("alpha").alias("alpha"), F.max("n_tail").alias("n_tail"), F.max("sum_tail").alias("sum_tail"), F.max(gap).alias("ks"))
 
