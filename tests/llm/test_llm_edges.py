@@ -13,6 +13,7 @@ from tiermark.llm import fingerprints, licenses, line_dedup, mixing, pieces, sim
 from tiermark.llm.queries import tokenizer_path
 
 SCHEMA = "doc_id bigint, text string, lang string, source string, n_chars bigint, id string, fp bigint, at int, h bigint, size string, component_id string, path string"
+SPACE = pieces.SPACE
 LINE = "A line that is long enough to count as a passage of its own."
 
 
@@ -160,6 +161,32 @@ def test_agenda_alone_agrees_with_the_library():
     texts = ["a.b.c, U.S. e.g. don't stop...", "  two  spaces ", "\n\nx\n y", "▁▁x ▁", "日本語 テスト\u0000 😀 é é", "<s>a</s> <0x0A> <unk>", "aaaaaaaaaaaaaaaaaaaaaaaa", "x,,y..z.,a", "."]
     for t in texts:
         assert sum((enc.merge(s) for s in enc.split(t)), []) == enc.library.encode(t), t
+        assert enc.merge_all(enc.split(t))[0].tolist() == enc.library.encode(t), t
+
+
+def test_side_by_side_agendas_equal_the_heap():
+    """Random strings, a cache so small that it forgets all the time, and a text that is read in parts."""
+    import random
+
+    rng, enc = random.Random(5), pieces.PieceEncoder(tokenizer_path("piece_bpe_32k.model"), most=2000)
+    bits = [" ", "  ", "\n", "\n\n", "a", "th", "ing", "Straße", "é", "日本", "😀", ".", ",", "...", SPACE, "<s>", "\t", "don't", "1234", "====", "x" * 60, "ab" * 40, "Ж", "ный", "//", "__", " .", "a.b"]
+    for _ in range(60):
+        texts = ["".join(rng.choices(bits, k=rng.choice([0, 1, 5, 200]))) for _ in range(rng.choice([1, 3, 40]))]
+        got, differ = enc.encode_texts(texts)
+        assert differ == 0 and [g.tolist() for g in got] == enc.library.encode(texts, add_eos=True)
+        segments = [s for t in texts for s in enc.split(t)]
+        ids, n = enc.merge_all(segments)
+        assert [g.tolist() for g in np.split(ids, np.cumsum(n)[:-1])] == [enc.merge(s) for s in segments] or not segments
+    long = " ".join("".join(rng.choices(bits, k=3)) for _ in range(120_000))
+    assert len(long) > 1 << 20 and enc.encode_texts([long])[0][0].tolist() == enc.library.encode(long, add_eos=True)
+
+
+def test_a_difference_from_the_library_is_seen():
+    """With one score made worse the agenda goes wrong; the library's ids are taken and the difference is counted."""
+    enc = pieces.PieceEncoder(tokenizer_path("piece_bpe_32k.model"))
+    enc.pair_place[:] = enc.pair_place.max() - enc.pair_place
+    got, differ = enc.encode_texts(["The whole sentence would be merged the other way round."])
+    assert differ > 0 and got[0].tolist() == enc.library.encode("The whole sentence would be merged the other way round.", add_eos=True)
 
 
 def test_top_k(spark):

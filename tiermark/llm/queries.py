@@ -69,7 +69,7 @@ def op6_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op7_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
-    return docs.select("doc_id", pieces.piece_digests(tokenizer_path("piece_bpe_32k.model")).alias("p")).select("doc_id", "p.n_tokens", "p.ids_sha256", "p.decoded_sha256")
+    return docs.select("doc_id", pieces.piece_digests(tokenizer_path("piece_bpe_32k.model")).alias("p")).select("doc_id", "p.*")  # differing and whole_agrees tell of the check against the library
 
 
 def op8_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
