@@ -4,11 +4,15 @@ A word is the bag of its character n-grams (3 to 5, with word ends) and itself,
 table; a document is the mean of its words; a softmax over two classes reads that mean.  A misspelling that was never seen
 shares most n-grams with the word it distorts.  Training sees a bounded sample of labelled rows (`max_rows` a class, a
 documented parameter); class totals come from all labelled rows, scoring covers every row and whole texts.
+
+Every subword that a few sampled rows have gets an embedding.  Before training each is scaled by how far its share of toxic rows
+stands out: a shrinkage, so that the many subwords that tell nothing stay small, and none is cut off.
 """
 
 from __future__ import annotations
 
 import re
+from collections import Counter
 from dataclasses import dataclass
 
 import numpy as np
@@ -79,71 +83,107 @@ class ToxicityModel:
         return self.scale * np.bincount(own, self.weight[ids], len(words)) / np.sqrt(np.bincount(own, minlength=len(words)))
 
 
-def train(texts: list[str], labels: list[int], class_weight: tuple[float, float] = (1.0, 1.0), dims: int = 8, epochs: int = 60, rate: float = 0.05, decay: float = 1e-4, scale: float = 100.0, least_z: float = 6.0, seed: int = 17) -> ToxicityModel:
-    """Embeddings and softmax in one gradient descent (Adam).  Only buckets whose share of toxic rows stands out by
-    `least_z` standard errors (128 buckets at least, of those above 2) get an embedding; others would only memorise rows."""
+def _apart(bags: list[np.ndarray], labels: list[int], sketch: int = 16) -> tuple[list[int], list[int]]:
+    """Places of the bags of words that are no near copies of earlier ones with the same label (half of the `sketch` words of the
+    smallest hash are the same), and for every bag the place of the one that stands for it: what stands out in copies of one
+    text would else be taken for what stands out in many."""
+    kept, stands_for, holders = [], [], {}
+    for k, b in enumerate(bags):
+        words = np.unique(b).astype(np.uint64)
+        with np.errstate(over="ignore"):
+            least = words[np.argsort(words * _A, kind="stable")[:sketch]].tolist()
+        met = Counter(h for w in least for h in holders.get((w, labels[k]), ()))
+        near = max(met.items(), key=lambda x: (x[1], -x[0]), default=(0, 0))
+        if len(least) > 3 and 2 * near[1] >= len(least):
+            stands_for.append(near[0])
+            continue
+        kept.append(k)
+        stands_for.append(k)
+        for w in least:
+            holders.setdefault((w, labels[k]), []).append(k)
+    return kept, stands_for
+
+
+def train(texts: list[str], labels: list[int], class_weight: tuple[float, float] = (1.0, 1.0), dims: int = 4, epochs: int = 40, rate: float = 0.15, decay: float = 1e-4, scale: float = 100.0, least_rows: int = 3, shrink_z: float = 16.0, seed: int = 17, part: int = 500_000) -> ToxicityModel:
+    """Embeddings and softmax in one gradient descent (Adam).
+
+    A subword of fewer than least_rows rows (of none, with under 100 rows in all) has no embedding.  The others' are scaled by
+    z^2 / (z^2 + c^2), z being the standard errors by which its share of toxic rows stands out and c shrink_z or the greatest z, if
+    that is less.  Near copies are one row of their weight together.  Subwords are summed in parts of `part`, so the memory is
+    that of the tables and of one part."""
     buckets, y = 1 << BUCKET_BITS, np.asarray(labels, dtype=np.int64)
     model = ToxicityModel(np.zeros(buckets, np.float32), -20.0 if not y.any() else 20.0 if y.all() else 0.0, scale)
     if len(set(labels)) < 2:
         return model
     index: dict[str, int] = {}
-    bags = [np.array([index.setdefault(w, len(index)) for w in words_of(t)], dtype=np.int64) for t in texts]
+    bags = [np.array([index.setdefault(w, len(index)) for w in words_of(t)], dtype=np.int32) for t in texts]
+    alone, stands_for = _apart(bags, labels)
+    weight = np.zeros(len(bags), np.float32)
+    np.add.at(weight, stands_for, np.where(y == 1, class_weight[1], class_weight[0]).astype(np.float32))
+    bags, y, weight = [bags[k] for k in alone], y[alone], weight[alone]
     n_docs, n_words = len(bags), len(index)
-    weight = np.where(y == 1, class_weight[1], class_weight[0]).astype(np.float32)
     weight /= weight.sum()
     prior = float(np.log(weight[y == 1].sum() / weight[y == 0].sum()))
     model.bias = prior
     if not n_words:
         return model
-    pairs, times = np.unique(np.concatenate([k * n_words + b for k, b in enumerate(bags)]), return_counts=True)
-    doc, word = pairs // n_words, pairs % n_words
-    share = (times / np.maximum(1, np.array([len(b) for b in bags]))[doc]).astype(np.float32)
-    words, word_toxic, word_all = list(index), np.bincount(word, y[doc], n_words), np.bincount(word, minlength=n_words)
-    toxic, all_, n_sub, parts = np.zeros(buckets), np.zeros(buckets), np.zeros(n_words), range(0, n_words, 20_000)
-    for at in parts:  # word by word in parts: what all have together would be many times the texts
+    found = [np.unique(b, return_counts=True) for b in bags]
+    word = np.concatenate([w for w, _ in found])
+    doc = np.repeat(np.arange(n_docs, dtype=np.int32), [len(w) for w, _ in found])
+    share = np.concatenate([c / max(1, len(b)) for (_, c), b in zip(found, bags)]).astype(np.float32)[:, None]
+    del bags, found
+    words, slots, n_sub = list(index), [], np.zeros(n_words, np.int64)
+    for at in range(0, n_words, 20_000):  # in parts: what the hashing holds is many times its result
         ids, own = subwords(words[at : at + 20_000])
-        toxic += np.bincount(ids, word_toxic[own + at], buckets)
-        all_ += np.bincount(ids, word_all[own + at], buckets)
         n_sub[at : at + 20_000] = np.bincount(own)
-    rate_1 = y[doc].mean()
-    z = np.abs(toxic - rate_1 * all_) / np.sqrt(rate_1 * (1 - rate_1) * np.maximum(all_, 1) + 1e-12)
-    z[all_ < min(5, n_docs)] = 0
-    kept = z >= min(least_z, max(2.0, np.sort(z)[-128]))
-    if not kept.any():
-        return model
-    slots, pairs = np.cumsum(kept) - 1, []
-    for at in parts:
-        ids, own = subwords(words[at : at + 20_000])
-        part = kept[ids]
-        pairs.append((slots[ids[part]], own[part] + at))
-    slot, s_word = (np.concatenate(c) for c in zip(*pairs))
-    s_share = (1 / np.sqrt(n_sub))[s_word].astype(np.float32)[:, None]
-    has = np.zeros(n_words, bool)
-    has[s_word] = True
-    use = has[word]
-    doc, word, share = doc[use], word[use], share[use][:, None]
+        slots.append(ids.astype(np.int32))
+    slot, s_word, s_start = np.concatenate(slots), np.repeat(np.arange(n_words, dtype=np.int32), n_sub), np.cumsum(n_sub) - n_sub
+    toxic, all_, edge = np.zeros(buckets), np.zeros(buckets), np.cumsum(np.bincount(doc, minlength=n_docs))
+    for k in range(n_docs):  # rows that hold each subword; one that many words of a row share counts once
+        own = word[edge[k - 1] if k else 0 : edge[k]]
+        held = np.unique(slot[np.arange(n_sub[own].sum()) + np.repeat(s_start[own] - (np.cumsum(n_sub[own]) - n_sub[own]), n_sub[own])])
+        all_[held] += 1
+        toxic[held] += y[k]
+    rate_1 = y.mean()
+    z2 = (toxic - rate_1 * all_) ** 2 / (rate_1 * (1 - rate_1) * np.maximum(all_, 1) + 1e-12)
+    shrunk = z2 / (z2 + min(shrink_z**2, z2.max()) + 1e-12)
+    kept = all_ >= (least_rows if n_docs >= 100 else 1)
+    use = kept[slot]
+    slot, s_word = (np.cumsum(kept) - 1).astype(np.int32)[slot[use]], s_word[use]
+    s_share = (shrunk[kept][slot] / np.sqrt(n_sub)[s_word]).astype(np.float32)[:, None]
     by_word, by_slot = np.argsort(word, kind="stable"), np.argsort(slot, kind="stable")
+
+    def summed(x: np.ndarray, take: np.ndarray, factor: np.ndarray, into: np.ndarray, n: int) -> np.ndarray:
+        """Rows take[k] of x times factor[k], added up by the ascending index `into`."""
+        out = np.zeros((n, x.shape[1]), np.float32)
+        for k in range(0, len(into), part):
+            first = int(into[k])
+            last = int(into[min(k + part, len(into)) - 1])
+            out[first : last + 1] += _sums(x[take[k : k + part]] * factor[k : k + part], into[k : k + part] - first, last - first + 1)
+        return out
+
+    slot_by, word_by, share_by = slot[by_slot], s_word[by_slot], s_share[by_slot]
+    docs_by, words_by, shares_by = doc[by_word], word[by_word], share[by_word]
     rng = np.random.default_rng(seed)
     tables = [rng.normal(0, 0.01, (int(kept.sum()), dims)).astype(np.float32), rng.normal(0, 0.3, (dims, 2)).astype(np.float32), np.array([0, prior], np.float32)]
     first, second = [np.zeros_like(t) for t in tables], [np.zeros_like(t) for t in tables]
     for epoch in range(1, epochs + 1):
         emb, out, bias = tables
-        word_vectors = _sums(emb[slot] * s_share, s_word, n_words)
-        doc_vectors = _sums(word_vectors[word] * share, doc, n_docs) * np.float32(scale)
+        word_vectors = summed(emb, slot, s_share, s_word, n_words)
+        doc_vectors = summed(word_vectors, word, share, doc, n_docs) * np.float32(scale)
         logits = doc_vectors @ out + bias
         p = np.exp(logits - logits.max(axis=1, keepdims=True))
         p /= p.sum(axis=1, keepdims=True)
         p[np.arange(n_docs), y] -= 1
         p = (p * weight[:, None]).astype(np.float32)
-        to_docs = p @ out.T * np.float32(scale)
-        to_words = _sums(to_docs[doc[by_word]] * share[by_word], word[by_word], n_words)
-        to_slots = _sums((to_words[s_word] * s_share)[by_slot], slot[by_slot], len(emb))
+        to_words = summed(p @ out.T * np.float32(scale), docs_by, shares_by, words_by, n_words)
+        to_slots = summed(to_words, word_by, share_by, slot_by, len(emb))
         for k, g in enumerate((to_slots + np.float32(decay) * emb, doc_vectors.T @ p, p.sum(axis=0))):
             first[k] = 0.9 * first[k] + 0.1 * g
             second[k] = 0.99 * second[k] + 0.01 * g * g
             tables[k] = tables[k] - np.float32(rate) * (first[k] / (1 - 0.9**epoch)) / (np.sqrt(second[k] / (1 - 0.99**epoch)) + 1e-8)
     emb, out, bias = tables
-    model.weight[kept] = emb @ (out[:, 1] - out[:, 0])
+    model.weight[kept] = (emb @ (out[:, 1] - out[:, 0])) * shrunk[kept]
     model.bias = float(bias[1] - bias[0])
     return model
 
@@ -153,10 +193,11 @@ def fit_toxicity(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text:
     to their shares among all labelled documents.
 
     The sample is chosen among keys and labels alone; only its texts are then read out of docs (a join with 2 * max_rows keys,
-    no text is shuffled for it).  Labels other than 0 and 1, and labels of no document, don't count; of repeated keys one row
-    does; a null text is empty; no rows, or one class alone, give a constant score.
+    no text is shuffled for it).  Labels other than 0 and 1, and labels of no document, don't count; of labels of one key that
+    disagree the toxic one does, of its texts the first; a null text is empty; no rows, or one class alone, give a constant score.
+    The driver holds the sampled texts, whole.
     """
-    known = labels.where(F.col(label).isin(0, 1) & F.col(key).isNotNull()).select(F.col(key).alias("k"), F.col(label).cast("int").alias("y")).dropDuplicates(["k"])
+    known = labels.where(F.col(label).isin(0, 1) & F.col(key).isNotNull()).select(F.col(key).alias("k"), F.col(label).cast("int").alias("y")).groupBy("k").agg(F.max("y").alias("y"))
     rows = known.join(docs.select(F.col(key).alias("k")), "k", "left_semi").withColumn("h", F.xxhash64("k"))
     total = {r["y"]: r["n"] for r in rows.groupBy("y").agg(F.count("*").alias("n")).collect()}
     sample = rows.where("y = 0").orderBy("h", "k").limit(max_rows).unionByName(rows.where("y = 1").orderBy("h", "k").limit(max_rows))
