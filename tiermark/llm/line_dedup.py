@@ -14,7 +14,7 @@ import uuid
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tiermark.llm.common import ascii_lower, ascii_strip, scratch_dir, stored, text_or_empty
+from tiermark.llm.common import ascii_lower, ascii_strip, scratch_dir, stored, temporary, text_or_empty
 
 
 class LineRuns:
@@ -24,9 +24,11 @@ class LineRuns:
         self.spark, self.fan_out = spark, fan_out
         self.buckets = buckets or int(spark.conf.get("spark.sql.shuffle.partitions"))
         self.levels: list[list[DataFrame]] = []
+        self.names: list[str] = []
 
     def _run(self, rows: DataFrame) -> DataFrame:
         name = f"line_run_{uuid.uuid4().hex}"
+        self.names.append(name)
         sorted_ = rows.repartition(self.buckets, "h1", "h2").sortWithinPartitions("h1", "h2")
         sorted_.write.bucketBy(self.buckets, "h1", "h2").sortBy("h1", "h2").option("path", scratch_dir(self.spark, name)).saveAsTable(name)
         return self.spark.table(name)
@@ -57,6 +59,12 @@ class LineRuns:
     def all(self) -> DataFrame:
         return self._merged([r for level in self.levels for r in level])
 
+    def close(self) -> None:
+        """Take the runs out of the catalog."""
+        for name in self.names:
+            self.spark.sql(f"DROP TABLE IF EXISTS {name}")
+        self.names.clear()
+
 
 def _lines(text: str) -> Column:
     return F.split(text_or_empty(text), "\n", -1)
@@ -88,21 +96,21 @@ def repeated_lines(docs: DataFrame, key: str = "doc_id", text: str = "text", lea
     for k in range(len(cuts) + 1):
         runs.add(lines.where(F.col("batch") == k))
     found = stored(runs.all().where(F.col("n") >= least_docs).select("h1", "h2", "owner"), "repeated")
+    runs.close()
     return lines.join(found, ["h1", "h2"]).where(~F.col("id").eqNullSafe(F.col("owner"))).select("id", "th", "at")
 
 
 def dedup_lines(docs: DataFrame, key: str = "doc_id", text: str = "text", kept: str = "kept_text", **settings) -> DataFrame:
-    """docs with every column, and kept (the lines that stay, joined by \\n), __n_lines and __n_dropped.
+    """docs with every column, and kept (the lines that stay, joined by \\n), __n_lines and __n_dropped (in place of columns so named).
 
     A null or empty text is one empty line.  Each row counts as a document; rows that repeat an id with the same text get the
     same lines dropped; a row with a null id counts and never owns a key while another id holds it.
     """
-    drop = repeated_lines(docs, key, text, **settings).groupBy("id", "th").agg(F.collect_set("at").alias("__drop"))
-    drop = drop.select(F.col("id").alias("__id"), F.col("th").alias("__th"), "__drop")
-    hashed = docs.withColumn("__text_hash", F.xxhash64(text_or_empty(text)))
-    joined = hashed.join(drop, F.col(key).eqNullSafe(F.col("__id")) & (F.col("__text_hash") == F.col("__th")), "left")
-    lines = joined.withColumn("__lines", _lines(text)).withColumn("__n_lines", F.size("__lines").cast("bigint"))
-    stay = F.array_except(F.sequence(F.lit(0), F.size("__lines") - 1), F.col("__drop"))
-    rest = F.array_join(F.transform(stay, lambda i: F.get(F.col("__lines"), i)), "\n")
-    lines = lines.withColumn(kept, F.when(F.col("__drop").isNull(), text_or_empty(text)).otherwise(rest)).withColumn("__n_dropped", F.coalesce(F.size("__drop"), F.lit(0)).cast("bigint"))
-    return lines.select(*[F.col(f"`{c}`") for c in docs.columns if c != kept], kept, "__n_lines", "__n_dropped")
+    i, t, d, th, ls = temporary("i", "t", "d", "th", "ls")
+    drop = repeated_lines(docs, key, text, **settings).groupBy("id", "th").agg(F.collect_set("at").alias(d)).select(F.col("id").alias(i), F.col("th").alias(t), d)
+    hashed = docs.withColumn(th, F.xxhash64(text_or_empty(text)))
+    joined = hashed.join(drop, F.col(key).eqNullSafe(F.col(i)) & (F.col(th) == F.col(t)), "left").withColumn(ls, _lines(text))
+    stay = F.array_except(F.sequence(F.lit(0), F.size(ls) - 1), F.col(d))
+    rest = F.array_join(F.transform(stay, lambda k: F.get(F.col(ls), k)), "\n")
+    new = {kept: F.when(F.col(d).isNull(), text_or_empty(text)).otherwise(rest), "__n_lines": F.size(ls).cast("bigint"), "__n_dropped": F.coalesce(F.size(d), F.lit(0)).cast("bigint")}
+    return joined.select(*[F.col(f"`{c}`") for c in docs.columns if c not in new], *[v.alias(n) for n, v in new.items()])
