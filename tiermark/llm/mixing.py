@@ -15,7 +15,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from tiermark.llm.common import stored, text_or_empty
+from tiermark.llm.common import stored, temporary, text_or_empty
 
 WORD = r"[^\x20\x09-\x0D]+"
 
@@ -32,13 +32,11 @@ def targets(sizes: dict[str | None, int], weights: tuple[int, ...] = (1, 2, 3),
     out, open_, left = {}, list(names), float(sum(sizes.values()))
     while open_:
         unit = left / sum(weight[s] for s in open_)
-        over = [s for s in open_ if unit * weight[s] > most * sizes[s]]
+        over = {s for s in open_ if unit * weight[s] > most * sizes[s]}
         if not over:
             return out | {s: unit * weight[s] for s in open_}
-        for s in over:
-            out[s] = most * sizes[s]
-            left -= out[s]
-            open_.remove(s)
+        out |= {s: most * sizes[s] for s in over}
+        left, open_ = left - sum(out[s] for s in names if s in over), [s for s in open_ if s not in over]
     return out
 
 
@@ -109,50 +107,55 @@ class Mix:
 
 
 def plan_mix(patterns: dict[tuple, int], weights: tuple[int, ...] = (1, 2, 3), most: int = 3) -> Mix:
-    """patterns: words by membership (a tuple of sources).  A source's size counts every document that is a member."""
+    """patterns: words by membership (a tuple of sources).  A source's size counts every document that is a member.
+
+    The network holds the sources that share documents with others.  A source with documents of its own alone takes its target
+    from them, the first time at no cost: what the network would give it."""
     sizes: dict = {}
     for p, n in patterns.items():
         for s in p:
             sizes[s] = sizes.get(s, 0) + n
-    want = targets(sizes, weights, most)
-    names, keys = list(sizes), list(patterns)
-    arcs, given = [], []
+    want, keys = targets(sizes, weights, most), list(patterns)
+    sharing = {s: k for k, s in enumerate(dict.fromkeys(s for p in keys if len(p) > 1 for s in p))}
+    arcs, given, flow = [], [], {}
     for k, p in enumerate(keys):
+        if not sharing.keys() & set(p):
+            flow |= {(k, s): min(round(want[s]), most * patterns[p]) for s in p}
+            continue
         arcs += [(0, 2 + k, patterns[p], times) for times in range(most)]
         for s in p:
             given.append((len(arcs), k, s))
-            arcs.append((2 + k, 2 + len(keys) + names.index(s), most * patterns[p], 0))
-    arcs += [(2 + len(keys) + i, 1, round(want[s]), 0) for i, s in enumerate(names)]
-    flow = min_cost_flow(arcs, 0, 1)
-    return Mix(keys, list(patterns.values()), sizes, want, {(k, s): flow[a] for a, k, s in given})
+            arcs.append((2 + k, 2 + len(keys) + sharing[s], most * patterns[p], 0))
+    arcs += [(2 + len(keys) + i, 1, round(want[s]), 0) for s, i in sharing.items()]
+    found = min_cost_flow(arcs, 0, 1)
+    return Mix(keys, list(patterns.values()), sizes, want, flow | {(k, s): found[a] for a, k, s in given})
 
 
-def mix_sources(docs: DataFrame, key: str = "doc_id", text: str = "text", members: Column | None = None, weights: tuple[int, ...] = (1, 2, 3), most: int = 3, seed: int = 11, max_patterns: int = 4096) -> tuple[DataFrame, Mix]:
-    """One row a row of docs: id, th (hash of the text), pattern (its place), size in words, copies (how often the mix takes
-    the document, 0 to `most`); and the plan.
+def mix_sources(docs: DataFrame, key: str = "doc_id", text: str = "text", members: Column | None = None, weights: tuple[int, ...] = (1, 2, 3), most: int = 3, seed: int = 11) -> tuple[DataFrame, Mix]:
+    """One row a row of docs: id, th (hash of the text), mh (hash of its sources), pattern (its place), size in words, copies
+    (how often the mix takes the document, 0 to `most`); and the plan.
 
     members: an array of the sources that a row belongs to (default: its `source` alone; null is a source of its own).  Words
     beyond whole passes are taken by seeded hash up to the quota; a document that would overshoot it is passed over, until what is
     missing is about three documents.  These are chosen for the sum that comes nearest, and then no document is left that still fits.
-    Where more than the smallest document is missing then, the selection is made again with the next larger one taken first.  Rows that repeat an id and text share their fate.  Empty texts have size 0 and
-    go along with the whole passes.  More than max_patterns patterns are an error: the network is solved on the driver.
+    Where more than the smallest document is missing then, the selection is made again with the next larger one taken first.
+    Rows that repeat an id, text and sources share their fate; with other sources they are other documents.  Empty texts have
+    size 0 and go along with the whole passes.  The driver holds a row a pattern, never a row a document.
     """
     spark = docs.sparkSession
     member = members if members is not None else F.array(F.col("source").cast("string"))
-    base = docs.select(F.col(key).alias("id"), F.xxhash64(text_or_empty(text)).alias("th"), F.array_sort(F.array_distinct(member)).alias("pattern_of"), word_count(text).alias("size"))
-    rows = stored(base.withColumn("h", F.xxhash64(F.lit(seed), "id", "th")), "sizes")
-    counted = rows.groupBy("pattern_of").agg(F.sum("size").alias("words"), F.count("*").alias("n")).limit(max_patterns + 1).collect()
-    if len(counted) > max_patterns:
-        raise ValueError(f"more than {max_patterns} membership patterns")
+    base = docs.select(F.col(key).alias("id"), F.xxhash64(text_or_empty(text)).alias("th"), F.coalesce(F.array_sort(F.array_distinct(member)), F.array().cast("array<string>")).alias("pattern_of"), word_count(text).alias("size"))
+    rows = stored(base.withColumn("h", F.xxhash64(F.lit(seed), "id", "th")).withColumn("mh", _members_hash(F.col("pattern_of"))), "sizes")
+    counted = rows.groupBy("pattern_of").agg(F.sum("size").alias("words"), F.count("*").alias("n")).collect()
     found = {tuple(r["pattern_of"] or ()): r for r in sorted(counted, key=lambda r: tuple((s is None, s or "") for s in r["pattern_of"] or ()))}
     plan = plan_mix({p: r["words"] for p, r in found.items()}, weights, most)
     out = []
     for k, p in enumerate(plan.patterns):
         total, n = sum(plan.flow.get((k, s), 0) for s in p), plan.pattern_sizes[k]
         out.append((list(p), k, total // n if n else 0, total % n if n else 0))
-    quota = F.broadcast(spark.createDataFrame(out, "p_of array<string>, pattern int, passes int, more bigint"))  # max_patterns rows at most
+    quota = spark.createDataFrame(out, "p_of array<string>, pattern int, passes int, more bigint")
     bits = max(4, min(20, (sum(r["n"] for r in counted) // 1000).bit_length()))
-    placed = rows.join(quota, F.coalesce("pattern_of", F.array().cast("array<string>")).eqNullSafe(F.col("p_of"))).drop("p_of", "pattern_of")
+    placed = rows.join(quota, F.to_json("pattern_of", {"ignoreNullFields": "false"}) == F.to_json("p_of", {"ignoreNullFields": "false"})).drop("p_of", "pattern_of")
     # rows that repeat an id and text are one unit
     placed = stored(placed.withColumn("unit", F.sum("size").over(Window.partitionBy("pattern", "h"))), "placed")
     goals = {k: more for _, k, _, more in out if more}
@@ -166,11 +169,11 @@ def mix_sources(docs: DataFrame, key: str = "doc_id", text: str = "text", member
         for k in other[0]:
             if abs(other[0][k]) < gaps[k]:
                 gaps[k], rules[k], added[k] = (x.get(k, []) for x in other)
-    more = F.broadcast(spark.createDataFrame([(k, rules[k], added.get(k, [])) for k in rules], f"r_pattern int, {_RULES}, added array<bigint>"))
+    more = spark.createDataFrame([(k, rules[k], added.get(k, [])) for k in rules], f"r_pattern int, {_RULES}, added array<bigint>")
     joined = placed.join(more, F.col("pattern") == F.col("r_pattern"), "left")
     extra = F.coalesce((F.col("size") > 0) & (_by_rules() | F.array_contains("added", F.col("h"))), F.lit(False))
     copies = F.least(F.lit(most), F.col("passes") + extra.cast("int"))
-    return joined.select("id", "th", "pattern", "size", copies.alias("copies")), plan
+    return joined.select("id", "th", "mh", "pattern", "size", copies.alias("copies")), plan
 
 
 _RULES = "rules array<struct<bound: bigint, cut: bigint>>"
@@ -184,7 +187,7 @@ def _by_rules() -> Column:
 def _left(spark, placed: DataFrame, bounds: dict[int, tuple], added: dict[int, list[int]]) -> DataFrame:
     """Rows of the patterns in bounds (a bound and rules each) that have words and are not taken yet; column bound."""
     table = spark.createDataFrame([(k, b, r, added.get(k, [])) for k, (b, r) in bounds.items()], f"r_pattern int, bound bigint, {_RULES}, added array<bigint>")
-    joined = placed.join(F.broadcast(table), F.col("pattern") == F.col("r_pattern")).where("size > 0")  # max_patterns rows at most
+    joined = placed.join(table, F.col("pattern") == F.col("r_pattern")).where("size > 0")
     return joined.where(~_by_rules() & ~F.array_contains("added", F.col("h"))).select("pattern", "h", "size", "unit", "bound")
 
 
@@ -231,10 +234,18 @@ def _fill(spark, placed: DataFrame, bits: int, gaps: dict[int, int], rules: dict
             gaps[r["pattern"]] -= r["words"]
 
 
-def mixed_documents(docs: DataFrame, key: str = "doc_id", text: str = "text", **settings) -> DataFrame:
-    """docs with every column, each row as often as the mix takes it."""
-    taken, _ = mix_sources(docs, key, text, **settings)
-    taken = taken.where("copies > 0").select(F.col("id").alias("__id"), F.col("th").alias("__th"), F.col("copies").alias("__copies")).distinct()
-    hashed = docs.withColumn("__text_hash", F.xxhash64(text_or_empty(text)))
-    joined = hashed.join(taken, F.col(key).eqNullSafe(F.col("__id")) & (F.col("__text_hash") == F.col("__th")))
-    return joined.withColumn("__copy", F.explode(F.sequence(F.lit(1), F.col("__copies")))).select(*docs.columns)
+def _members_hash(sources: Column) -> Column:
+    """Of the sources in order, where null is unlike any name."""
+    return F.xxhash64(F.transform(sources, lambda s: F.struct(s.isNull(), F.coalesce(s, F.lit("")))))
+
+
+def mixed_documents(docs: DataFrame, key: str = "doc_id", text: str = "text", members: Column | None = None, **settings) -> DataFrame:
+    """docs with every column, each row as often as the mix takes it; nulls, repeats and empty texts as in mix_sources."""
+    member = members if members is not None else F.array(F.col("source").cast("string"))
+    taken, _ = mix_sources(docs, key, text, members, **settings)
+    i, t, m, c, th, mh, at = temporary("i", "t", "m", "c", "th", "mh", "at")
+    taken = taken.where("copies > 0").select(F.col("id").alias(i), F.col("th").alias(t), F.col("mh").alias(m), F.col("copies").alias(c)).distinct()
+    sources = F.coalesce(F.array_sort(F.array_distinct(member)), F.array().cast("array<string>"))
+    hashed = docs.withColumns({th: F.xxhash64(text_or_empty(text)), mh: _members_hash(sources)})
+    joined = hashed.join(taken, F.col(key).eqNullSafe(F.col(i)) & (F.col(th) == F.col(t)) & (F.col(mh) == F.col(m)))
+    return joined.withColumn(at, F.explode(F.sequence(F.lit(1), F.col(c)))).select(*[F.col(f"`{x}`") for x in docs.columns])

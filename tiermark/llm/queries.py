@@ -63,7 +63,7 @@ def op5_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op6_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     rows, plan = mixing.mix_sources(docs)
-    sources = F.broadcast(spark.createDataFrame([(k, plan.sizes[p[0]], float(plan.targets[p[0]])) for k, p in enumerate(plan.patterns)], "pattern int, source_size bigint, target double"))
+    sources = spark.createDataFrame([(k, plan.sizes[p[0]], float(plan.targets[p[0]])) for k, p in enumerate(plan.patterns)], "pattern int, source_size bigint, target double")
     return rows.join(sources, "pattern").select(F.col("id").alias("doc_id"), "size", "source_size", "target", (F.col("size") * F.col("copies")).cast("bigint").alias("taken"))
 
 
