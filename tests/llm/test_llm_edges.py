@@ -9,6 +9,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from tests.llm import brute
+from tests.llm.test_near_copies import _components as jaccard_groups
 from tiermark.llm import fingerprints, licenses, line_dedup, mixing, pieces, simhash, token_files, topk, toxicity, warc
 from tiermark.llm.queries import tokenizer_path
 
@@ -306,6 +307,49 @@ def test_toxicity(spark, odd, none):
     assert toxicity.train(["a b"], [1]).bias > 0
 
 
+def test_subwords_against_a_plain_hash():
+    """Buckets and logits of words by the definition, one n-gram at a time in whole numbers."""
+    mask, a, b = (1 << 64) - 1, 0x9E3779B97F4A7C15, 0xBF58476D1CE4E5B9
+
+    def buckets(word):
+        padded, out = f"<{word}>", []
+        for n in (3, 4, 5):
+            for at in range(len(padded) - n + 1):
+                h = n * b & mask
+                for c in padded[at : at + n]:
+                    h = (h ^ ord(c)) * a & mask
+                    h ^= h >> 29
+                out.append(h >> 64 - toxicity.BUCKET_BITS)
+        whole = sum(((w := (ord(c) + 1) * (k * b + a & mask) & mask) ^ w >> 31) * a & mask for k, c in enumerate(padded)) & mask
+        return sorted([*out, ((whole ^ whole >> 29) * b & mask) >> 64 - toxicity.BUCKET_BITS])
+
+    words = ["a", "idiot", "straße", "日本", "😀x", "stupid" * 9]
+    ids, own = toxicity.subwords(words)
+    assert [sorted(ids[own == k].tolist()) for k in range(len(words))] == [buckets(w) for w in words]
+    rng = np.random.default_rng(0)
+    model = toxicity.ToxicityModel(rng.normal(size=1 << toxicity.BUCKET_BITS).astype(np.float32), 0.25, 100.0)
+    want = [100 * sum(float(model.weight[k]) for k in buckets(w)) / len(buckets(w)) ** 0.5 for w in words]
+    assert model.word_logits(words) == pytest.approx(want)
+
+
+def test_rare_toxic_words_and_their_misspellings_are_learnt():
+    """Three toxic words, each in few rows among many words without meaning; then misspelt."""
+    import random
+
+    rng = random.Random(6)
+    word = lambda: "".join(rng.choices("abcdefghijklmnoprstuvw", k=rng.randrange(3, 9)))
+    lexicon = [word() for _ in range(600)]
+    bad = ["wretchling", "filthmonger", "scoundrellish"]
+    make = lambda k: " ".join(rng.choices(lexicon, k=40) + [bad[k % 3]] * (k % 8 == 0))
+    texts = [make(k) for k in range(1200)]
+    model = toxicity.train(texts, [int(k % 8 == 0) for k in range(1200)])
+    score = lambda t: model.word_logits(toxicity.words_of(t)).mean() + model.bias
+    assert np.mean([score(make(8 * k)) > 0 for k in range(100)]) > 0.9
+    assert np.mean([score(make(1)) < 0 for _ in range(200)]) > 0.97
+    misspelt = ["wretchhling", "wretchlin", "filthmonnger", "filthmnoger", "scoundrelish", "scoundrrellish"]
+    assert np.mean([model.word_logits([w])[0] > 0.3 * model.word_logits([bad[k // 2]])[0] for k, w in enumerate(misspelt)]) > 0.8
+
+
 def test_pipeline_stages(spark, sf, tmp_path):
     import corpus_pipeline
 
@@ -324,8 +368,7 @@ def test_pipeline_stages(spark, sf, tmp_path):
         if name == "line dedup":
             assert Counter((r["doc_id"], r["text"]) for r in after) == Counter((i, k) for i, _, _, k in brute.line_dedup(list(before.items())))
         elif name == "near-dedup":
-            want = brute.components({i: brute.fingerprint(t) for i, t in before.items()})
-            assert sorted(r["doc_id"] for r in after) == sorted(set(want.values()))
+            assert sorted(r["doc_id"] for r in after) == sorted(set(jaccard_groups(before).values()))
         else:
             assert {r["doc_id"] for r in after} <= set(before) and all(before[r["doc_id"]] == r["text"] for r in after)
         docs = out

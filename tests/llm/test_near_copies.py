@@ -3,9 +3,10 @@
 import random
 from collections import Counter
 
+import numpy as np
 import pytest
 
-from tiermark.llm import jaccard
+from tiermark.llm import jaccard, simhash
 
 
 def _shingles(text, k=5):
@@ -51,13 +52,13 @@ def _family(n=160):
     return dict(enumerate(docs))
 
 
-@pytest.mark.parametrize("settings", [{}, {"bucket_rows": 2, "common_docs": 3}, {"bucket_rows": 8, "common_docs": 10_000}])
+@pytest.mark.parametrize("settings", [{}, {"rounds": 1, "common_docs": 3}, {"rounds": 2, "common_docs": 10_000}])
 def test_components_are_those_of_all_pairs(spark, settings):
     docs = _family()
     want = _components(docs)
     df = spark.createDataFrame(list(docs.items()), "doc_id bigint, text string").repartition(3)
     got = jaccard.jaccard_components(df, **settings).collect()
-    assert {r["doc_id"]: r["component_id"] for r in got} == want
+    assert {r["id"]: r["component_id"] for r in got} == want
     assert len(got) == len(docs) and 1 < len(set(want.values())) < len(docs)
 
 
@@ -72,8 +73,33 @@ def test_near_dedup_stage_keeps_one_of_each_group(spark, sf):
     assert sorted(r["doc_id"] for r in out.collect()) == sorted(set(want.values()))
 
 
-def test_null_and_repeated_keys(spark):
-    rows = [(None, "a b c"), (None, "a b c"), (3, "a b c"), (5, "A b c"), (3, "a b c"), (7, None)]
+def test_no_base_among_the_copies(spark):
+    """A family whose members are further from each other than from the text that all come from, which is not among them."""
+    rng = random.Random(8)
+    base = [f"b{k}" for k in range(120)]
+    docs = {}
+    for i in range(150):
+        copy = list(base)
+        for at in rng.sample(range(120), rng.choice([1, 2, 3])):
+            copy[at] = f"own{i}x{at}"
+        docs[i] = " ".join(copy)
+    got = jaccard.jaccard_components(spark.createDataFrame(list(docs.items()), "doc_id bigint, text string").repartition(4)).collect()
+    assert {r["id"]: r["component_id"] for r in got} == _components(docs)
+
+
+def test_bitmaps_bound_the_difference():
+    rng = random.Random(2)
+    for n in (0, 3, 100, 2000):
+        a = {rng.getrandbits(62) for _ in range(n)}
+        b = set(rng.sample(sorted(a), n // 2)) | {rng.getrandbits(62) for _ in range(n // 3)}
+        x, y = (jaccard.bitmap(np.array(sorted(s), dtype=np.int64)) for s in (a, b))
+        assert int(np.bitwise_count((x ^ y).view(np.uint64)).sum()) <= len(a ^ b)
+
+
+@pytest.mark.parametrize("similarity", [None, (4, 5)])
+def test_null_and_repeated_keys(spark, similarity):
+    rows = [(None, "a b c"), (None, "a b c"), (3, "a b c"), (5, "A b c"), (3, "a b c"), (7, None), (3, "something else"), (3, "a b  c"), (9, "something  else")]
     df = spark.createDataFrame(rows, "doc_id bigint, text string")
-    assert Counter(r["doc_id"] for r in jaccard.drop_jaccard_copies(df).collect()) == Counter({None: 2, 3: 1, 7: 1})
-    assert jaccard.drop_jaccard_copies(df.limit(0)).count() == 0
+    got = Counter((r["doc_id"], " ".join((r["text"] or "").split())) for r in simhash.drop_near_duplicates(df, similarity=similarity).collect())
+    assert got == Counter({(None, "a b c"): 2, (3, "a b c"): 1, (7, ""): 1, (3, "something else"): 1})
+    assert simhash.drop_near_duplicates(df.limit(0), similarity=similarity).count() == 0

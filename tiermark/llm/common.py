@@ -11,6 +11,7 @@ import uuid
 import tiermark
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 #: The end-of-file byte of every blob file, see write_blobs.
 _END = "\0"
@@ -82,3 +83,38 @@ def ship(spark: SparkSession) -> None:
         atexit.register(shutil.rmtree, folder, ignore_errors=True)
         top = os.path.dirname(os.path.dirname(os.path.abspath(tiermark.__file__)))
         sc.addPyFile(shutil.make_archive(os.path.join(folder, "tiermark"), "zip", top, "tiermark"))
+
+
+def temporary(*names: str) -> list[str]:
+    """Column names that no table has."""
+    tail = uuid.uuid4().hex
+    return [f"{n}_{tail}" for n in names]
+
+
+def connected(links: DataFrame) -> DataFrame:
+    """Columns node and root (the smallest node reachable) for every node of links (a, b), by alternating large and small
+    stars; every step is a grouped minimum and a join, its result is checkpointed, and the end is told by a checksum."""
+    scratch_dir(links.sparkSession, "any")  # sets the checkpoint folder where none is set
+    edges, last = links.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).where("u <> v").distinct().checkpoint(), None
+    while True:
+        n, total = edges.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
+        if not n or (n, total) == last:
+            return edges.select(F.col("u").alias("node"), F.col("v").alias("root")).unionByName(edges.select(F.col("v").alias("node"), F.col("v").alias("root"))).groupBy("node").agg(F.min("root").alias("root"))
+        last = (n, total)
+        both = edges.unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
+        least = both.groupBy("u").agg(F.least(F.min("v"), F.first("u")).alias("m"))
+        large = both.join(least, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").distinct()
+        least = large.groupBy("u").agg(F.min("v").alias("m"))
+        down = large.join(least, "u")
+        edges = down.where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v")).unionByName(least.select("u", F.col("m").alias("v"))).distinct().checkpoint()
+
+
+def keep_first(docs: DataFrame, key: str, text: str, kept: DataFrame) -> DataFrame:
+    """Rows of docs, all columns, whose key and text hash are in kept (id, th, no repeats), once each (of repeats the one of the
+    smallest hash over all columns), and all rows with a null key."""
+    k, h, th, n = temporary("k", "h", "th", "n")
+    hashed = docs.where(F.col(key).isNotNull()).withColumn(th, F.xxhash64(text_or_empty(text)))
+    found = hashed.join(kept.select(F.col("id").alias(k), F.col("th").alias(h)), (F.col(key) == F.col(k)) & (F.col(th) == F.col(h)), "left_semi")
+    first = Window.partitionBy(key, th).orderBy(F.xxhash64(*[F.col(f"`{c}`") for c in docs.columns]))
+    one = found.withColumn(n, F.row_number().over(first)).where(F.col(n) == 1).drop(n, th)
+    return one.unionByName(docs.where(F.col(key).isNull()))

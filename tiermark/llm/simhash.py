@@ -18,7 +18,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from tiermark.llm.common import scratch_dir, stored
+from tiermark.llm.common import connected, keep_first, stored, temporary, text_or_empty
 
 _BITS = np.unpackbits(np.arange(256, dtype=np.uint8)[:, None], axis=1, bitorder="little").astype(np.int64)
 _LANES = np.arange(8, dtype=np.int64) * 256
@@ -82,22 +82,17 @@ def hamming_links(nodes: DataFrame, max_bits: int = 2, blocks: int = 5, bucket_r
     return pairs.unionByName(stars).distinct()
 
 
-def connected(links: DataFrame) -> DataFrame:
-    """Columns node and root (the smallest node reachable) for every node of links (a, b), by alternating large and small
-    stars; every step is a grouped minimum and a join, its result is checkpointed, and the end is told by a checksum."""
-    scratch_dir(links.sparkSession, "any")  # sets the checkpoint folder where none is set
-    edges, last = links.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).where("u <> v").distinct().checkpoint(), None
-    while True:
-        n, total = edges.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
-        if not n or (n, total) == last:
-            return edges.select(F.col("u").alias("node"), F.col("v").alias("root")).unionByName(edges.select(F.col("v").alias("node"), F.col("v").alias("root"))).groupBy("node").agg(F.min("root").alias("root"))
-        last = (n, total)
-        both = edges.unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        least = both.groupBy("u").agg(F.least(F.min("v"), F.first("u")).alias("m"))
-        large = both.join(least, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").distinct()
-        least = large.groupBy("u").agg(F.min("v").alias("m"))
-        down = large.join(least, "u")
-        edges = down.where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v")).unionByName(least.select("u", F.col("m").alias("v"))).distinct().checkpoint()
+def _classes(docs: DataFrame, key: str, text: str, words: int, max_bits: int, blocks: int, bucket_rows: int) -> DataFrame:
+    """id, th (hash of the text), fp, component_id and component_th (the smallest key, and the smallest text hash under it)."""
+    rows = stored(docs.select(F.col(key).alias("id"), F.xxhash64(text_or_empty(text)).alias("th"), simhash_column(text, words).alias("fp")), "fingerprints")
+    first = F.min(F.struct(F.col("id").isNull().alias("none"), "id", "th"))
+    nodes = stored(rows.groupBy("fp").agg(first.alias("least")), "nodes")
+    links = hamming_links(nodes.select("fp"), max_bits, blocks, bucket_rows)
+    roots = stored(connected(links), "roots")
+    joined = nodes.join(roots.withColumnRenamed("node", "fp"), "fp", "left").withColumn("root", F.coalesce("root", "fp"))
+    named = joined.groupBy("root").agg(F.min("least").alias("first"))
+    lone = joined.select("fp", "root").join(named, "root").select("fp", F.col("first.id").alias("component_id"), F.col("first.th").alias("component_th"))
+    return rows.join(stored(lone, "classes"), "fp")  # both sides of the join are plain: a fingerprint may have a third of the rows
 
 
 def simhash_components(docs: DataFrame, key: str = "doc_id", text: str = "text", words: int = 3, max_bits: int = 2, blocks: int = 5, bucket_rows: int = 32) -> DataFrame:
@@ -106,22 +101,23 @@ def simhash_components(docs: DataFrame, key: str = "doc_id", text: str = "text",
     Null and empty texts have fingerprint zero and are linked like any other.  A null key never names a component unless no
     row of it has a key; repeated rows are repeated in the result.
     """
-    rows = stored(docs.select(F.col(key).alias("id"), simhash_column(text, words).alias("fp")), "fingerprints")
-    nodes = stored(rows.groupBy("fp").agg(F.min("id").alias("least")), "nodes")
-    links = hamming_links(nodes.select("fp"), max_bits, blocks, bucket_rows)
-    roots = stored(connected(links), "roots")
-    joined = nodes.join(roots.withColumnRenamed("node", "fp"), "fp", "left").withColumn("root", F.coalesce("root", "fp"))
-    named = joined.groupBy("root").agg(F.min("least").alias("component_id"))
-    lone = joined.select("fp", "root").join(named, "root").select("fp", "component_id")
-    classes = stored(lone, "classes")  # so that both sides of the next join are plain: a fingerprint may have a third of the rows
     hexed = F.lpad(F.lower(F.hex("fp")), 16, "0")
-    return rows.join(classes, "fp").select(F.col("id").alias(key), hexed.alias("fingerprint"), "component_id")
+    return _classes(docs, key, text, words, max_bits, blocks, bucket_rows).select(F.col("id").alias(key), hexed.alias("fingerprint"), "component_id")
 
 
-def drop_near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", **settings) -> DataFrame:
-    """The rows of docs, all columns, of which each component keeps the one of its smallest key (once, should it repeat).
-    Rows with a null key all stay: no decision can name them."""
-    kept = simhash_components(docs, key, text, **settings).where(F.col(key) == F.col("component_id")).select(F.col(key).alias("__kept_id")).distinct()
-    names = docs.columns
-    found = docs.where(F.col(key).isNotNull()).join(kept, F.col(key) == F.col("__kept_id"), "left_semi").dropDuplicates([key])
-    return found.select(*names).unionByName(docs.where(F.col(key).isNull()))
+def drop_near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", words: int = 3, similarity: tuple[int, int] | None = None, max_bits: int = 2, blocks: int = 5, bucket_rows: int = 32) -> DataFrame:
+    """The rows of docs, all columns, of which each component keeps one: that of its smallest key.
+
+    With `similarity`, a fraction, documents are linked where their sets of shingles have that Jaccard similarity or more, in place
+    of fingerprints within max_bits: 64 bits can't tell 0.8 from 0.7 (see the README).  Rows with a null key all stay: no
+    decision can name them.  Rows of one key with different texts are documents of their own; of rows that repeat key and
+    text one stays.
+    """
+    if similarity:
+        from tiermark.llm.jaccard import jaccard_components
+
+        found = jaccard_components(docs, key, text, words, similarity)
+    else:
+        found = _classes(docs.where(F.col(key).isNotNull()), key, text, words, max_bits, blocks, bucket_rows)
+    kept = found.where((F.col("id") == F.col("component_id")) & (F.col("th") == F.col("component_th")))
+    return keep_first(docs, key, text, kept.select("id", "th").distinct())
