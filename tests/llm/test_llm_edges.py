@@ -1,7 +1,7 @@
 """Nulls, empty and very long texts, ties, repeated rows, empty tables, and extra columns whose names clash with inner ones."""
 
 import hashlib
-import zlib
+import math
 from collections import Counter
 
 import numpy as np
@@ -205,6 +205,39 @@ def test_top_k(spark):
     assert Counter(r["query_id"] for r in few) == {0: 5, 20: 5}
 
 
+def test_top_k_of_any_finite_components(spark):
+    """Components of 1e6 to 1e16: whole numbers beyond what floats hold, up to what a long holds."""
+    rng = np.random.default_rng(9)
+    rows = [(k, (rng.normal(size=4) * 10.0 ** int(rng.integers(-2, 7))).tolist()) for k in range(120)]
+    rows += [(200, [1e6, 0.0, 0.0, 0.0]), (220, [0.0] * 6 + [1e14, 1.0]), (222, [0.0] * 6 + [8.0]), (221, [0.015625, 3.0]), (240, [0.0] * 4 + [1e16]), (241, [0.0] * 4 + [0.0625]), (242, [0.0] * 4 + [-0.03125]), (243, [0.0] * 5 + [1e16])]
+    df = spark.createDataFrame(rows, "vec_id bigint, embedding array<double>").repartition(3)
+    whole = {i: [math.floor(64 * x) for x in v] for i, v in rows}
+    want = set()
+    for i in whole:
+        if i % 20 == 0:
+            scores = sorted((-sum(a * b for a, b in zip(whole[i], v)), j) for j, v in whole.items() if j != i)
+            assert all(abs(s) < 1 << 63 for s, _ in scores)
+            want |= {(i, n + 1, j, -s) for n, (s, j) in enumerate(scores[:5])}
+    got = topk.exact_top_k(df, F.col("vec_id") % 20 == 0, k=5, n_pivots=3, block_rows=16, group_queries=4)
+    assert {tuple(r) for r in got.select("query_id", "rank", "vec_id", "score").collect()} == want
+
+
+def test_pivots_eliminate_and_stop_exactly():
+    """Vectors near a plane: places from distances bound products from above, and few candidates are evaluated."""
+    rng = np.random.default_rng(3)
+    x = np.floor(64 * np.concatenate((rng.normal(size=(3000, 6)), 0.05 * rng.normal(size=(3000, 26))), axis=1))
+    table = topk.PivotTable(x[:500], 12)
+    places = table.places(x, table.distances(x))
+    q = x[:50]
+    assert ((places[:50].astype(float) @ places.T) * table.unit**2 >= q @ x.T - 1e-3 * table.unit).all()
+    ids = np.arange(3000)
+    i, found, scores, evaluated = topk.search_block(q, ids[:50], places[:50], x, ids, places, 20, np.full(50, -np.inf), table.unit)
+    for k in range(50):
+        want = sorted((-float(s), j) for j, s in enumerate(q[k] @ x.T) if j != k)[:20]
+        assert sorted((-s, j) for a, j, s in zip(i, found, scores) if a == k) == [(s, j) for s, j in want]
+    assert evaluated < 0.2 * 50 * 3000
+
+
 def test_warc(spark):
     rows = [(1, "http://a/b c", "x", 9), (2, None, "x", 9), (3, "http://a/ü", None, 9), (4, "http://a", "", 9), (5, "http://a", "É" * 100_000, 9), (None, "http://n", "x", 9), (None, "http://n", "alone", 9), (5, "http://a", "É" * 100_000, 9)]
     df = spark.createDataFrame(rows, "page_id bigint, url string, html string, at int").repartition(3)
@@ -372,4 +405,3 @@ def test_pipeline_stages(spark, sf, tmp_path):
         else:
             assert {r["doc_id"] for r in after} <= set(before) and all(before[r["doc_id"]] == r["text"] for r in after)
         docs = out
-    assert zlib.crc32(b"5") % 5 in range(5)
