@@ -52,7 +52,7 @@ def _family(n=160):
     return dict(enumerate(docs))
 
 
-@pytest.mark.parametrize("settings", [{}, {"rounds": 1, "common_docs": 3}, {"rounds": 2, "common_docs": 10_000}])
+@pytest.mark.parametrize("settings", [{}, {"rounds": 1, "common_docs": 3, "bucket_rows": 2}, {"common_docs": 10_000, "bucket_rows": 8}])
 def test_components_are_those_of_all_pairs(spark, settings):
     docs = _family()
     want = _components(docs)

@@ -104,7 +104,7 @@ def _apart(bags: list[np.ndarray], labels: list[int], sketch: int = 16) -> tuple
     return kept, stands_for
 
 
-def train(texts: list[str], labels: list[int], class_weight: tuple[float, float] = (1.0, 1.0), dims: int = 4, epochs: int = 40, rate: float = 0.15, decay: float = 1e-4, scale: float = 100.0, least_rows: int = 3, shrink_z: float = 16.0, seed: int = 17, part: int = 500_000) -> ToxicityModel:
+def train(texts: list[str], labels: list[int], class_weight: tuple[float, float] = (1.0, 1.0), dims: int = 4, epochs: int = 40, rate: float = 0.15, decay: float = 1e-4, scale: float = 100.0, least_rows: int = 3, shrink_z: float = 16.0, seed: int = 17, part: int = 250_000) -> ToxicityModel:
     """Embeddings and softmax in one gradient descent (Adam).
 
     A subword of fewer than least_rows rows (of none, with under 100 rows in all) has no embedding.  The others' are scaled by
@@ -150,34 +150,36 @@ def train(texts: list[str], labels: list[int], class_weight: tuple[float, float]
     kept = all_ >= (least_rows if n_docs >= 100 else 1)
     use = kept[slot]
     slot, s_word = (np.cumsum(kept) - 1).astype(np.int32)[slot[use]], s_word[use]
-    s_share = (shrunk[kept][slot] / np.sqrt(n_sub)[s_word]).astype(np.float32)[:, None]
+    del slots, use
+    of_slot, of_word = shrunk[kept].astype(np.float32)[:, None], (1 / np.sqrt(np.maximum(n_sub, 1))).astype(np.float32)[:, None]
     by_word, by_slot = np.argsort(word, kind="stable"), np.argsort(slot, kind="stable")
 
-    def summed(x: np.ndarray, take: np.ndarray, factor: np.ndarray, into: np.ndarray, n: int) -> np.ndarray:
-        """Rows take[k] of x times factor[k], added up by the ascending index `into`."""
+    def summed(x: np.ndarray, take: np.ndarray, into: np.ndarray, n: int, factor: np.ndarray | None = None) -> np.ndarray:
+        """Rows take[k] of x (times factor[k]), added up by the ascending index `into`."""
         out = np.zeros((n, x.shape[1]), np.float32)
         for k in range(0, len(into), part):
-            first = int(into[k])
-            last = int(into[min(k + part, len(into)) - 1])
-            out[first : last + 1] += _sums(x[take[k : k + part]] * factor[k : k + part], into[k : k + part] - first, last - first + 1)
+            to = into[k : k + part]
+            some = x[take[k : k + part]] if factor is None else x[take[k : k + part]] * factor[k : k + part]
+            out[to[0] : to[-1] + 1] += _sums(some, to - to[0], int(to[-1] - to[0]) + 1)
         return out
 
-    slot_by, word_by, share_by = slot[by_slot], s_word[by_slot], s_share[by_slot]
+    slot_by, word_by = slot[by_slot], s_word[by_slot]
     docs_by, words_by, shares_by = doc[by_word], word[by_word], share[by_word]
+    del by_word, by_slot
     rng = np.random.default_rng(seed)
     tables = [rng.normal(0, 0.01, (int(kept.sum()), dims)).astype(np.float32), rng.normal(0, 0.3, (dims, 2)).astype(np.float32), np.array([0, prior], np.float32)]
     first, second = [np.zeros_like(t) for t in tables], [np.zeros_like(t) for t in tables]
     for epoch in range(1, epochs + 1):
         emb, out, bias = tables
-        word_vectors = summed(emb, slot, s_share, s_word, n_words)
-        doc_vectors = summed(word_vectors, word, share, doc, n_docs) * np.float32(scale)
+        word_vectors = summed(emb * of_slot, slot, s_word, n_words) * of_word
+        doc_vectors = summed(word_vectors, word, doc, n_docs, share) * np.float32(scale)
         logits = doc_vectors @ out + bias
         p = np.exp(logits - logits.max(axis=1, keepdims=True))
         p /= p.sum(axis=1, keepdims=True)
         p[np.arange(n_docs), y] -= 1
         p = (p * weight[:, None]).astype(np.float32)
-        to_words = summed(p @ out.T * np.float32(scale), docs_by, shares_by, words_by, n_words)
-        to_slots = summed(to_words, word_by, share_by, slot_by, len(emb))
+        to_words = summed(p @ out.T * np.float32(scale), docs_by, words_by, n_words, shares_by) * of_word
+        to_slots = summed(to_words, word_by, slot_by, len(emb)) * of_slot
         for k, g in enumerate((to_slots + np.float32(decay) * emb, doc_vectors.T @ p, p.sum(axis=0))):
             first[k] = 0.9 * first[k] + 0.1 * g
             second[k] = 0.99 * second[k] + 0.01 * g * g
@@ -203,8 +205,9 @@ def fit_toxicity(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text:
     sample = rows.where("y = 0").orderBy("h", "k").limit(max_rows).unionByName(rows.where("y = 1").orderBy("h", "k").limit(max_rows))
     texts = docs.select(F.col(key).alias("k"), F.coalesce(F.col(text), F.lit("")).alias("t")).join(F.broadcast(sample), "k").groupBy("k", "y", "h").agg(F.min("t").alias("t"))
     got = sorted(texts.collect(), key=lambda r: (r["h"], r["k"]))
-    n = [sum(r["y"] == y for r in got) for y in (0, 1)]
-    return train([r["t"] for r in got], [r["y"] for r in got], tuple(total.get(y, 0) / max(1, n[y]) for y in (0, 1)), **settings)
+    n, sample, marks = [sum(r["y"] == y for r in got) for y in (0, 1)], [r["t"] for r in got], [r["y"] for r in got]
+    del got
+    return train(sample, marks, tuple(total.get(y, 0) / max(1, n[y]) for y in (0, 1)), **settings)
 
 
 _CACHE: dict[str, float] = {}
