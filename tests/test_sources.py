@@ -103,3 +103,15 @@ def test_text_functions(spark):
     rows = df.select(slug(F.col("a")), unslug(slug(F.col("a"))), last_segment(F.col("b")), partition_date(F.col("c")).cast("string")).collect()
     assert tuple(rows[0]) == ("Business__Management_and_Accounting", "Business, Management and Accounting", "A12", "2024-05-06")
     assert tuple(rows[1]) == ("Ärzte-Kammer", "Ärzte-Kammer", "A", None)
+
+
+def test_a_date_without_a_row_is_finished_too(spark, tmp_path):
+    """No author of the date passes the filter, so it has no staged folder; the second run leaves it alone all the same."""
+    from pyspark.sql import functions as F
+
+    src, dst = str(tmp_path / "raw"), str(tmp_path / "staged")
+    row = spark.createDataFrame([("a1", 0)], "id string, h bigint").select("id", F.struct(F.col("h").alias("h_index")).alias("summary_stats"), F.lit(3).cast("bigint").alias("works_count"), *[F.lit(None).cast(f.dataType).alias(f.name) for f in snapshots.author_schema().fields if f.name in ("affiliations", "topics")], F.lit("2024-03-01").cast("date").alias("updated_date"))
+    row.write.partitionBy("updated_date").parquet(src)
+    assert len(snapshots.ingest_new_partitions(spark, src, dst)) == 1
+    assert snapshots.ingest_new_partitions(spark, src, dst) == []
+    assert snapshots.audit_partitions(spark, dst).count() == 0

@@ -17,8 +17,8 @@ def staged_filter(snapshot: DataFrame) -> DataFrame:
 
 
 def latest_version(df: DataFrame, key: str, version: str) -> DataFrame:
-    """One row a key, of the greatest version (ties to any of equal rows)."""
-    order = Window.partitionBy(key).orderBy(F.col(version).desc_nulls_last())
+    """One row a key, of the greatest version (of equal ones that of the smallest hash over all columns)."""
+    order = Window.partitionBy(key).orderBy(F.col(version).desc_nulls_last(), F.xxhash64(*df.columns))
     return df.withColumn("_n", F.row_number().over(order)).where("_n = 1").drop("_n")
 
 
@@ -27,11 +27,35 @@ def latest_by(df: DataFrame, entity: str, order: list[Column]) -> DataFrame:
     return df.withColumn("_n", F.row_number().over(Window.partitionBy(entity).orderBy(*order))).where("_n = 1").drop("_n")
 
 
+def _latest(kind: str) -> Column:
+    """Of a row's affiliations of a kind the one of the greatest year (none last), then of the smallest id and name."""
+    kept = F.filter("affiliations", lambda a: (a["institution"]["type"] == kind) & a["institution"]["id"].isNotNull())
+    entry = lambda a: F.struct(F.array_max(a["years"]).isNull().alias("none"), (-F.array_max(a["years"])).alias("ago"), a["institution"]["id"].alias("id"), a["institution"]["display_name"].isNull().alias("unnamed"), a["institution"]["display_name"].alias("name"))
+    return F.array_min(F.transform(kept, entry))
+
+
 def latest_affiliation(staged: DataFrame, kind: str = "education") -> DataFrame:
-    """author_id, institution_id, institution_name, latest_year: by greatest year (none last), then smallest id in its own order."""
-    each = staged.select(F.col("id").alias("author_id"), F.explode("affiliations").alias("a")).select("author_id", F.col("a.institution.id").alias("institution_id"), F.col("a.institution.display_name").alias("institution_name"), F.col("a.institution.type").alias("type"), F.array_max("a.years").alias("latest_year"))
-    kept = each.where((F.col("type") == kind) & F.col("institution_id").isNotNull())
-    return latest_by(kept, "author_id", [F.col("latest_year").desc_nulls_last(), F.col("institution_id"), F.col("institution_name")]).drop("type")
+    """author_id, institution_id, institution_name, latest_year: by greatest year (none last), then smallest id in its own order.
+    An entity has all its affiliations in its row, so nothing is exploded or shuffled."""
+    best = staged.select(F.col("id").alias("author_id"), _latest(kind).alias("a")).where("a IS NOT NULL")
+    return best.select("author_id", F.col("a.id").alias("institution_id"), F.col("a.name").alias("institution_name"), (-F.col("a.ago")).alias("latest_year"))
+
+
+def _modal(level: str) -> Column:
+    """Of a row's topics the label of one level with the greatest summed weight, ties to the smaller id."""
+    label = (lambda t: t) if level == "topic" else (lambda t: t[level])
+    ids = F.array_distinct(F.filter(F.transform("topics", lambda t: label(t)["id"].cast("string")), lambda i: i.isNotNull()))
+    of = lambda i: F.filter("topics", lambda t: label(t)["id"].cast("string") == i)
+    entry = lambda i: F.struct((-F.aggregate(of(i), F.lit(0).cast("bigint"), lambda s, t: s + F.coalesce(t["count"], F.lit(0)))).alias("less"), i.alias("id"), F.array_max(F.transform(of(i), lambda t: label(t)["display_name"])).alias("name"))
+    return F.array_min(F.transform(ids, entry))
+
+
+def modal_labels_in_row(staged: DataFrame, levels: list[str] = LEVELS) -> DataFrame:
+    """author_id and for every level the label of the greatest summed weight: modal_labels of the topics of each row, without exploding
+    or shuffling them.  Authors with no label at all are left out."""
+    best = staged.select(F.col("id").alias("author_id"), *[_modal(v).alias(v) for v in levels])
+    best = best.where(F.coalesce(*[F.col(f"{v}.id") for v in levels]).isNotNull())
+    return best.select("author_id", *[c for v in levels for c in (F.col(f"{v}.id").alias(v), F.col(f"{v}.name").alias(f"{v}_name"))])
 
 
 def modal_labels(rows: DataFrame, entity: str, levels: list[str], weight: str) -> DataFrame:
@@ -66,8 +90,8 @@ def build_authors(snapshot: DataFrame, version: str | None = None) -> DataFrame:
     """Snapshot rows to one flat row an author: institution, modal field, subfield, domain and topic, canonical names.  Authors
     without a field are left out; with `version` an id that occurs again counts once, in its latest form."""
     staged = staged_filter(latest_version(snapshot, "id", version) if version else snapshot)
-    base = staged.select(F.col("id").alias("author_id"), "h_index", "works_count")
-    labels = modal_labels(topic_rows(staged), "author_id", LEVELS, "weight").where("field IS NOT NULL")
-    flat = base.join(latest_affiliation(staged).drop("latest_year"), "author_id").join(labels, "author_id")
+    flat = staged.select(F.col("id").alias("author_id"), "h_index", "works_count", _latest("education").alias("_i"), *[_modal(v).alias(f"_{v}") for v in LEVELS]).where("_i IS NOT NULL AND _field IS NOT NULL")
+    labels = [c for v in LEVELS for c in (F.col(f"_{v}.id").alias(v), F.col(f"_{v}.name").alias(f"{v}_name"))]
+    flat = flat.select("author_id", "h_index", "works_count", F.col("_i.id").alias("institution_id"), F.col("_i.name").alias("institution_name"), *labels)
     columns = ["author_id", "h_index", "works_count", "institution_id", "institution_name", *[c for v in LEVELS for c in (v, f"{v}_name")]]
     return canonical_name(flat, "institution_id", "institution_name").select(*columns)

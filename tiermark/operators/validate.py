@@ -21,12 +21,12 @@ def validation_sample(authors: DataFrame, config: DataFrame, global_top: int = 5
     asked = config.withColumn("_id", F.xxhash64("kind", "bucket", "institution", F.coalesce("field", F.lit("")))).join(people, (F.col("institution") == F.col("institution_name")) & (F.col("field").isNull() | (F.col("field") == F.col("field_name"))))
     asked = asked.select("_id", "kind", "bucket", "institution", "field", "n", "author_id", "h_index").distinct()
     line = h_index(asked.where("kind = 'threshold'"), ["_id"], "h_index", h_as="h2", count_as="_n").select("_id", "h2")
-    at_line = asked.where("kind = 'threshold'").join(line, "_id").where("h_index = h2").withColumn("reason", F.concat(F.lit("sits exactly at the h2="), F.col("h2").cast("string"), F.lit(" threshold"))).drop("h2")
-    best = asked.where("kind = 'top'").withColumn("reason", F.lit("top h-index at this institution"))
+    at_line = asked.where("kind = 'threshold'").join(line, "_id").where("h_index = h2").withColumn("reason", F.concat(F.lit("index equals h2, "), F.col("h2").cast("string"))).drop("h2")
+    best = asked.where("kind = 'top'").withColumn("reason", F.lit("leads its institution"))
     picked = at_line.unionByName(best).withColumn("_r", F.row_number().over(Window.partitionBy("_id").orderBy(F.desc("h_index"), "author_id"))).where("_r <= n")
     part = picked.select("bucket", "institution", F.coalesce("field", F.lit("(overall)")).alias("field"), "author_id", F.col("h_index").alias("h_index_local"), "reason")
     first = people.select("author_id", "h_index", "institution_name").distinct().orderBy(F.desc("h_index"), "author_id").limit(global_top)
-    top = first.select(F.lit("Global top h-index").alias("bucket"), F.col("institution_name").alias("institution"), F.lit("(overall)").alias("field"), "author_id", F.col("h_index").alias("h_index_local"), F.lit("among the highest h-index authors in the dataset").alias("reason"))
+    top = first.select(F.lit("Leaders of all").alias("bucket"), F.col("institution_name").alias("institution"), F.lit("(overall)").alias("field"), "author_id", F.col("h_index").alias("h_index_local"), F.lit("leads all authors").alias("reason"))
     return part.unionByName(top)
 
 
@@ -46,11 +46,11 @@ def agreement(pairs: DataFrame, source: str, name: str, own: str, other: str) ->
 
 def quality_report(by_field: DataFrame, by_subfield: DataFrame, spot: str, top: int = 5) -> DataFrame:
     """Tidy rows (check, item, value): quantiles, share of small groups, plausibility of the maximum, distinct subfields, the
-    top groups, and the best fields of institutions that match a spot-check name."""
+    top groups by field and by subfield, and the best fields of institutions that match a spot-check name."""
     one = by_field.agg(F.percentile("h2", F.array(*map(F.lit, (0.25, 0.5, 0.75, 0.9, 0.99)))).alias("p"), F.min("h2").alias("lo"), F.max("h2").alias("hi"), F.count("*").alias("n"), F.count_if(F.col("author_count") < 10).alias("small"))
     text = lambda c: F.round(c, 4).cast("double").cast("string")
     cell = lambda check, item, value: F.struct(F.lit(check).alias("check"), item.alias("item"), value.alias("value"))
-    mark = F.when(F.col("hi") > 200, "suspiciously high").when(F.col("hi") < 5, "suspiciously low").otherwise("plausible")
+    mark = F.when(F.col("hi") > 200, "implausible: above 200").when(F.col("hi") < 5, "implausible: below 5").otherwise("plausible")
     quantiles = [cell("quantile", F.lit(f"p{q}"), text(F.get("p", F.lit(k)))) for k, q in enumerate((25, 50, 75, 90, 99))]
     rows = F.array(*quantiles, cell("quantile", F.lit("min"), text(F.col("lo"))), cell("quantile", F.lit("max"), text(F.col("hi"))), cell("small groups", F.lit("share"), text(F.col("small") / F.col("n"))), cell("maximum", F.lit("verdict"), mark))
     parts = [one.select(F.inline(rows))]
@@ -58,6 +58,8 @@ def quality_report(by_field: DataFrame, by_subfield: DataFrame, spot: str, top:
     name = F.concat_ws(" / ", "institution_name", "field_name")
     best = by_field.orderBy(F.desc("h2"), "institution_name", "institution_id", "field").limit(top)
     parts.append(best.select(F.lit("top").alias("check"), name.alias("item"), text(F.col("h2")).alias("value")))
+    leading = by_subfield.orderBy(F.desc("h2"), "institution_name", "institution_id", "subfield").limit(top)
+    parts.append(leading.select(F.lit("top in subfield").alias("check"), F.concat_ws(" / ", "institution_name", "subfield_name").alias("item"), text(F.col("h2")).alias("value")))
     hit = top_k(by_field.where(F.col("institution_name").ilike(f"%{spot}%")), ["institution_id"], [F.desc("h2"), F.col("field")], 5)
     parts.append(hit.select(F.lit("spot check").alias("check"), name.alias("item"), text(F.col("h2")).alias("value")))
     out = parts[0]

@@ -67,6 +67,13 @@ def authors(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _KEPT[key]
 
 
+def forget() -> None:
+    """Let go of the author tables that `authors` keeps."""
+    for df in _KEPT.values():
+        df.unpersist()
+    _KEPT.clear()
+
+
 class Index:
     """The index tables, built when asked for."""
 

@@ -69,14 +69,14 @@ _CTES = {
     "cfg": "SELECT institution_name AS institution FROM h2 ORDER BY h2 DESC, institution_name LIMIT 4",
     "line_all": _h("(SELECT DISTINCT institution, author_id, h_index FROM cfg JOIN authors ON institution = institution_name)", "institution", "h_index", "h2", "n"),
     "line_std": _h("(SELECT DISTINCT institution, author_id, h_index FROM cfg JOIN authors ON institution = institution_name AND field_name = 'STANDARD')", "institution", "h_index", "h2", "n"),
-    "val": """SELECT 'Threshold' AS bucket, institution, '(overall)' AS field, author_id, h_index AS h_index_local, 'sits exactly at the h2=' || h2 || ' threshold' AS reason FROM (
+    "val": """SELECT 'Threshold' AS bucket, institution, '(overall)' AS field, author_id, h_index AS h_index_local, 'index equals h2, ' || h2 AS reason FROM (
             SELECT institution, author_id, h_index, h2, row_number() OVER (PARTITION BY institution ORDER BY author_id) AS rn FROM line_all JOIN authors ON institution = institution_name AND h_index = h2) WHERE rn <= 2
-        UNION ALL SELECT 'Threshold in a field', institution, 'STANDARD', author_id, h_index, 'sits exactly at the h2=' || h2 || ' threshold' FROM (
+        UNION ALL SELECT 'Threshold in a field', institution, 'STANDARD', author_id, h_index, 'index equals h2, ' || h2 FROM (
             SELECT institution, author_id, h_index, h2, row_number() OVER (PARTITION BY institution ORDER BY author_id) AS rn FROM line_std JOIN authors ON institution = institution_name AND h_index = h2 AND field_name = 'STANDARD') WHERE rn <= 1
-        UNION ALL SELECT 'Top', institution, '(overall)', author_id, h_index, 'top h-index at this institution' FROM (
+        UNION ALL SELECT 'Top', institution, '(overall)', author_id, h_index, 'leads its institution' FROM (
             SELECT institution, author_id, h_index, row_number() OVER (PARTITION BY institution ORDER BY h_index DESC, author_id) AS rn FROM cfg JOIN authors ON institution = institution_name) WHERE rn <= 3
-        UNION ALL SELECT * FROM (SELECT 'Global top h-index', institution_name, '(overall)', author_id, h_index, 'among the highest h-index authors in the dataset' FROM authors ORDER BY h_index DESC, author_id LIMIT 5)""",
-    "smp": """SELECT 'authors' AS label, h_index AS value FROM h1 UNION ALL SELECT 'institutions', h2 FROM h2 UNION ALL SELECT 'authors_size', works_count FROM h1 UNION ALL SELECT 'institutions_size', author_count FROM h2""",
+        UNION ALL SELECT * FROM (SELECT 'Leaders of all', institution_name, '(overall)', author_id, h_index, 'leads all authors' FROM authors ORDER BY h_index DESC, author_id LIMIT 5)""",
+    "smp": """SELECT 'citations' AS label, citations AS value FROM papers UNION ALL SELECT 'authors', h_index FROM h1 UNION ALL SELECT 'institutions', h2 FROM h2 UNION ALL SELECT 'authors_size', works_count FROM h1 UNION ALL SELECT 'institutions_size', author_count FROM h2""",
     "hist": "SELECT label, value AS x, count(*) AS c FROM smp WHERE value > 0 GROUP BY ALL",
     "tails": "SELECT a.label, a.x, sum(b.c) AS n, sum(b.c * ln(b.x)) AS s, count(*) AS d FROM hist a JOIN hist b ON a.label = b.label AND b.x >= a.x GROUP BY ALL",
     "cand": "SELECT label, x AS xmin, n AS n_tail, 1 + n / (s - n * ln(x - 0.5)) AS alpha FROM tails WHERE d > 1",
@@ -203,7 +203,16 @@ _Q = {
     "country_ranks": " UNION ALL ".join([_ranks("overall", "h3", "country_code", "lead_code FROM lead_c", "h3", "institution_count", None), _ranks("field", "h3f", "country_code", "lead_code FROM lead_c", "h3", "institution_count", "field_name"), _ranks("subfield", "h3s", "country_code", "lead_code FROM lead_c", "h3", "institution_count", "subfield_name")]),
     "tail_fit": f"""SELECT c.label, xmin, max(CAST(n_tail AS BIGINT)) AS n_tail, round(max(alpha), 6) AS alpha, round(max(abs(t.n / n_tail - {zeta_sql('alpha', 't.x')} / {zeta_sql('alpha', 'xmin')})), 6) AS ks
         FROM cand c JOIN tails t ON c.label = t.label AND t.x >= xmin GROUP BY ALL""",
-    "subsample": "SELECT work_id, citations FROM papers",
+    "tail_fit_best": f"""SELECT label, round(alpha, 6) AS alpha, xmin, CAST(n_tail AS BIGINT) AS n_tail, CAST(n_total AS BIGINT) AS n_total, round(d_ks, 6) AS d_ks, round(CASE WHEN v > 0 THEN r / (sqrt(n_tail) * sqrt(v)) ELSE 0 END, 4) AS r_exp FROM (
+        SELECT b.label, alpha, xmin, n_tail, n_total, d_ks, sum(c * d) AS r, sum(c * d * d) / n_tail - pow(sum(c * d) / n_tail, 2) AS v FROM (
+            SELECT f.*, x, c, -alpha * ln(x) - ln({zeta_sql('alpha', 'xmin')}) - (ln(1 - exp(-rate)) - rate * (x - xmin)) AS d FROM (
+                SELECT *, ln(1 + 1 / (sx / n_tail - xmin)) AS rate FROM (
+                    SELECT k.*, (SELECT sum(h.c * h.x) FROM hist h WHERE h.label = k.label AND h.x >= k.xmin) AS sx, (SELECT sum(h.c) FROM hist h WHERE h.label = k.label) AS n_total FROM (
+                        SELECT *, row_number() OVER (PARTITION BY label ORDER BY round(d_ks, 9), xmin) AS rn FROM (
+                            SELECT c.label, xmin, max(n_tail) AS n_tail, max(alpha) AS alpha, max(abs(t.n / n_tail - {zeta_sql('alpha', 't.x')} / {zeta_sql('alpha', 'xmin')})) AS d_ks
+                            FROM cand c JOIN tails t ON c.label = t.label AND t.x >= xmin GROUP BY c.label, xmin)) k WHERE rn = 1)) f JOIN hist h ON f.label = h.label AND h.x >= f.xmin) b
+        WHERE n_total >= 50 GROUP BY b.label, alpha, xmin, n_tail, n_total, d_ks)""",
+    "subsample": "SELECT work_id, citations FROM papers ORDER BY md5('42:' || work_id), work_id LIMIT 5000",
     "fit_origin_h2": f"SELECT round(sum(x * h2) / sum(x * x), 6) AS slope, round(1 - (sum(h2 * h2) - sum(x * h2) / sum(x * x) * sum(x * h2)) / sum(h2 * h2), 6) AS r2, count(*) AS n FROM (SELECT h2, pow(author_count, 1 / {BETA_1}) AS x FROM h2 WHERE author_count >= 10)",
     "fit_origin_h3": f"SELECT round(sum(x * h3) / sum(x * x), 6) AS slope, round(1 - (sum(h3 * h3) - sum(x * h3) / sum(x * x) * sum(x * h3)) / sum(h3 * h3), 6) AS r2, count(*) AS n FROM (SELECT h3, pow(institution_count, 1 / {BETA_2}) AS x FROM h3 WHERE institution_count >= 2)",
     "fit_ols_h3": "SELECT nullif(round(regr_slope(h3, sqrt(institution_count)), 6), CAST('NaN' AS DOUBLE)) AS slope, round(regr_intercept(h3, sqrt(institution_count)), 6) AS intercept, round(regr_r2(h3, sqrt(institution_count)), 6) AS r2, count(*) AS n FROM h3",
@@ -229,9 +238,10 @@ _Q = {
             SELECT unnest([25, 50, 75, 90, 99]) AS q, unnest(quantile_cont(CAST(h2 AS DOUBLE), [0.25, 0.5, 0.75, 0.9, 0.99])) AS v FROM h2f)
         UNION ALL SELECT 'quantile', 'min', CAST(CAST(min(h2) AS DOUBLE) AS VARCHAR) FROM h2f UNION ALL SELECT 'quantile', 'max', CAST(CAST(max(h2) AS DOUBLE) AS VARCHAR) FROM h2f
         UNION ALL SELECT 'small groups', 'share', CAST(round(count(*) FILTER (WHERE author_count < 10) / count(*), 4) AS VARCHAR) FROM h2f
-        UNION ALL SELECT 'maximum', 'verdict', CASE WHEN max(h2) > 200 THEN 'suspiciously high' WHEN max(h2) < 5 THEN 'suspiciously low' ELSE 'plausible' END FROM h2f
+        UNION ALL SELECT 'maximum', 'verdict', CASE WHEN max(h2) > 200 THEN 'implausible: above 200' WHEN max(h2) < 5 THEN 'implausible: below 5' ELSE 'plausible' END FROM h2f
         UNION ALL SELECT 'subfields', 'distinct', CAST(CAST(count(DISTINCT subfield) AS DOUBLE) AS VARCHAR) FROM h2s
         UNION ALL SELECT * FROM (SELECT 'top', institution_name || ' / ' || field_name, CAST(CAST(h2 AS DOUBLE) AS VARCHAR) FROM h2f ORDER BY h2 DESC, institution_name, institution_id, field LIMIT 5)
+        UNION ALL SELECT * FROM (SELECT 'top in subfield', institution_name || ' / ' || subfield_name, CAST(CAST(h2 AS DOUBLE) AS VARCHAR) FROM h2s ORDER BY h2 DESC, institution_name, institution_id, subfield LIMIT 5)
         UNION ALL SELECT 'spot check', institution_name || ' / ' || field_name, CAST(CAST(h2 AS DOUBLE) AS VARCHAR) FROM (
             SELECT *, row_number() OVER (PARTITION BY institution_id ORDER BY h2 DESC, field) AS rn FROM h2f WHERE institution_name ILIKE '%#00000001%') WHERE rn <= 5""",
 }

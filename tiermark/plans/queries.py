@@ -87,7 +87,7 @@ def latest_affiliation(spark, sf):
 
 @query
 def modal_labels(spark, sf):
-    return assign.modal_labels(assign.topic_rows(bindings.snapshot(spark, sf)), "author_id", assign.LEVELS, "weight")
+    return assign.modal_labels_in_row(bindings.snapshot(spark, sf))
 
 
 @query
@@ -251,14 +251,15 @@ def _samples(spark, sf):
 
 @query
 def tail_fit(spark, sf):
-    """alpha and the distance at every candidate of the author and institution samples."""
-    some = _samples(spark, sf).where(F.col("label") != "citations")
-    return tailfit.tail_candidates(some, ["label"], "value").select("label", "xmin", "n_tail", F.round("alpha", 6).alias("alpha"), F.round("ks", 6).alias("ks"))
+    """alpha and the distance at every candidate of every sample."""
+    return tailfit.tail_candidates(_samples(spark, sf), ["label"], "value").select("label", "xmin", "n_tail", F.round("alpha", 6).alias("alpha"), F.round("ks", 6).alias("ks"))
 
 
 @query
 def tail_fit_best(spark, sf):
-    return tailfit.fit_tail(_samples(spark, sf), ["label"], "value")
+    """The best fits; p_exp follows from r_exp by the complementary error function, which SQL lacks, and is left to tail_fit_summary."""
+    fits = tailfit.fit_tail(_samples(spark, sf), ["label"], "value")
+    return fits.select("label", F.round("alpha", 6).alias("alpha"), "xmin", "n_tail", "n_total", F.round("d_ks", 6).alias("d_ks"), F.round("r_exp", 4).alias("r_exp"))
 
 
 @query
@@ -268,7 +269,7 @@ def tail_fit_summary(spark, sf):
 
 @query
 def subsample(spark, sf):
-    return tailfit.subsample(bindings.papers(spark, sf).select("work_id", "citations"), "work_id", 2_000_000)
+    return tailfit.subsample(bindings.papers(spark, sf).select("work_id", "citations"), "work_id", 5_000)
 
 
 @query

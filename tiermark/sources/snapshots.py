@@ -2,6 +2,10 @@
 
 from __future__ import annotations
 
+import datetime
+import re
+from concurrent.futures import ThreadPoolExecutor
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -42,30 +46,51 @@ def stage_authors(spark: SparkSession, src: str, dst: str, dates: list | None =
     staged.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("updated_date").option("compression", "zstd").parquet(dst)
 
 
-def _dates(spark: SparkSession, path: str) -> list:
-    """Partition values of a snapshot (as many as it has days)."""
-    fs = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
-    if not fs.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(fs):
-        return []
-    return sorted(r[0] for r in read_snapshot(spark, path).select("updated_date").distinct().collect())
+def _folder(spark: SparkSession, path: str):
+    """A path and its file system."""
+    at = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    return at, at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+
+
+def _dates(spark: SparkSession, path: str) -> list[datetime.date]:
+    """The dates that a snapshot has folders for."""
+    at, fs = _folder(spark, path)
+    names = [s.getPath().getName() for s in fs.listStatus(at)] if fs.exists(at) else []
+    return sorted(datetime.date.fromisoformat(n.removeprefix("updated_date=")) for n in names if n.startswith("updated_date="))
 
 
-def audit_partitions(spark: SparkSession, path: str, required: list[str] = STAGED) -> DataFrame:
-    """updated_date, n_rows, missing: which of the required columns a partition's files lack."""
-    out = []
-    for d in _dates(spark, path):
-        part = spark.read.parquet(f"{path}/updated_date={d}")
-        out.append((d, part.count(), ",".join(sorted(set(required) - set(part.columns)))))
-    return spark.createDataFrame(out, "updated_date date, n_rows bigint, missing string")
+def audit_partitions(spark: SparkSession, path: str, required: list[str] = STAGED, threads: int = 16) -> DataFrame:
+    """updated_date, n_rows, missing: which of the required columns one of a partition's files lacks.  Rows are counted in one job,
+    footers are read side by side."""
+    kind = "updated_date date, n_rows bigint, missing string"
+    if not _dates(spark, path):
+        return spark.createDataFrame([], kind)
+    rows = spark.read.schema("updated_date date").parquet(path)
+    lacks: dict[str, set] = {}
+    with ThreadPoolExecutor(threads) as pool:
+        for file, columns in pool.map(lambda f: (f, spark.read.parquet(f).columns), rows.inputFiles()):
+            lacks.setdefault(re.search(r"updated_date=([^/]+)/", file)[1], set()).update(set(required) - set(columns))
+    missing = spark.createDataFrame([(d, ",".join(sorted(c))) for d, c in lacks.items()], "d string, missing string")
+    counted = rows.groupBy("updated_date").agg(F.count("*").alias("n_rows"))
+    return counted.join(missing, F.col("updated_date").cast("string") == F.col("d"), "left").select("updated_date", "n_rows", F.coalesce("missing", F.lit("")).alias("missing"))
 
 
 def ingest_new_partitions(spark: SparkSession, src: str, dst: str, required: list[str] = STAGED, schema: T.StructType | None = None) -> list:
     """Stage the partitions that are not staged yet or lack a required column; which ones that were.  A run that is stopped is
-    carried on by the next."""
-    good = {r["updated_date"] for r in audit_partitions(spark, dst, required).collect() if not r["missing"]}
-    todo = [d for d in _dates(spark, src) if d not in good]
+    carried on by the next.  Dates that are done stand in a table beside dst (dst.finished), as the filter may leave no row of one
+    and so no folder; outdated folders are removed before their dates are staged."""
+    done_path = dst.rstrip("/") + ".finished"
+    at, fs = _folder(spark, done_path)
+    finished = {r[0] for r in spark.read.schema("updated_date date").parquet(done_path).collect()} if fs.exists(at) else set()  # a row a date
+    audited = {r["updated_date"]: r["missing"] for r in audit_partitions(spark, dst, required).collect()}
+    outdated = {d for d, missing in audited.items() if missing}
+    todo = [d for d in _dates(spark, src) if d in outdated or d not in finished | set(audited)]
     if todo:
+        for d in outdated & set(todo):
+            old, fs = _folder(spark, f"{dst}/updated_date={d}")
+            fs.delete(old, True)
         stage_authors(spark, src, dst, todo, schema)
+        spark.createDataFrame([(d,) for d in todo], "updated_date date").coalesce(1).write.mode("append").parquet(done_path)
     return todo
 
 
@@ -114,9 +139,11 @@ def first_files(df: DataFrame, column: str) -> DataFrame:
     return with_path.join(first, [column, "_path"], "left_semi").drop("_path")
 
 
-def citation_sample(works: DataFrame, column: str, n: int) -> DataFrame:
-    """id and cited_by_count above 0 of n spread partitions."""
-    return sample_partitions(works, column, n).where("cited_by_count > 0").select("id", "cited_by_count")
+def citation_sample(works: DataFrame, column: str, n: int, one_file: bool = False) -> DataFrame:
+    """id and cited_by_count above 0 of n spread partitions; with one_file (works must be read from files) of the first file of
+    each alone."""
+    some = sample_partitions(works, column, n)
+    return (first_files(some, column) if one_file else some).where("cited_by_count > 0").select("id", "cited_by_count")
 
 
 def country_map(institutions: DataFrame) -> DataFrame:
