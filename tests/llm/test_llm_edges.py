@@ -324,6 +324,21 @@ def test_licenses(spark):
     assert licenses.license_scan(df.limit(0)).count() == 0
 
 
+def test_license_passages(spark):
+    """A header with a holder's name, a wrapped notice with comment marks, a whole licence, an "or later" header, other prose."""
+    mit, gpl = licenses.TEMPLATES["MIT"][3], licenses.TEMPLATES["GPL-3.0-or-later"][1]
+    wrapped = "import os\n\n" + "\n".join("# " + " ".join(gpl.split()[i : i + 9]) for i in range(0, len(gpl.split()), 9)) + "\n\ndef main(arguments):\n    return os.path\n"
+    header = "Copyright (c) 2021 Jane Doe. All rights reserved.\nvalue = 1\n"
+    prose = "The committee read the paper and asked for more time.\nNothing in it was said about the public."
+    rows = [(f"p{i}/a.txt", f"copyright c 20{i:02d} holder {i} text about the river and the sea") for i in range(40)]
+    rows += [(f"r{i}/a.txt", f"some rights were reserved for member {i} of jane and doe 2021") for i in range(20)]
+    rows += [("m/LICENSE", "MIT License\n\nCopyright (c) 2021 Jane Doe\n\n" + mit), ("m/x.py", "x = 1"), ("g/x.py", wrapped), ("h/x.py", header), ("o/x.py", prose)]
+    df = spark.createDataFrame(rows, "path string, text string").withColumn("license", F.lit("mine")).withColumn("row", F.lit(7)).withColumn("hit", F.lit(1))
+    got = {r["path"]: r for r in licenses.license_scan(df, keep=("license", "row", "hit")).collect()}
+    assert {p: (got[p]["license"], got[p]["origin"]) for p in ("m/LICENSE", "m/x.py", "g/x.py", "h/x.py", "o/x.py")} == {"m/LICENSE": ("MIT", "own"), "m/x.py": ("MIT", "inherited"), "g/x.py": ("GPL-3.0-or-later", "own"), "h/x.py": ("LicenseRef-Proprietary", "own"), "o/x.py": (None, "none")}
+    assert all(r["file_license"] == "mine" and r["row"] == 7 and r["hit"] == 1 for r in got.values()) and len(got) == len(rows)
+
+
 def test_toxicity(spark, odd, none):
     texts = [("you stupid idiot go away " * 3 if k % 4 == 0 else f"a fine day for a walk number {k} in the park") for k in range(200)]
     rows = [(k, t, int(k % 4 == 0)) for k, t in enumerate(texts)] + [(None, None, 1), (500, None, 0), (501, "x", None)]

@@ -47,29 +47,69 @@ def test_op3(spark, sf):
     assert {tuple(r) for r in queries.op3_warc(spark, sf).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to").collect()} == want
 
 
+def _best_license(text, frequency, n, templates, lengths):
+    """The rounded cosine and licence of the best of all passages of a text, and the cosine of the whole, word by word."""
+    import math
+    import re
+
+    def vector(words):
+        return {w: c * (math.log((1 + n) / (1 + frequency.get(w, 0))) + 1) for w, c in Counter(words).items()}
+
+    def best(words):
+        v = vector(words)
+        norm = math.sqrt(sum(x * x for x in v.values()))
+        found = (0.0, 0, None)
+        for k, (name, template) in enumerate(templates):
+            t = vector(template)
+            dot = sum(x * v.get(w, 0.0) for w, x in t.items())
+            if dot:
+                found = max(found, (round(min(1.0, dot / norm / math.sqrt(sum(x * x for x in t.values()))), 12), -k, name))
+        return found
+
+    lines = [words for words in (re.findall("[a-z0-9]+", line.lower()) for line in text.split("\n")) if words]
+    passages = {tuple(line) for line in lines}
+    for length in lengths:
+        for start in range(len(lines)):
+            words, end = [], start
+            while end < len(lines) and len(words) < length:
+                words, end = words + lines[end], end + 1
+            passages.add(tuple(words))
+            if end == len(lines):
+                break
+    whole = best([w for line in lines for w in line])
+    found = max([whole, *map(best, passages)])
+    return found[0], found[2], whole[0]
+
+
 def test_op4(spark, sf, docs):
-    """Against a plain walk over the files, with the same index of templates."""
+    """Against a plain walk over the files: every passage, every template, every word's frequency."""
+    import re
+
     from tiermark.llm import licenses
 
     files = {r["doc_id"]: (r["path"], r["text"] or "") for r in queries.document_paths(spark.read.parquet(f"{sf}/documents.parquet")).collect()}
-    vocabulary = {w for texts in licenses.TEMPLATES.values() for t in texts for w in licenses.terms(t)}
-    frequency = Counter(w for _, t in files.values() for w in set(licenses.terms(t)) & vocabulary)
-    index = licenses.TemplateIndex(frequency, len(files))
-    own, dirs = {}, {}
+    templates = [(name, re.findall("[a-z0-9]+", t.lower())) for name, texts in licenses.TEMPLATES.items() for t in texts]
+    lengths = []
+    for size in sorted({len(t) for _, t in templates}):
+        if not lengths or size > 1.25 * lengths[-1]:
+            lengths.append(size)
+    frequency = Counter(w for _, t in files.values() for w in set(re.findall("[a-z0-9]+", t.lower())))
+    own, dirs, cosine = {}, {}, {}
     for i, (path, text) in files.items():
-        best = max(map(index.best, [*text.split("\n"), text]), key=lambda x: x[0])
-        own[i] = best[1] if best[0] >= 0.6 else None
-        if own[i] and (path.rsplit("/", 1)[1].startswith("LICENSE") or index.best(text)[0] >= 0.6):
+        cosine[i], name, whole = _best_license(text, frequency, len(files), templates, lengths)
+        own[i] = name if cosine[i] >= 0.6 else None
+        if own[i] and (path.rsplit("/", 1)[1].startswith("LICENSE") or whole >= 0.6):
             folder = path.rsplit("/", 1)[0]
-            dirs[folder] = min(dirs.get(folder, (9, "", "")), (-index.best(text)[0], path, own[i]))
+            dirs[folder] = min(dirs.get(folder, (9, "", "")), (-whole if whole >= 0.6 else 0.0, path, own[i]))
     want = {}
     for i, (path, _) in files.items():
         at = path.split("/")[:-1]
         near = next((dirs["/".join(at[:n])][2] for n in range(len(at), 0, -1) if "/".join(at[:n]) in dirs), None)
-        want[i] = (own[i] or near, "own" if own[i] else "inherited" if near else "none")
-    got = {r["doc_id"]: (r["license"], r["origin"]) for r in queries.op4_licenses(spark, sf).collect()}
-    assert got == want
-    assert any(o == "own" for _, o in got.values())
+        want[i] = (own[i] or near, "own" if own[i] else "inherited" if near else "none", round(cosine[i], 5) if own[i] else 0.0)
+    got = {r["doc_id"]: (r["license"], r["origin"], round(r["similarity"], 5)) for r in queries.op4_licenses(spark, sf).collect()}
+    assert {i: w[:2] for i, w in got.items()} == {i: w[:2] for i, w in want.items()}
+    assert all(abs(got[i][2] - want[i][2]) < 2e-5 for i in want)
+    assert any(o == "own" for _, o, _ in got.values())
 
 
 def test_op5(spark, sf):
