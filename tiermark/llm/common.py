@@ -93,9 +93,8 @@ def temporary(*names: str) -> list[str]:
 
 def connected(links: DataFrame) -> DataFrame:
     """Columns node and root (the smallest node reachable) for every node of links (a, b), by alternating large and small
-    stars; every step is a grouped minimum and a join, its result is checkpointed, and the end is told by a checksum."""
-    scratch_dir(links.sparkSession, "any")  # sets the checkpoint folder where none is set
-    edges, last = links.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).where("u <> v").distinct().checkpoint(), None
+    stars; every step is a grouped minimum and a join, its result is a written table, and the end is told by a checksum."""
+    edges, last = stored(links.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).where("u <> v").distinct(), "edges"), None
     while True:
         n, total = edges.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
         if not n or (n, total) == last:
@@ -103,10 +102,27 @@ def connected(links: DataFrame) -> DataFrame:
         last = (n, total)
         both = edges.unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
         least = both.groupBy("u").agg(F.least(F.min("v"), F.first("u")).alias("m"))
-        large = both.join(least, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").distinct()
+        large = both.join(least, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v")  # repeats go with the last step
         least = large.groupBy("u").agg(F.min("v").alias("m"))
         down = large.join(least, "u")
-        edges = down.where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v")).unionByName(least.select("u", F.col("m").alias("v"))).distinct().checkpoint()
+        edges = stored(down.where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v")).unionByName(least.select("u", F.col("m").alias("v"))).distinct(), "edges")
+
+
+def joined_further(roots: DataFrame | None, links: DataFrame) -> DataFrame:
+    """node and root, stored, of the components that links (a, b) form on top of those in roots (None: of none).  Only the links
+    between roots go through `connected`, so what is joined already isn't worked on again."""
+    if roots is None:
+        return stored(connected(links), "roots")
+    if links.isEmpty():
+        return roots
+    for end in ("a", "b"):
+        links = links.join(roots.select(F.col("node").alias(end), F.col("root").alias(f"root_{end}")), end, "left")
+    links = stored(links, "between-roots")
+    more = connected(links.select(F.coalesce("root_a", "a").alias("a"), F.coalesce("root_b", "b").alias("b")))
+    more = stored(more.select(F.col("node").alias("root"), F.col("root").alias("to")), "joined-roots")
+    new = [links.where(f"root_{end} IS NULL").select(F.col(end).alias("node")) for end in ("a", "b")]
+    nodes = roots.select("node", "root").unionByName(new[0].union(new[1]).distinct().select("node", F.col("node").alias("root")))
+    return stored(nodes.join(more, "root", "left").select("node", F.coalesce("to", "root").alias("root")), "roots")
 
 
 def keep_first(docs: DataFrame, key: str, text: str, kept: DataFrame) -> DataFrame:
