@@ -7,7 +7,7 @@ import functools
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tiermark.llm import fingerprints, licenses, line_dedup, mixing, pieces, simhash, token_files, topk, toxicity, warc
+from tiermark.llm import filter_audit, fingerprints, lexical, licenses, line_dedup, mixing, pieces, simhash, token_files, topk, toxicity, warc
 from tiermark.llm.common import ship, table
 
 
@@ -85,6 +85,14 @@ def op10_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
     return fingerprints.edited_fingerprints(table(spark, sf_dir, "documents"))
 
 
+def op11_filter_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return filter_audit.filter_audit(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
+def op12_lexical(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lexical.search(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
 def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     import corpus_pipeline
 
@@ -101,7 +109,7 @@ def _shipped(query):
 
 
 def queries() -> dict:
-    found = [op1_toxicity, op2_simhash, op3_warc, op4_licenses, op5_top_k, op6_mixing, op7_pieces, op8_line_dedup, op9_token_files, op10_fingerprints, pipeline]
+    found = [op1_toxicity, op2_simhash, op3_warc, op4_licenses, op5_top_k, op6_mixing, op7_pieces, op8_line_dedup, op9_token_files, op10_fingerprints, op11_filter_audit, op12_lexical, pipeline]
     return {f.__name__: _shipped(f) for f in found}
 
 
@@ -128,6 +136,32 @@ ORACLE = {
         SELECT doc_id, count(*) AS n_lines, CAST(sum(CASE WHEN dropped THEN 1 ELSE 0 END) AS BIGINT) AS n_dropped,
                sha256(coalesce(string_agg(line, chr(10) ORDER BY pos) FILTER (WHERE NOT dropped), '')) AS kept_sha256
         FROM d GROUP BY doc_id""",
+    "op11_filter_audit": r"""
+        WITH w AS (SELECT doc_id, source, coalesce(text, '') AS body, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS l FROM documents),
+        f AS (SELECT doc_id, coalesce(source, '') AS part,
+                CASE WHEN len(l) < 200 THEN 'A' ELSE '' END || CASE WHEN 100 * len(list_distinct(l)) < 50 * len(l) THEN 'B' ELSE '' END
+                || CASE WHEN 100 * length(regexp_replace(body, '[^A-Z]', '', 'g')) > 2 * length(body) THEN 'C' ELSE '' END
+                || CASE WHEN regexp_matches(body, '[#$%&*|]') THEN 'D' ELSE '' END || CASE WHEN doc_id > min(doc_id) OVER (PARTITION BY body) THEN 'E' ELSE '' END AS failed FROM w),
+        c AS (SELECT part, failed, count(*) AS n, count(*) FILTER (WHERE quality = 1) AS good, count(*) FILTER (WHERE toxic = 1) AS bad FROM f LEFT JOIN labels USING (doc_id) GROUP BY ALL),
+        one AS (SELECT unnest(['A', 'B', 'C', 'D', 'E']) AS x),
+        o AS (SELECT a.x || b.x || c.x || d.x || e.x AS filter_order FROM one a, one b, one c, one d, one e
+              WHERE len(list_distinct([a.x, b.x, c.x, d.x, e.x])) = 5),
+        s AS (SELECT filter_order, CAST(step AS INTEGER) AS step, substr(filter_order, step, 1) AS own, substr(filter_order, 1, step - 1) AS early FROM o, (SELECT unnest([1, 2, 3, 4, 5]) AS step)),
+        r AS (SELECT part, filter_order, step, own, n, good, bad, failed, contains(failed, own) AS fails, regexp_matches(failed, CASE WHEN early = '' THEN '[^A-Z]' ELSE '[' || early || ']' END) AS gone FROM c, s)
+        SELECT part, filter_order, step, CAST(coalesce(sum(n) FILTER (WHERE NOT fails AND NOT gone), 0) AS BIGINT) AS kept, CAST(coalesce(sum(n) FILTER (WHERE fails AND NOT gone), 0) AS BIGINT) AS removed,
+               CAST(coalesce(sum(n) FILTER (WHERE fails AND gone), 0) AS BIGINT) AS redundant, CAST(coalesce(sum(n) FILTER (WHERE failed = own), 0) AS BIGINT) AS unique_fails,
+               CAST(coalesce(sum(good) FILTER (WHERE fails AND NOT gone), 0) AS BIGINT) AS good_lost, CAST(coalesce(sum(bad) FILTER (WHERE fails AND NOT gone), 0) AS BIGINT) AS toxic_lost,
+               CAST(sum(coalesce(sum(n) FILTER (WHERE fails AND NOT gone), 0)) OVER (PARTITION BY part, own) AS BIGINT) AS shapley
+        FROM r GROUP BY part, filter_order, step, own""",
+    "op12_lexical": r"""
+        WITH t AS (SELECT doc_id, regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+') AS l FROM documents WHERE text IS NOT NULL),
+        d AS (SELECT doc_id, len(l) AS n, l FROM t WHERE len(l) > 0),
+        g AS (SELECT count(*) AS big_n, CAST(sum(n) AS BIGINT) AS big_l FROM d),
+        tf AS (SELECT doc_id, n, term, count(*) AS tf FROM (SELECT doc_id, n, unnest(l) AS term FROM d) GROUP BY ALL),
+        w AS (SELECT term, CAST(floor(1000 * ln((2 * big_n + 2) / (2 * count(*) + 1))) AS BIGINT) AS w FROM tf, g GROUP BY term, big_n),
+        q AS (SELECT item_id, term, count(*) AS times FROM (SELECT item_id, unnest(regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+')) AS term FROM benchmark) GROUP BY ALL),
+        s AS (SELECT item_id, doc_id, CAST(sum(times * w * ((1000000000 * tf) // (1000 * tf + 8 * (25 + (75 * n * big_n) // big_l)))) AS BIGINT) AS score FROM q JOIN w USING (term) JOIN tf USING (term), g GROUP BY ALL)
+        SELECT item_id, CAST(rank AS INTEGER) AS rank, doc_id, score FROM (SELECT *, row_number() OVER (PARTITION BY item_id ORDER BY score DESC, doc_id) AS rank FROM s WHERE score > 0) WHERE rank <= 10""",
     "op5_top_k": """
         WITH e AS (SELECT vec_id, list_transform(embedding, lambda x: CAST(floor(64 * CAST(x AS DOUBLE)) AS BIGINT)) AS v FROM embeddings
                    WHERE embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
