@@ -99,3 +99,24 @@ def token_rows(docs, tokenizer, end_id=2):
         out.append((i, start, len(ids), zlib.crc32(np.array(ids, dtype="<u4").tobytes())))
         start += len(ids)
     return out
+
+
+def repeats(docs, length=50):
+    """docs: [(id, text)]; (id, n_bytes, n_removed, n_spans, kept) in the same order.  A null id is above all others."""
+    rank = lambda i: float("inf") if i is None else i
+    first = {}
+    for i, text in docs:
+        b = (text or "").encode()
+        for s in range(len(b) - length + 1):
+            w = b[s : s + length]
+            first[w] = min(first.get(w, rank(i)), rank(i))
+    out = []
+    for i, text in docs:
+        b = (text or "").encode()
+        gone = bytearray(len(b))
+        for s in range(len(b) - length + 1):
+            if first[b[s : s + length]] < rank(i):
+                gone[s : s + length] = b"\1" * length
+        spans = sum(1 for s in range(len(b)) if gone[s] and not (s and gone[s - 1]))
+        out.append((i, len(b), sum(gone), spans, bytes(c for c, g in zip(b, gone) if not g)))
+    return out

@@ -7,7 +7,7 @@ import functools
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tiermark.llm import filter_audit, fingerprints, lexical, licenses, line_dedup, mixing, pieces, simhash, token_files, topk, toxicity, warc
+from tiermark.llm import filter_audit, fingerprints, lexical, licenses, line_dedup, mixing, pieces, simhash, suffix_dedup, token_files, topk, toxicity, warc
 from tiermark.llm.common import ship, table
 
 
@@ -93,6 +93,11 @@ def op12_lexical(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lexical.search(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
 
+def op13_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = suffix_dedup.remove_repeats(table(spark, sf_dir, "documents"))
+    return rows.select("doc_id", "n_bytes", "n_removed", F.size("spans").cast("bigint").alias("n_spans"), F.sha2("kept", 256).alias("kept_sha256"))
+
+
 def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     import corpus_pipeline
 
@@ -109,7 +114,7 @@ def _shipped(query):
 
 
 def queries() -> dict:
-    found = [op1_toxicity, op2_simhash, op3_warc, op4_licenses, op5_top_k, op6_mixing, op7_pieces, op8_line_dedup, op9_token_files, op10_fingerprints, op11_filter_audit, op12_lexical, pipeline]
+    found = [op1_toxicity, op2_simhash, op3_warc, op4_licenses, op5_top_k, op6_mixing, op7_pieces, op8_line_dedup, op9_token_files, op10_fingerprints, op11_filter_audit, op12_lexical, op13_suffix_dedup, pipeline]
     return {f.__name__: _shipped(f) for f in found}
 
 
