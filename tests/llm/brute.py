@@ -120,3 +120,57 @@ def repeats(docs, length=50):
         spans = sum(1 for s in range(len(b)) if gone[s] and not (s and gone[s - 1]))
         out.append((i, len(b), sum(gone), spans, bytes(c for c, g in zip(b, gone) if not g)))
     return out
+
+
+def audit(docs, labels):
+    """docs: [(id, text, part)], labels: {id: (quality, toxic)}; the rows of the audit.  A null id is above all others."""
+    import itertools
+    import re
+
+    rank = lambda i: float("inf") if i is None else i
+    least = {}
+    for i, text, _ in docs:
+        least[text or ""] = min(least.get(text or "", float("inf")), rank(i))
+    rows = {}
+    for i, text, part in docs:
+        t = text or ""
+        words = re.findall(r"[^\x20\x09-\x0D]+", t)
+        fails = {"A": len(words) < 200, "B": 100 * len(set(words)) < 50 * len(words), "C": 100 * len(re.findall("[A-Z]", t)) > 2 * len(t), "D": bool(re.search(r"[#$%&*|]", t)), "E": least[t] < rank(i)}
+        quality, toxic = labels.get(i, (0, 0))
+        rows.setdefault(part or "", []).append(({f for f in fails if fails[f]}, quality == 1, toxic == 1))
+    out = set()
+    for part, some in rows.items():
+        walks, shapley = [], dict.fromkeys("ABCDE", 0)
+        for order in itertools.permutations("ABCDE"):
+            left = some
+            for step, f in enumerate(order):
+                gone = [x for x in left if f in x[0]]
+                left = [x for x in left if f not in x[0]]
+                shapley[f] += len(gone)
+                walks.append(("".join(order), step + 1, f, len(left), len(gone), sum(f in x[0] and bool(x[0] & set(order[:step])) for x in some), sum(x[0] == {f} for x in some), sum(x[1] for x in gone), sum(x[2] for x in gone)))
+        out |= {(part, o, s, *rest, shapley[f]) for o, s, f, *rest in walks}
+    return out
+
+
+def lexical_ranks(docs, items, k=10):
+    """docs and items: [(id, text)]; (item, rank, id, score)."""
+    import math
+    import re
+    from collections import Counter
+
+    upper = str.maketrans("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
+    found = lambda t: Counter(re.findall(r"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+", (t or "").translate(upper)))
+    counted = [(i, c) for i, c in ((i, found(t)) for i, t in docs) if c]
+    n_docs, n_terms = len(counted), sum(c.total() for _, c in counted)
+    df = Counter(t for _, c in counted for t in c)
+    out = set()
+    for item, text in items:
+        scored = []
+        for i, c in counted:
+            m = 25 + 75 * c.total() * n_docs // n_terms
+            score = sum(q * math.floor(1000 * math.log((2 * n_docs + 2) / (2 * df[t] + 1))) * (1_000_000_000 * c[t] // (1000 * c[t] + 8 * m)) for t, q in found(text).items() if t in c)
+            if score > 0:
+                scored.append((-score, i is None, i, -score))
+        scored.sort()
+        out |= {(item, n + 1, i, -s) for n, (s, _, i, _) in enumerate(scored[:k])}
+    return out
