@@ -8,7 +8,9 @@ a document's words and distinct words; they decide filters A and B, the others c
 
 from __future__ import annotations
 
+import hashlib
 import itertools
+import uuid
 from collections import Counter
 
 import numpy as np
@@ -19,36 +21,52 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.window import Window
 
-from tiermark.llm.common import stored, temporary, text_or_empty
+from tiermark.llm.common import scratch_dir, stored, temporary, text_or_empty
 
 FILTERS = "ABCDE"
-_UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
+_UPPER, _LATER, _ODD = b"ABCDEFGHIJKLMNOPQRSTUVWXYZ", bytes(range(128, 192)), b"#$%&*|"  # later: bytes that don't begin a character
 
 
-def _local_shards(columns: list[str], shard_bytes: int):
+def _without(body: bytes, some: bytes) -> int:
+    return len(body.translate(None, some))
+
+
+#: What filters C, D and E go by.
+TRAITS = {
+    "c": (pa.bool_(), lambda b: 100 * (len(b) - _without(b, _UPPER)) > 2 * _without(b, _LATER)),
+    "d": (pa.bool_(), lambda b: _without(b, _ODD) < len(b)),
+    "digest": (pa.binary(), lambda b: hashlib.sha256(b).digest()),
+}
+
+
+def _local_shards(columns: list[str], traits: dict, shard_bytes: int):
     """A function for mapInArrow: rows of columns and `text` to shards with vocabularies of their own."""
 
     def shards(batches):
         first, number = TaskContext.get().partitionId() << 33, 0
 
         def begin():
-            return {"size": 0, "ptr": [0], "at": [], "n": [], "vocabulary": {}, "rows": []}
+            return {"size": 0, "ptr": [0], "at": [], "n": [], "vocabulary": {}, "rows": [], "traits": {t: [] for t in traits}}
 
         def row(s):
             lists = {c: pa.concat_arrays([b[k] for b in s["rows"]]) for k, c in enumerate(columns)}
-            lists |= {"indptr": pa.array(s["ptr"], pa.int32()), "indices": pa.array(np.concatenate(s["at"]), pa.int64()), "counts": pa.array(np.concatenate(s["n"]), pa.int32()), "vocabulary": pa.array(list(s["vocabulary"]), pa.binary()).cast(pa.string())}
+            lists |= {t: pa.array(s["traits"][t], kind) for t, (kind, _) in traits.items()}
+            lists |= {"indptr": pa.array(s["ptr"], pa.int32()), "indices": pa.array(np.concatenate(s["at"]), pa.int32()), "counts": pa.array(np.concatenate(s["n"]), pa.int32()), "vocabulary": pa.array(list(s["vocabulary"]), pa.binary()).cast(pa.string())}
             wrapped = {c: pa.ListArray.from_arrays(pa.array([0, len(v)], pa.int32()), v) for c, v in lists.items()}
             return pa.RecordBatch.from_pydict({"shard": pa.array([first + number], pa.int64())} | wrapped)
 
         s = begin()
         for batch in batches:
             kept, begun = [batch.column(batch.schema.get_field_index(c)) for c in columns], 0
-            for k, text in enumerate(batch.column("text").to_pylist()):
-                words, vocabulary = Counter(text.encode().split()), s["vocabulary"]
-                s["at"].append(np.fromiter((vocabulary.setdefault(w, len(vocabulary)) for w in words), np.int64, len(words)))
+            for k, text in enumerate(batch.column("text")):
+                body = text.as_buffer().to_pybytes()
+                words, vocabulary = Counter(body.split()), s["vocabulary"]
+                s["at"].append(np.fromiter((vocabulary.setdefault(w, len(vocabulary)) for w in words), np.int32, len(words)))
                 s["n"].append(np.fromiter(words.values(), np.int32, len(words)))
                 s["ptr"].append(s["ptr"][-1] + len(words))
-                s["size"] += len(text)
+                for t, (_, of) in traits.items():
+                    s["traits"][t].append(of(body))
+                s["size"] += len(body)
                 if s["size"] >= shard_bytes:
                     s["rows"].append([c.slice(begun, k + 1 - begun) for c in kept])
                     yield row(s)
@@ -61,28 +79,36 @@ def _local_shards(columns: list[str], shard_bytes: int):
     return shards
 
 
-def dictionary(words: DataFrame, buckets: int = 4096) -> DataFrame:
-    """term and its number (0 to terms - 1, no gaps) for every distinct term of words: numbered within buckets of hashes, each on
-    top of the terms in the buckets before it, so no task has all terms."""
-    terms = words.select("term").distinct().withColumn("bucket", F.pmod(F.xxhash64("term"), F.lit(buckets)))
-    counts = terms.groupBy("bucket").agg(F.count("*").alias("c"))
-    base = counts.select("bucket", (F.sum("c").over(Window.orderBy("bucket")) - F.col("c")).alias("base"))
-    inside = F.row_number().over(Window.partitionBy("bucket").orderBy("term")) - 1
-    return terms.withColumn("inside", inside).join(F.broadcast(base), "bucket").select("term", (F.col("base") + F.col("inside")).cast("bigint").alias("number"))  # a row a bucket
+def document_terms(docs: DataFrame, columns: list[str], text: str = "text", traits: dict | None = None, shard_bytes: int = 32 << 20, buckets: int = 4096) -> tuple[DataFrame, DataFrame]:
+    """The dictionary (term, number from 0 without gaps) and the CSR shards of docs, both stored: shard, each of columns and traits as
+    an array with an entry a document, indptr, indices (numbers of the dictionary), counts.
 
+    traits: name to (Arrow type, function of a text's bytes).  A null text has no words; without rows there are no shards.  Terms
+    are numbered within buckets of their hashes, each on top of the terms in the buckets before it, so no task has all of them; a
+    term is in a shard's vocabulary once, so none is frequent there.  The shards' entries are never shuffled."""
+    from pyspark.sql.pandas.types import from_arrow_type
 
-def document_terms(docs: DataFrame, columns: list[str], text: str = "text", shard_bytes: int = 8 << 20) -> tuple[DataFrame, DataFrame]:
-    """The dictionary (term, number) and the CSR shards of docs, both stored: shard, each of columns as an array with an entry a
-    document, indptr, indices (numbers of the dictionary), counts.  A null text has no words; without rows there are no shards."""
+    spark, traits, name = docs.sparkSession, traits or {}, f"term_shards_{uuid.uuid4().hex}"
     rows = docs.select(*columns, text_or_empty(text).alias("text"))
-    kinds = [T.StructField(c, T.ArrayType(rows.schema[c].dataType)) for c in columns]
-    schema = T.StructType([T.StructField("shard", T.LongType()), *kinds, *[T.StructField(n, T.ArrayType(t)) for n, t in (("indptr", T.IntegerType()), ("indices", T.LongType()), ("counts", T.IntegerType()), ("vocabulary", T.StringType()))]])
-    local = stored(rows.mapInArrow(_local_shards(columns, shard_bytes), schema), "local-shards")
-    words = local.select("shard", F.posexplode("vocabulary").alias("place", "term"))
-    terms = stored(dictionary(words), "dictionary")
-    numbers = words.join(terms, "term").groupBy("shard").agg(F.array_sort(F.collect_list(F.struct("place", "number"))).alias("numbers"))  # a shard's own words
-    found = local.drop("vocabulary").join(numbers, "shard", "left").withColumn("indices", F.transform("indices", lambda i: F.get("numbers.number", i.cast("int"))))
-    return terms, stored(found.drop("numbers"), "shards")
+    kinds = [T.StructField(c, T.ArrayType(k)) for c, k in [*((c, rows.schema[c].dataType) for c in columns), *((t, from_arrow_type(k)) for t, (k, _) in traits.items())]]
+    schema = T.StructType([T.StructField("shard", T.LongType()), *kinds, *[T.StructField(n, T.ArrayType(t)) for n, t in (("indptr", T.IntegerType()), ("indices", T.IntegerType()), ("counts", T.IntegerType()), ("vocabulary", T.StringType()))]])
+    written = rows.mapInArrow(_local_shards(columns, traits, shard_bytes), schema).write.bucketBy(int(spark.conf.get("spark.sql.shuffle.partitions")), "shard")
+    try:
+        written.option("path", scratch_dir(spark, name)).option("compression", "zstd").saveAsTable(name)
+        local = spark.table(name)
+        words = local.select("shard", F.posexplode("vocabulary").alias("place", "term")).withColumn("bucket", F.pmod(F.xxhash64("term"), F.lit(buckets)).cast("int"))
+        by_term = Window.partitionBy("bucket").orderBy("term")
+        inside, new = F.dense_rank().over(by_term) - 1, ~F.lag("term").over(by_term).eqNullSafe(F.col("term"))
+        placed = stored(words.select("bucket", inside.alias("inside"), "shard", "place", F.when(new, F.col("term")).alias("term")), "numbered")  # each term once
+        counts = placed.groupBy("bucket").agg((F.max("inside") + 1).alias("c"))
+        base = counts.select("bucket", (F.sum("c").over(Window.orderBy("bucket")) - F.col("c")).alias("base"))
+        numbered = placed.join(F.broadcast(base), "bucket").withColumn("number", (F.col("base") + F.col("inside")).cast("bigint"))  # a row a bucket
+        numbers = numbered.groupBy("shard").agg(F.array_sort(F.collect_list(F.struct("place", "number"))).alias("numbers"))  # a shard's own words
+        found = local.drop("vocabulary").join(numbers, "shard", "left").select("*", F.col("numbers.number").alias("_to"))
+        shards = stored(found.withColumn("indices", F.transform("indices", lambda i: F.get("_to", i))).drop("numbers", "_to"), "shards")
+    finally:
+        spark.sql(f"DROP TABLE IF EXISTS {name}")
+    return numbered.where("term IS NOT NULL").select("term", "number"), shards
 
 
 def row_sums(shards: DataFrame, columns: list[str]) -> DataFrame:
@@ -108,11 +134,8 @@ def failures(docs: DataFrame, key: str = "doc_id", text: str = "text", part: str
     A: under 200 words; B: distinct words under half of the words; C: over 2 % of the code points are A-Z; D: holds one of
     #$%&*|; E: the text is that of a row with a smaller id.  A null text is an empty one (fails A alone, and E where an empty text has a
     smaller id); a null part is ""; a null id is larger than every id; rows that repeat an id are rows of their own and not smaller."""
-    body = text_or_empty(text)
-    upper = F.char_length(body) - F.char_length(F.translate(body, _UPPER, ""))
-    read = docs.select(F.col(key).alias("id"), F.coalesce(F.col(part).cast("string"), F.lit("")).alias("part"), (100 * upper > 2 * F.char_length(body)).alias("c"), body.rlike(r"[#$%&*|]").alias("d"), F.unhex(F.sha2(body, 256)).alias("digest"), body.alias("text"))
-    columns = ["id", "part", "c", "d", "digest"]
-    rows = stored(row_sums(document_terms(read, columns)[1], columns), "document-rows")
+    read = docs.select(F.col(key).alias("id"), F.coalesce(F.col(part).cast("string"), F.lit("")).alias("part"), text_or_empty(text).alias("text"))
+    rows = stored(row_sums(document_terms(read, ["id", "part"], traits=TRAITS)[1], ["id", "part", *TRAITS]), "document-rows")
     first = stored(rows.groupBy("digest").agg(F.min("id").alias("first"), F.count("*").alias("n")).where("n > 1 AND first IS NOT NULL").drop("n"), "first-holders")
     seen = rows.join(first, "digest", "left")
     tests = [F.col("n_words") < 200, 100 * F.col("n_distinct") < 50 * F.col("n_words"), F.col("c"), F.col("d"), F.coalesce(F.col("first").isNotNull() & (F.col("id").isNull() | (F.col("first") < F.col("id"))), F.lit(False))]
