@@ -11,6 +11,7 @@ from __future__ import annotations
 import hashlib
 import itertools
 import uuid
+import zlib
 from collections import Counter
 
 import numpy as np
@@ -79,36 +80,85 @@ def _local_shards(columns: list[str], traits: dict, shard_bytes: int):
     return shards
 
 
-def document_terms(docs: DataFrame, columns: list[str], text: str = "text", traits: dict | None = None, shard_bytes: int = 32 << 20, buckets: int = 4096) -> tuple[DataFrame, DataFrame]:
+def _dealt(ranges: int):
+    """For mapInArrow: a shard's vocabulary by ranges of the words' checksums, with the words' places in it."""
+
+    def dealt(batches):
+        for batch in batches:
+            for shard, words in zip(batch.column("shard"), batch.column("vocabulary")):
+                words = words.values
+                at = np.fromiter((zlib.crc32(w.as_buffer()) % ranges for w in words), np.int64, len(words))
+                order = np.argsort(at, kind="stable")
+                found, begin = np.unique(at[order], return_index=True)
+                lists = [pa.ListArray.from_arrays(pa.array(np.append(begin, len(order)), pa.int32()), v) for v in (pa.array(order, pa.int32()), words.take(pa.array(order)))]
+                yield pa.RecordBatch.from_arrays([pa.array(found), pa.array([shard.as_py()] * len(found), pa.int64()), *lists], ["range", "shard", "places", "terms"])
+
+    return dealt
+
+
+def _numbered(key, table):
+    """For applyInArrow by range: each word's number within the range, and every word once (in the row that has it first)."""
+    numbers: dict = {}
+    inside, new = [], []
+    for row in table.column("terms").to_pylist():
+        before = len(numbers)
+        inside.append([numbers.setdefault(w, len(numbers)) for w in row])
+        new.append([w for w, n in zip(row, inside[-1]) if n >= before])
+    columns = [pa.array([key[0].as_py()] * len(table), pa.int64()), table.column("shard"), table.column("places"), pa.array(inside, pa.list_(pa.int64())), pa.array(new, pa.list_(pa.string()))]
+    return pa.table(columns, names=["range", "shard", "places", "inside", "terms"])
+
+
+def _encoded(names: list[str]):
+    """For cogroup by shard: the shard with the dictionary's numbers in place of its own."""
+
+    def encoded(_, shards, numbers):
+        if not len(shards):
+            return shards.select(names)
+        own = shards.column("indices").combine_chunks().flatten().to_numpy()
+        to = np.zeros(sum(len(x) for x in numbers.column("places")), np.int64)
+        for places, inside, base in zip(numbers.column("places"), numbers.column("inside"), numbers.column("base").to_pylist()):
+            to[places.values.to_numpy()] = inside.values.to_numpy() + base
+        indices = pa.ListArray.from_arrays(pa.array([0, len(own)], pa.int32()), pa.array(to[own]))
+        return shards.set_column(shards.schema.get_field_index("indices"), "indices", indices).select(names)
+
+    return encoded
+
+
+def document_terms(docs: DataFrame, columns: list[str], text: str = "text", traits: dict | None = None, shard_bytes: int = 4 << 20, ranges: int | None = None) -> tuple[DataFrame, DataFrame]:
     """The dictionary (term, number from 0 without gaps) and the CSR shards of docs, both stored: shard, each of columns and traits as
     an array with an entry a document, indptr, indices (numbers of the dictionary), counts.
 
-    traits: name to (Arrow type, function of a text's bytes).  A null text has no words; without rows there are no shards.  Terms
-    are numbered within buckets of their hashes, each on top of the terms in the buckets before it, so no task has all of them; a
-    term is in a shard's vocabulary once, so none is frequent there.  The shards' entries are never shuffled."""
+    traits: name to (Arrow type, function of a text's bytes).  A null text has no words; without rows there are no shards.  Words are
+    numbered by ranges of their checksums, each on top of the words in the ranges before it, so no task has all of them; a word is
+    in a shard's vocabulary once, so none is frequent there.  The shards' entries are never shuffled."""
     from pyspark.sql.pandas.types import from_arrow_type
 
     spark, traits, name = docs.sparkSession, traits or {}, f"term_shards_{uuid.uuid4().hex}"
+    partitions = int(spark.conf.get("spark.sql.shuffle.partitions"))
     rows = docs.select(*columns, text_or_empty(text).alias("text"))
     kinds = [T.StructField(c, T.ArrayType(k)) for c, k in [*((c, rows.schema[c].dataType) for c in columns), *((t, from_arrow_type(k)) for t, (k, _) in traits.items())]]
-    schema = T.StructType([T.StructField("shard", T.LongType()), *kinds, *[T.StructField(n, T.ArrayType(t)) for n, t in (("indptr", T.IntegerType()), ("indices", T.IntegerType()), ("counts", T.IntegerType()), ("vocabulary", T.StringType()))]])
-    written = rows.mapInArrow(_local_shards(columns, traits, shard_bytes), schema).write.bucketBy(int(spark.conf.get("spark.sql.shuffle.partitions")), "shard")
+    array = lambda n, t: T.StructField(n, T.ArrayType(t))
+    schema = T.StructType([T.StructField("shard", T.LongType()), *kinds, array("indptr", T.IntegerType()), array("indices", T.IntegerType()), array("counts", T.IntegerType()), array("vocabulary", T.StringType())])
+    written = rows.mapInArrow(_local_shards(columns, traits, shard_bytes), schema).write.bucketBy(partitions, "shard")
     try:
         written.option("path", scratch_dir(spark, name)).option("compression", "zstd").saveAsTable(name)
         local = spark.table(name)
-        words = local.select("shard", F.posexplode("vocabulary").alias("place", "term")).withColumn("bucket", F.pmod(F.xxhash64("term"), F.lit(buckets)).cast("int"))
-        by_term = Window.partitionBy("bucket").orderBy("term")
-        inside, new = F.dense_rank().over(by_term) - 1, ~F.lag("term").over(by_term).eqNullSafe(F.col("term"))
-        placed = stored(words.select("bucket", inside.alias("inside"), "shard", "place", F.when(new, F.col("term")).alias("term")), "numbered")  # each term once
-        counts = placed.groupBy("bucket").agg((F.max("inside") + 1).alias("c"))
-        base = counts.select("bucket", (F.sum("c").over(Window.orderBy("bucket")) - F.col("c")).alias("base"))
-        numbered = placed.join(F.broadcast(base), "bucket").withColumn("number", (F.col("base") + F.col("inside")).cast("bigint"))  # a row a bucket
-        numbers = numbered.groupBy("shard").agg(F.array_sort(F.collect_list(F.struct("place", "number"))).alias("numbers"))  # a shard's own words
-        found = local.drop("vocabulary").join(numbers, "shard", "left").select("*", F.col("numbers.number").alias("_to"))
-        shards = stored(found.withColumn("indices", F.transform("indices", lambda i: F.get("_to", i))).drop("numbers", "_to"), "shards")
+        words = local.select("shard", "vocabulary").mapInArrow(_dealt(ranges or 4 * partitions), "range bigint, shard bigint, places array<int>, terms array<string>")
+        numbered = stored(words.groupBy("range").applyInArrow(_numbered, "range bigint, shard bigint, places array<int>, inside array<bigint>, terms array<string>"), "numbered")
+        counts = numbered.groupBy("range").agg(F.sum(F.size("terms")).alias("c"))
+        base = F.broadcast(counts.select("range", (F.sum("c").over(Window.orderBy("range")) - F.col("c")).alias("base")))  # a row a range
+        kept = T.StructType([f if f.name != "indices" else T.StructField("indices", T.ArrayType(T.LongType())) for f in schema if f.name != "vocabulary"])
+        numbers = numbered.select("range", "shard", "places", "inside").join(base, "range")
+        shards = stored(local.drop("vocabulary").groupBy("shard").cogroup(numbers.groupBy("shard")).applyInArrow(_encoded(kept.names), kept), "shards")
     finally:
         spark.sql(f"DROP TABLE IF EXISTS {name}")
-    return numbered.where("term IS NOT NULL").select("term", "number"), shards
+    return _dictionary(numbered, base), shards
+
+
+def _dictionary(numbered: DataFrame, base: DataFrame) -> DataFrame:
+    """term and number: a row's new words have the next numbers of its range in their order, from the first on that no row before has."""
+    new = numbered.where(F.size("terms") > 0).withColumn("first", F.array_max("inside") - F.size("terms") + 1)
+    return new.join(base, "range").select(F.posexplode("terms").alias("at", "term"), "base", "first").select("term", (F.col("base") + F.col("first") + F.col("at")).cast("bigint").alias("number"))
 
 
 def row_sums(shards: DataFrame, columns: list[str]) -> DataFrame:
