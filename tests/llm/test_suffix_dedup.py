@@ -61,7 +61,22 @@ def _passages(n, seed):
     return docs
 
 
-@pytest.mark.parametrize("crowd", [256, 8])
+def test_many_strings_of_a_hash_are_parted_again():
+    """A lane of many strings, one window among many others, and many of one window alone."""
+    r = random.Random(2)
+    word = lambda n: "".join(r.choice("abcdefgh") for _ in range(n)).encode()
+    core = word(50)
+    for lane in ({word(r.randint(0, 20)) + core + word(r.randint(0, 20)): [(k, 0, k, [0])] for k in range(200)}, {word(8) + core: [(k, 0, k, [0])] for k in range(90)}, {core[:20] + word(1) * 40 + core: [(k % 7, 0, k, [0])] for k in range(60)}):
+        got = set()
+        suffix_dedup._settle([lane], 50, lambda holder, first, windows, got=got: got.update((holder[2], s + x) for s, n in zip(first, windows) for x in range(n)))
+        windows = {}
+        for s, [(key, _, _, _)] in lane.items():
+            for x in range(len(s) - 49):
+                windows[s[x : x + 50]] = min(key, windows.get(s[x : x + 50], key))
+        assert got == {(d, x) for s, [(key, _, d, _)] in lane.items() for x in range(len(s) - 49) if windows[s[x : x + 50]] < key}
+
+
+@pytest.mark.parametrize("crowd", [100_000, 8])
 def test_shared_passages(spark, crowd):
     """Also where a hash is dealt out by its windows, and with many batches and ranges."""
     docs = _passages(60, crowd)

@@ -27,8 +27,9 @@ from tiermark.llm.suffix_groups import suffix_orders
 
 _GRAM = 16
 _NULL = (1 << 63) - 1  # in place of a null key: larger than every other
-_PIECE = 1 << 20  # bytes of documents whose windows are hashed together
+_PIECE = 1 << 18  # bytes of documents whose windows are hashed together
 _RUN = 64  # windows of a string at most
+_LANE = 16  # strings that are sorted together; more are dealt out once more, by other hashes
 
 
 def _hash(x: np.ndarray) -> np.ndarray:
@@ -44,14 +45,14 @@ def _words(data: np.ndarray) -> np.ndarray:
     return x[: len(data)]
 
 
-def _runs(texts: list[bytes], length: int):
-    """hash, document, start, windows of the runs of windows with one hash in texts."""
+def _runs(texts: list[bytes], length: int, seed: int = 0):
+    """hash, document, start, windows of the runs of windows with one hash in texts; another seed, other hashes."""
     sizes = np.array([len(t) for t in texts], np.int64)
     n = int(sizes.sum())
     if n < length:
         return (np.zeros(0, np.uint64), *(np.zeros(0, np.int64) for _ in range(3)))
     words = _words(np.frombuffer(b"".join(texts), np.uint8))
-    low = _hash(words[:-8] * np.uint64(0xD6E8FEB86659FD93) + _hash(words[8:]))
+    low = _hash((words[:-8] + np.uint64(seed)) * np.uint64(0xD6E8FEB86659FD93) + _hash(words[8:]))
     span = length - _GRAM + 1  # grams in a window
     step, at = 1, low
     while 2 * step <= span:
@@ -237,7 +238,7 @@ def repeated_windows(lanes: list[list[tuple[bytes, int]]], length: int) -> list[
     return found
 
 
-def _marks(length: int, most: int = 1 << 20):
+def _marks(length: int, most: int = 4 << 20):
     """For applyInArrow by range: the windows that go, by batch."""
 
     def marks(_, table):
@@ -273,17 +274,49 @@ def _marks(length: int, most: int = 1 << 20):
     return marks
 
 
+def _compared(strings: list[tuple[bytes, int, int, int]], length: int, hit, seed: int = 1) -> list[list[tuple[bytes, int, int, int]]]:
+    """The strings of a lane (string, key, number, offset) as lists to be sorted together: many are cut into runs of windows again, by
+    another hash, and the runs of a hash make a list, so equal windows meet again.  Many that four hashes don't part (one window
+    among hardly any others) are compared window by window, and hit(number, place) is told of those that go."""
+    if len(strings) <= _LANE:
+        return [strings]
+    parts: dict = defaultdict(list)
+    if seed > 4:
+        for string, key, number, offset in strings:
+            for x in range(len(string) - length + 1):
+                parts[string[x : x + length]].append((key, number, offset + x))
+        for same in parts.values():
+            least = min(same)[0]
+            for key, number, place in same:
+                if key > least:
+                    hit(number, place)
+        return []
+    for h, k, start, windows in zip(*(x.tolist() for x in _runs([s[0] for s in strings], length, seed))):
+        string, key, number, offset = strings[k]
+        parts[h].append((string[start : start + windows + length - 1], key, number, offset + start))
+    return [p for part in parts.values() if len(part) > 1 for p in _compared(part, length, hit, seed + 1)]
+
+
 def _settle(lanes: list[dict], length: int, mark) -> None:
     """Tell mark of all windows to remove in lanes (string to its holders); a lane of one string has no other to compare with."""
-    several = [lane for lane in lanes if len(lane) > 1]
-    listed = [[(string, min(h[0] for h in holders)) for string, holders in lane.items()] for lane in several]
-    hits = iter(repeated_windows(listed, length) if several else [])
-    for lane in lanes:
-        found = next(hits) if len(lane) > 1 else [np.zeros(0, np.int64)]
-        for (string, holders), at in zip(lane.items(), found):
+    found: list = [[[] for _ in lane] for lane in lanes]
+    parts = []
+    for of_lane, lane in zip(found, lanes):
+        if len(lane) > 1:
+            listed = [(s, min(h[0] for h in holders), n, 0) for n, (s, holders) in enumerate(lane.items())]
+            parts += [(of_lane, part) for part in _compared(listed, length, lambda n, place, of_lane=of_lane: of_lane[n].append([place]))]
+    parts.sort(key=lambda p: sum(len(s[0]) for s in p[1]))
+    hits = repeated_windows([[(s, key) for s, key, _, _ in part] for _, part in parts], length) if parts else []
+    for (of_lane, part), at in zip(parts, hits):
+        for (_, _, n, offset), windows in zip(part, at):
+            if len(windows):
+                of_lane[n].append(windows + offset)
+    for lane, of_lane in zip(lanes, found):
+        for (string, holders), at in zip(lane.items(), of_lane):
             least, all_of_it = min(h[0] for h in holders), len(string) - length + 1
-            cut = np.flatnonzero(np.append(True, np.diff(at) != 1)) if len(at) else np.zeros(0, np.int64)
-            first, windows = at[cut].tolist(), np.diff(np.append(cut, len(at))).tolist()
+            at = np.unique(np.concatenate(at)) if at else np.zeros(0, np.int64)
+            cut = np.flatnonzero(np.append(True, np.diff(at) != 1)) if len(at) else at
+            first, windows = at[cut].tolist(), np.diff(np.append(cut, len(at))).tolist() if len(at) else []
             for holder in holders:
                 if holder[0] > least:
                     mark(holder, [0], [all_of_it])
@@ -319,12 +352,13 @@ def _removed(length: int, kind):
     return removed
 
 
-def remove_repeats(docs: DataFrame, key: str = "doc_id", text: str = "text", length: int = 50, batch_rows: int = 512, ranges: int | None = None, crowd: int = 256) -> DataFrame:
+def remove_repeats(docs: DataFrame, key: str = "doc_id", text: str = "text", length: int = 50, batch_rows: int = 512, ranges: int | None = None, crowd: int = 100_000) -> DataFrame:
     """key, n_bytes, n_removed, spans (start, stop of the maximal removed runs) and kept (the bytes that stay) of every row.
 
     A byte goes if a string of `length` bytes over it also starts in a row with a smaller key; strings are judged on the input, and
     don't cross rows.  Keys are integers; a null key is larger than all others; rows that repeat a key take nothing from each other.
-    A hash that `crowd` documents have is dealt out further, by whole windows.  A null text is empty; texts shorter than length lose nothing; an empty table gives none.  kept may end within a character."""
+    The strings of a hash that `crowd` documents have are dealt out further, by their windows, so what one task holds of a
+    hash is bounded.  A null text is empty; texts shorter than length lose nothing; an empty table gives none.  kept may end within a character."""
     from pyspark.sql.pandas.types import to_arrow_type
 
     spark, kind = docs.sparkSession, docs.schema[key].dataType
@@ -333,7 +367,7 @@ def remove_repeats(docs: DataFrame, key: str = "doc_id", text: str = "text", len
     if length < _GRAM:
         raise ValueError(f"length is {_GRAM} or more")
     buckets = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    ranges, name = ranges or 4 * buckets, f"suffix_docs_{uuid.uuid4().hex}"
+    ranges, name = ranges or buckets, f"suffix_docs_{uuid.uuid4().hex}"
     number = F.monotonically_increasing_id()
     rows = docs.select(F.col(key).cast("bigint").alias("key"), text_or_empty(text).alias("text")).withColumn("place", number)
     rows = rows.withColumn("batch", F.floor(F.col("place") / batch_rows).cast("bigint"))
