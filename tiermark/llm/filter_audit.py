@@ -12,7 +12,8 @@ import hashlib
 import itertools
 import uuid
 import zlib
-from collections import Counter
+from array import array
+from collections import Counter, defaultdict
 
 import numpy as np
 import pyarrow as pa
@@ -40,72 +41,69 @@ TRAITS = {
 }
 
 
-def _local_shards(columns: list[str], traits: dict, shard_bytes: int):
+class _Shard:
+    """A shard in the making: rows of the matrix with numbers of a vocabulary of its own."""
+
+    def __init__(self, traits: dict):
+        self.size, self.ptr, self.indices, self.counts = 0, [0], array("i"), array("i")
+        self.vocabulary: defaultdict = defaultdict()
+        self.vocabulary.default_factory = self.vocabulary.__len__  # a new word gets the next number
+        self.rows, self.traits = [], {t: [] for t in traits}
+
+    def add(self, body: bytes, traits: dict) -> None:
+        words = Counter(body.split())
+        self.indices.extend(map(self.vocabulary.__getitem__, words))
+        self.counts.extend(words.values())
+        self.ptr.append(len(self.indices))
+        self.size += len(body)
+        for t, (_, of) in traits.items():
+            self.traits[t].append(of(body))
+
+    def row(self, shard: int, columns: list[str], traits: dict, ranges: int) -> pa.RecordBatch:
+        """The vocabulary in the order of its ranges (of checksums), numbered anew in that order, in a list a range."""
+        words = list(self.vocabulary)
+        at = np.fromiter((zlib.crc32(w) % ranges for w in words), np.int64, len(words))
+        order = np.argsort(at, kind="stable")
+        place = np.empty(len(words), np.int32)
+        place[order] = np.arange(len(words))
+        found, begin = np.unique(at[order], return_index=True)
+        terms = pa.ListArray.from_arrays(pa.array(np.append(begin, len(order)), pa.int32()), pa.array([words[k] for k in order], pa.binary()).cast(pa.string()))
+        lists = {c: pa.concat_arrays([b[k] for b in self.rows]) for k, c in enumerate(columns)} | {t: pa.array(self.traits[t], kind) for t, (kind, _) in traits.items()}
+        lists |= {"indptr": pa.array(self.ptr, pa.int32()), "indices": pa.array(place[np.frombuffer(self.indices, np.int32)]), "counts": pa.array(np.frombuffer(self.counts, np.int32))}
+        lists["vocabulary"] = pa.StructArray.from_arrays([pa.array(found), pa.array(begin, pa.int32()), terms], ["range", "first", "terms"])
+        wrapped = {c: pa.ListArray.from_arrays(pa.array([0, len(v)], pa.int32()), v) for c, v in lists.items()}
+        return pa.RecordBatch.from_pydict({"shard": pa.array([shard], pa.int64())} | wrapped)
+
+
+def _local_shards(columns: list[str], traits: dict, shard_bytes: int, ranges: int):
     """A function for mapInArrow: rows of columns and `text` to shards with vocabularies of their own."""
 
     def shards(batches):
-        first, number = TaskContext.get().partitionId() << 33, 0
-
-        def begin():
-            return {"size": 0, "ptr": [0], "at": [], "n": [], "vocabulary": {}, "rows": [], "traits": {t: [] for t in traits}}
-
-        def row(s):
-            lists = {c: pa.concat_arrays([b[k] for b in s["rows"]]) for k, c in enumerate(columns)}
-            lists |= {t: pa.array(s["traits"][t], kind) for t, (kind, _) in traits.items()}
-            lists |= {"indptr": pa.array(s["ptr"], pa.int32()), "indices": pa.array(np.concatenate(s["at"]), pa.int32()), "counts": pa.array(np.concatenate(s["n"]), pa.int32()), "vocabulary": pa.array(list(s["vocabulary"]), pa.binary()).cast(pa.string())}
-            wrapped = {c: pa.ListArray.from_arrays(pa.array([0, len(v)], pa.int32()), v) for c, v in lists.items()}
-            return pa.RecordBatch.from_pydict({"shard": pa.array([first + number], pa.int64())} | wrapped)
-
-        s = begin()
+        number, s = TaskContext.get().partitionId() << 33, _Shard(traits)
         for batch in batches:
             kept, begun = [batch.column(batch.schema.get_field_index(c)) for c in columns], 0
-            for k, text in enumerate(batch.column("text")):
-                body = text.as_buffer().to_pybytes()
-                words, vocabulary = Counter(body.split()), s["vocabulary"]
-                s["at"].append(np.fromiter((vocabulary.setdefault(w, len(vocabulary)) for w in words), np.int32, len(words)))
-                s["n"].append(np.fromiter(words.values(), np.int32, len(words)))
-                s["ptr"].append(s["ptr"][-1] + len(words))
-                for t, (_, of) in traits.items():
-                    s["traits"][t].append(of(body))
-                s["size"] += len(body)
-                if s["size"] >= shard_bytes:
-                    s["rows"].append([c.slice(begun, k + 1 - begun) for c in kept])
-                    yield row(s)
-                    s, number, begun = begin(), number + 1, k + 1
+            for k, text in enumerate(batch.column("text").cast(pa.binary()).to_pylist()):
+                s.add(text, traits)
+                if s.size >= shard_bytes:
+                    s.rows.append([c.slice(begun, k + 1 - begun) for c in kept])
+                    yield s.row(number, columns, traits, ranges)
+                    s, number, begun = _Shard(traits), number + 1, k + 1
             if begun < batch.num_rows:
-                s["rows"].append([c.slice(begun) for c in kept])
-        if s["rows"]:
-            yield row(s)
+                s.rows.append([c.slice(begun) for c in kept])
+        if s.rows:
+            yield s.row(number, columns, traits, ranges)
 
     return shards
 
 
-def _dealt(ranges: int):
-    """For mapInArrow: a shard's vocabulary by ranges of the words' checksums, with the words' places in it."""
-
-    def dealt(batches):
-        for batch in batches:
-            for shard, words in zip(batch.column("shard"), batch.column("vocabulary")):
-                words = words.values
-                at = np.fromiter((zlib.crc32(w.as_buffer()) % ranges for w in words), np.int64, len(words))
-                order = np.argsort(at, kind="stable")
-                found, begin = np.unique(at[order], return_index=True)
-                lists = [pa.ListArray.from_arrays(pa.array(np.append(begin, len(order)), pa.int32()), v) for v in (pa.array(order, pa.int32()), words.take(pa.array(order)))]
-                yield pa.RecordBatch.from_arrays([pa.array(found), pa.array([shard.as_py()] * len(found), pa.int64()), *lists], ["range", "shard", "places", "terms"])
-
-    return dealt
-
-
-def _numbered(key, table):
+def _numbered(_, table):
     """For applyInArrow by range: each word's number within the range, and every word once (in the row that has it first)."""
-    numbers: dict = {}
-    inside, new = [], []
-    for row in table.column("terms").to_pylist():
-        before = len(numbers)
-        inside.append([numbers.setdefault(w, len(numbers)) for w in row])
-        new.append([w for w, n in zip(row, inside[-1]) if n >= before])
-    columns = [pa.array([key[0].as_py()] * len(table), pa.int64()), table.column("shard"), table.column("places"), pa.array(inside, pa.list_(pa.int64())), pa.array(new, pa.list_(pa.string()))]
-    return pa.table(columns, names=["range", "shard", "places", "inside", "terms"])
+    terms = table.column("terms").combine_chunks()
+    coded = terms.flatten().dictionary_encode()  # numbered in the order they come in
+    numbers, ptr = coded.indices.to_numpy(), terms.offsets.to_numpy() - terms.offsets[0].as_py()
+    upto = np.append(0, np.maximum.accumulate(numbers) + 1)[ptr] if len(numbers) else ptr
+    inside, new = pa.ListArray.from_arrays(pa.array(ptr, pa.int32()), coded.indices), pa.ListArray.from_arrays(pa.array(upto, pa.int32()), coded.dictionary)
+    return pa.table([table.column("range"), table.column("shard"), table.column("first"), inside, new], names=["range", "shard", "first", "inside", "terms"])
 
 
 def _encoded(names: list[str]):
@@ -115,9 +113,9 @@ def _encoded(names: list[str]):
         if not len(shards):
             return shards.select(names)
         own = shards.column("indices").combine_chunks().flatten().to_numpy()
-        to = np.zeros(sum(len(x) for x in numbers.column("places")), np.int64)
-        for places, inside, base in zip(numbers.column("places"), numbers.column("inside"), numbers.column("base").to_pylist()):
-            to[places.values.to_numpy()] = inside.values.to_numpy() + base
+        to = np.zeros(sum(map(len, numbers.column("inside"))), np.int64)
+        for first, inside, base in zip(numbers.column("first").to_pylist(), numbers.column("inside"), numbers.column("base").to_pylist()):
+            to[first : first + len(inside)] = inside.values.to_numpy().astype(np.int64) + base
         indices = pa.ListArray.from_arrays(pa.array([0, len(own)], pa.int32()), pa.array(to[own]))
         return shards.set_column(shards.schema.get_field_index("indices"), "indices", indices).select(names)
 
@@ -137,18 +135,18 @@ def document_terms(docs: DataFrame, columns: list[str], text: str = "text", trai
     partitions = int(spark.conf.get("spark.sql.shuffle.partitions"))
     rows = docs.select(*columns, text_or_empty(text).alias("text"))
     kinds = [T.StructField(c, T.ArrayType(k)) for c, k in [*((c, rows.schema[c].dataType) for c in columns), *((t, from_arrow_type(k)) for t, (k, _) in traits.items())]]
-    array = lambda n, t: T.StructField(n, T.ArrayType(t))
-    schema = T.StructType([T.StructField("shard", T.LongType()), *kinds, array("indptr", T.IntegerType()), array("indices", T.IntegerType()), array("counts", T.IntegerType()), array("vocabulary", T.StringType())])
-    written = rows.mapInArrow(_local_shards(columns, traits, shard_bytes), schema).write.bucketBy(partitions, "shard")
+    several = lambda n, t: T.StructField(n, T.ArrayType(t))
+    schema = T.StructType([T.StructField("shard", T.LongType()), *kinds, several("indptr", T.IntegerType()), several("indices", T.IntegerType()), several("counts", T.IntegerType()), several("vocabulary", T.StructType.fromDDL("range bigint, first int, terms array<string>"))])
+    written = rows.mapInArrow(_local_shards(columns, traits, shard_bytes, ranges or 4 * partitions), schema).write.bucketBy(partitions, "shard")
     try:
         written.option("path", scratch_dir(spark, name)).option("compression", "zstd").saveAsTable(name)
         local = spark.table(name)
-        words = local.select("shard", "vocabulary").mapInArrow(_dealt(ranges or 4 * partitions), "range bigint, shard bigint, places array<int>, terms array<string>")
-        numbered = stored(words.groupBy("range").applyInArrow(_numbered, "range bigint, shard bigint, places array<int>, inside array<bigint>, terms array<string>"), "numbered")
+        words = local.select("shard", F.inline("vocabulary"))
+        numbered = stored(words.groupBy("range").applyInArrow(_numbered, "range bigint, shard bigint, first int, inside array<int>, terms array<string>"), "numbered")
         counts = numbered.groupBy("range").agg(F.sum(F.size("terms")).alias("c"))
         base = F.broadcast(counts.select("range", (F.sum("c").over(Window.orderBy("range")) - F.col("c")).alias("base")))  # a row a range
         kept = T.StructType([f if f.name != "indices" else T.StructField("indices", T.ArrayType(T.LongType())) for f in schema if f.name != "vocabulary"])
-        numbers = numbered.select("range", "shard", "places", "inside").join(base, "range")
+        numbers = numbered.select("range", "shard", "first", "inside").join(base, "range")
         shards = stored(local.drop("vocabulary").groupBy("shard").cogroup(numbers.groupBy("shard")).applyInArrow(_encoded(kept.names), kept), "shards")
     finally:
         spark.sql(f"DROP TABLE IF EXISTS {name}")
@@ -157,8 +155,8 @@ def document_terms(docs: DataFrame, columns: list[str], text: str = "text", trai
 
 def _dictionary(numbered: DataFrame, base: DataFrame) -> DataFrame:
     """term and number: a row's new words have the next numbers of its range in their order, from the first on that no row before has."""
-    new = numbered.where(F.size("terms") > 0).withColumn("first", F.array_max("inside") - F.size("terms") + 1)
-    return new.join(base, "range").select(F.posexplode("terms").alias("at", "term"), "base", "first").select("term", (F.col("base") + F.col("first") + F.col("at")).cast("bigint").alias("number"))
+    new = numbered.where(F.size("terms") > 0).withColumn("next", F.array_max("inside") - F.size("terms") + 1)
+    return new.join(base, "range").select(F.posexplode("terms").alias("at", "term"), "base", "next").select("term", (F.col("base") + F.col("next") + F.col("at")).cast("bigint").alias("number"))
 
 
 def row_sums(shards: DataFrame, columns: list[str]) -> DataFrame:
