@@ -168,6 +168,7 @@ _Q = {
     "country_map": "SELECT * FROM cm",
     "partition_spread_sample": f"SELECT month, count(*) AS n FROM works JOIN months USING (month) WHERE month IN ({_spread(10)}) GROUP BY 1",
     "citation_sample": f"SELECT id, cited_by_count FROM works WHERE cited_by_count > 0 AND month IN ({_spread(25)})",
+    "citation_sample_first_files": f"SELECT id, cited_by_count FROM (SELECT *, row_number() OVER (PARTITION BY month ORDER BY id) AS rn FROM works) WHERE rn <= 1000 AND cited_by_count > 0 AND month IN ({_spread(25)})",
     "outlier_cap": "SELECT count(*) FILTER (WHERE works_count <= 15) AS kept, count(*) FILTER (WHERE works_count > 15) AS removed, max(works_count) AS max_value FROM h1",
     "histogram_linear": _histogram(200, False),
     "histogram_log": _histogram(80, True),
@@ -234,6 +235,7 @@ _Q = {
     "split_sink": r"SELECT trim(regexp_replace(field_name, '[^\w\-]', '_', 'g'), '_') AS slug, count(*) AS n, CAST(sum(h2) AS BIGINT) AS h2_sum, CAST(sum(author_count) AS BIGINT) AS author_sum FROM h2f GROUP BY 1",
     "country_names": "SELECT country_code, coalesce(upper(n_name[1]) || lower(n_name[2:]), country_code) AS country_name, h3 FROM h3 LEFT JOIN nation ON n_name = country_code AND n_nationkey % 5 <> 0",
     "compaction": "SELECT event_type, count(*) AS n, round(sum(value), 2) AS value_sum FROM events GROUP BY 1",
+    "compaction_by_size": "SELECT event_type, count(*) AS n, round(sum(value), 2) AS value_sum, true AS packed FROM events GROUP BY 1",
     "quality_report": """SELECT 'quantile' AS "check", 'p' || q AS item, CAST(round(v, 4) AS VARCHAR) AS value FROM (
             SELECT unnest([25, 50, 75, 90, 99]) AS q, unnest(quantile_cont(CAST(h2 AS DOUBLE), [0.25, 0.5, 0.75, 0.9, 0.99])) AS v FROM h2f)
         UNION ALL SELECT 'quantile', 'min', CAST(CAST(min(h2) AS DOUBLE) AS VARCHAR) FROM h2f UNION ALL SELECT 'quantile', 'max', CAST(CAST(max(h2) AS DOUBLE) AS VARCHAR) FROM h2f

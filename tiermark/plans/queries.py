@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-import uuid
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -12,6 +10,7 @@ from tiermark.operators import assign, hindex, metrics, rank, tailfit, validate
 from tiermark.plans import bindings
 from tiermark.plans.bindings import Index, table
 from tiermark.sources import snapshots
+from tiermark.sources.files import work_folder
 
 BETA_1, BETA_2 = 2.963, 2.998
 QUERIES: dict = {}
@@ -126,6 +125,14 @@ def citation_sample(spark, sf):
     return snapshots.citation_sample(_works(spark, sf), "month", 25)
 
 
+@query
+def citation_sample_first_files(spark, sf):
+    """Works on disk by month, a thousand to a file in the order of their ids; the first file of 25 spread months."""
+    path = work_folder(spark)
+    _works(spark, sf).repartition("month").sortWithinPartitions("month", "id").write.option("maxRecordsPerFile", 1000).partitionBy("month").parquet(path)
+    return snapshots.citation_sample_of_files(spark, path, "month", 25, "id bigint, cited_by_count bigint")
+
+
 @query
 def outlier_cap(spark, sf):
     return metrics.apply_cap(bindings.h1_by_author(spark, sf), "works_count", 15)[1]
@@ -365,22 +372,9 @@ def country_codes_by_prefix(spark, sf):
     return Index(spark, sf).countries.where(F.upper("country_code").startswith("NATION_1")).groupBy("country_code").agg(F.count_distinct("id").alias("institutions"))
 
 
-def _work_folder(spark):
-    """A new folder below the shared checkpoint folder (a local one only where none is set)."""
-    base = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
-    if not base:
-        import atexit
-        import shutil
-        import tempfile
-
-        base = tempfile.mkdtemp(prefix="spark-", dir="/tmp")
-        atexit.register(shutil.rmtree, base, ignore_errors=True)
-    return f"{base.rstrip('/')}/{uuid.uuid4().hex}"
-
-
 def _raw_snapshot(spark, sf):
     """A raw snapshot of two dates on disk (as the source would have it)."""
-    path = _work_folder(spark)
+    path = work_folder(spark)
     raw = bindings.snapshot(spark, sf).select(F.col("id").cast("string").alias("id"), F.struct("h_index").alias("summary_stats"), "works_count", "affiliations", "topics", F.when(F.col("id") % 2 == 0, F.lit("2024-01-01")).otherwise(F.lit("2024-01-02")).cast("date").alias("updated_date"))
     raw.write.partitionBy("updated_date").parquet(path)
     return path
@@ -391,7 +385,7 @@ def incremental_ingest(spark, sf):
     """Stage one date, then the rest: rows by partition, with the columns that lack."""
     from pyspark.sql import types as T
 
-    src, dst, schema = _raw_snapshot(spark, sf), _work_folder(spark), snapshots.author_schema(T.LongType())
+    src, dst, schema = _raw_snapshot(spark, sf), work_folder(spark), snapshots.author_schema(T.LongType())
     snapshots.stage_authors(spark, src, dst, [r[0] for r in snapshots.read_snapshot(spark, src).select(F.min("updated_date")).collect()], schema)
     snapshots.ingest_new_partitions(spark, src, dst, schema=schema)
     return snapshots.audit_partitions(spark, dst)
@@ -400,7 +394,7 @@ def incremental_ingest(spark, sf):
 @query
 def split_sink(spark, sf):
     """The field lists written one folder a label, read back and counted."""
-    path = _work_folder(spark)
+    path = work_folder(spark)
     snapshots.write_split(Index(spark, sf).h2_field, "field_name", [F.desc("h2"), F.col("institution_name")], path)
     back = spark.read.schema("institution_id bigint, field string, institution_name string, field_name string, h2 bigint, author_count bigint, slug string").csv(path, header=True)
     return back.groupBy("slug").agg(F.count("*").alias("n"), F.sum("h2").alias("h2_sum"), F.sum("author_count").alias("author_sum"))
@@ -409,11 +403,23 @@ def split_sink(spark, sf):
 @query
 def compaction(spark, sf):
     """Events rewritten in few ZSTD files and read back."""
-    path = _work_folder(spark)
+    path = work_folder(spark)
     snapshots.compact(spark, f"{sf}/events.parquet", path, 2)
     return spark.read.parquet(path).groupBy("event_type").agg(F.count("*").alias("n"), F.round(F.sum("value"), 2).alias("value_sum"))
 
 
+@query
+def compaction_by_size(spark, sf):
+    """Events by type in many small files and one large, the small ones packed; rows by type, and whether few files are left."""
+    path = work_folder(spark)
+    events = table(spark, sf, "events")
+    events.repartition(16).write.partitionBy("event_type").parquet(path)
+    snapshots.compact_small_files(spark, path, "event_type", target=64 << 20)
+    sizes = snapshots.table_files(spark, path).groupBy(F.regexp_extract("path", "event_type=([^/]+)/", 1).alias("event_type")).agg(F.count("*").alias("files"))
+    rows = spark.read.parquet(path).groupBy("event_type").agg(F.count("*").alias("n"), F.round(F.sum("value"), 2).alias("value_sum"))
+    return rows.join(sizes, "event_type").select("event_type", "n", "value_sum", (F.col("files") < 16).alias("packed"))
+
+
 @query
 def country_names(spark, sf):
     """h3 with names from a dimension that lacks every fifth code."""
@@ -424,7 +430,7 @@ def country_names(spark, sf):
 @query
 def efficiency_by_fitted_exponent(spark, sf):
     """The fits written as a report, read back, and its beta_1 used for the efficiency of institutions."""
-    path = _work_folder(spark)
+    path = work_folder(spark)
     snapshots.write_report(tail_fit_summary(spark, sf), path)
     beta = snapshots.read_report(spark, path, "beta_1 double")["beta_1"] or BETA_1
     done = metrics.efficiency(Index(spark, sf).h2, ["institution_id", "institution_name"], "h2", "author_count", beta, 10, "filtered", ["institution_name", "institution_id"], "h2_rank")

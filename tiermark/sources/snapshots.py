@@ -3,8 +3,6 @@
 from __future__ import annotations
 
 import datetime
-import re
-from concurrent.futures import ThreadPoolExecutor
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -13,6 +11,8 @@ from pyspark.sql.window import Window
 
 from tiermark.functions.text import slug
 from tiermark.operators.assign import staged_filter
+from tiermark.sources.files import Store
+from tiermark.sources.manifest import Manifest
 
 _LABEL = T.StructType([T.StructField("id", T.StringType()), T.StructField("display_name", T.StringType())])
 
@@ -46,51 +46,87 @@ def stage_authors(spark: SparkSession, src: str, dst: str, dates: list | None =
     staged.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("updated_date").option("compression", "zstd").parquet(dst)
 
 
-def _folder(spark: SparkSession, path: str):
-    """A path and its file system."""
-    at = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
-    return at, at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
-
-
 def _dates(spark: SparkSession, path: str) -> list[datetime.date]:
     """The dates that a snapshot has folders for."""
-    at, fs = _folder(spark, path)
-    names = [s.getPath().getName() for s in fs.listStatus(at)] if fs.exists(at) else []
+    names = Store(spark, path).folders(path)
     return sorted(datetime.date.fromisoformat(n.removeprefix("updated_date=")) for n in names if n.startswith("updated_date="))
 
 
-def audit_partitions(spark: SparkSession, path: str, required: list[str] = STAGED, threads: int = 16) -> DataFrame:
-    """updated_date, n_rows, missing: which of the required columns one of a partition's files lacks.  Rows are counted in one job,
-    footers are read side by side."""
-    kind = "updated_date date, n_rows bigint, missing string"
+def table_files(spark: SparkSession, path: str) -> DataFrame:
+    """path and length of the Parquet files below a folder, as Spark lists them; their contents are not read."""
+    return spark.read.format("binaryFile").option("pathGlobFilter", "*.parquet").option("recursiveFileLookup", True).load(path).select("path", "length")
+
+
+def _footers(required: list[str]):
+    """A function for mapInArrow: path, rows and which of the required columns are missing, by the footers of files."""
+
+    def read(batches):
+        import pyarrow as pa
+        import pyarrow.parquet as pq
+        from pyarrow import fs
+
+        for batch in batches:
+            rows, missing = [], []
+            for path in batch.column("path").to_pylist():
+                at, name = fs.FileSystem.from_uri(path)
+                with at.open_input_file(name) as f:
+                    footer = pq.ParquetFile(f).metadata
+                rows.append(footer.num_rows)
+                missing.append(sorted(set(required) - set(footer.schema.to_arrow_schema().names)))
+            yield pa.RecordBatch.from_arrays([batch.column("path"), pa.array(rows, pa.int64()), pa.array(missing, pa.list_(pa.string()))], ["path", "n", "missing"])
+
+    return read
+
+
+def _values(spark: SparkSession, path: str, required: list[str]) -> DataFrame:
+    """The same by reading: a column without any value in a file with rows counts as missing there."""
+    seen = spark.read.option("mergeSchema", True).parquet(path)
+    found = [F.when((F.count("*") > 0) & (F.count(c) == 0), F.lit(c)) if c in seen.columns else F.lit(c) for c in required]
+    kept = lambda a: F.array_sort(F.filter(a, lambda x: x.isNotNull()))
+    return seen.groupBy(F.col("_metadata.file_path").alias("path")).agg(F.count("*").alias("n"), kept(F.array(*found)).alias("missing"))
+
+
+def _footers_open_to_python(path: str) -> bool:
+    """Whether Python tasks can open files of this path's file system themselves."""
+    from pyarrow import fs
+
+    try:
+        fs.FileSystem.from_uri(path if "://" in path else f"file://{path}")
+    except Exception:  # of many kinds: unknown scheme, no client library
+        return False
+    return True
+
+
+def audit_partitions(spark: SparkSession, path: str, required: list[str] = STAGED) -> DataFrame:
+    """updated_date, n_rows, missing: which of the required columns one of a partition's files lacks.
+
+    One job for any number of files: Spark's list of files is dealt out, tasks read the footers (schema and number of rows, no data),
+    and the findings are grouped by partition.  In a file system that only Spark can open, the files are read in one job."""
     if not _dates(spark, path):
-        return spark.createDataFrame([], kind)
-    rows = spark.read.schema("updated_date date").parquet(path)
-    lacks: dict[str, set] = {}
-    with ThreadPoolExecutor(threads) as pool:
-        for file, columns in pool.map(lambda f: (f, spark.read.parquet(f).columns), rows.inputFiles()):
-            lacks.setdefault(re.search(r"updated_date=([^/]+)/", file)[1], set()).update(set(required) - set(columns))
-    missing = spark.createDataFrame([(d, ",".join(sorted(c))) for d, c in lacks.items()], "d string, missing string")
-    counted = rows.groupBy("updated_date").agg(F.count("*").alias("n_rows"))
-    return counted.join(missing, F.col("updated_date").cast("string") == F.col("d"), "left").select("updated_date", "n_rows", F.coalesce("missing", F.lit("")).alias("missing"))
-
-
-def ingest_new_partitions(spark: SparkSession, src: str, dst: str, required: list[str] = STAGED, schema: T.StructType | None = None) -> list:
-    """Stage the partitions that are not staged yet or lack a required column; which ones that were.  A run that is stopped is
-    carried on by the next.  Dates that are done stand in a table beside dst (dst.finished), as the filter may leave no row of one
-    and so no folder; outdated folders are removed before their dates are staged."""
-    done_path = dst.rstrip("/") + ".finished"
-    at, fs = _folder(spark, done_path)
-    finished = {r[0] for r in spark.read.schema("updated_date date").parquet(done_path).collect()} if fs.exists(at) else set()  # a row a date
-    audited = {r["updated_date"]: r["missing"] for r in audit_partitions(spark, dst, required).collect()}
-    outdated = {d for d, missing in audited.items() if missing}
-    todo = [d for d in _dates(spark, src) if d in outdated or d not in finished | set(audited)]
+        return spark.createDataFrame([], "updated_date date, n_rows bigint, missing string")
+    if _footers_open_to_python(path):
+        files = table_files(spark, path).select(F.regexp_replace("path", "^file:/+", "file:///").alias("path"))
+        each = files.mapInArrow(_footers(required), "path string, n bigint, missing array<string>")
+    else:
+        each = _values(spark, path, required)
+    date = F.regexp_extract("path", "/updated_date=([^/]+)/", 1).cast("date")
+    return each.groupBy(date.alias("updated_date")).agg(F.sum("n").alias("n_rows"), F.array_join(F.array_sort(F.array_distinct(F.flatten(F.collect_set("missing")))), ",").alias("missing"))
+
+
+def ingest_new_partitions(spark: SparkSession, src: str, dst: str, required: list[str] = STAGED, schema: T.StructType | None = None, manifest: Manifest | None = None) -> list:
+    """Stage the partitions that are not staged yet or lack a required column; which ones that were.
+
+    In two phases (see manifest): a run that stops, wherever, is ended or undone by the next, and every date is there once.  A date is
+    done when a finished record names it, as the filter may leave no row of one and so no folder, or when its folder was there before;
+    an outdated folder is replaced, not deleted first."""
+    manifest = manifest or Manifest(spark, dst)
+    manifest.recover()
+    finished = {datetime.date.fromisoformat(d) for r in manifest.finished() for d in r.get("dates", [])}
+    audited = {r["updated_date"]: r["missing"] for r in audit_partitions(spark, dst, required).collect()}  # a row a date
+    todo = [d for d in _dates(spark, src) if audited.get(d) or d not in finished | set(audited)]
     if todo:
-        for d in outdated & set(todo):
-            old, fs = _folder(spark, f"{dst}/updated_date={d}")
-            fs.delete(old, True)
-        stage_authors(spark, src, dst, todo, schema)
-        spark.createDataFrame([(d,) for d in todo], "updated_date date").coalesce(1).write.mode("append").parquet(done_path)
+        folders = [f"updated_date={d}" for d in todo]
+        manifest.change({"dates": [str(d) for d in todo]}, lambda path: stage_authors(spark, src, path, todo, schema), lambda _: {f: list(manifest.store.files(f"{dst}/{f}")) for f in folders})
     return todo
 
 
@@ -100,6 +136,46 @@ def compact(spark: SparkSession, src: str, dst: str, files: int, rows_per_file:
     out.option("maxRecordsPerFile", rows_per_file).option("parquet.block.size", block_bytes).parquet(dst)
 
 
+def pack(sizes: dict[str, int], target: int) -> list[list[str]]:
+    """First fit decreasing: names in bins of at most target (a larger one alone in its bin), largest first."""
+    bins: list[tuple[list[str], int]] = []
+    for name, size in sorted(sizes.items(), key=lambda x: (-x[1], x[0])):
+        k = next((k for k, (_, full) in enumerate(bins) if full + size <= target), None)
+        if k is None:
+            bins.append(([name], size))
+        else:
+            bins[k] = ([*bins[k][0], name], bins[k][1] + size)
+    return [names for names, _ in bins]
+
+
+def compact_small_files(spark: SparkSession, table: str, column: str, target: int = 512 << 20, small: float = 0.6, manifest: Manifest | None = None) -> int:
+    """Rewrite the small files (below small x target bytes) of each partition of a table into files of about target bytes; how many
+    files were rewritten.
+
+    Lengths from the listing are packed, partition by partition; every bin is read and written by one task; large files, and small ones
+    with no company, are not touched, partitions stay.  The files are exchanged in two phases (see manifest)."""
+    manifest = manifest or Manifest(spark, table)
+    manifest.recover()
+    store, bins = manifest.store, []
+    for partition in store.folders(manifest.table):
+        sizes = {n: size for n, size in store.files(f"{manifest.table}/{partition}").items() if size < small * target}
+        bins += [(partition, names) for names in pack(sizes, target) if len(names) > 1]
+    if not bins:
+        return 0
+    listed = [(f"{partition}/{name}", k) for k, (partition, names) in enumerate(bins) for name in names]
+    replaced = {p: [n for q, names in bins if q == p for n in names] for p, _ in bins}
+
+    def write(path: str) -> None:
+        rows = spark.read.option("basePath", manifest.table).parquet(*[f"{manifest.table}/{f}" for f, _ in listed])
+        of = spark.createDataFrame(listed, "_file string, _bin int")
+        named = rows.withColumn("_file", F.regexp_extract(F.col("_metadata.file_path"), "([^/]+/[^/]+)$", 1))
+        dealt = named.join(F.broadcast(of), "_file").drop("_file")  # a row a file of the list
+        dealt.repartitionByRange(len(bins), "_bin").drop("_bin").write.partitionBy(column).option("compression", "zstd").parquet(path)
+
+    manifest.change({"compacted": len(listed)}, write, lambda _: replaced)
+    return len(listed)
+
+
 def write_report(df: DataFrame, path: str) -> None:
     """A report of a few rows as JSON lines."""
     df.write.mode("overwrite").json(path)
@@ -132,18 +208,25 @@ def sample_partitions(df: DataFrame, column: str, n: int) -> DataFrame:
     return df.join(F.broadcast(chosen), column, "left_semi")  # n rows at most
 
 
-def first_files(df: DataFrame, column: str) -> DataFrame:
-    """The rows of the first file (by path) of every partition value."""
-    with_path = df.withColumn("_path", F.col("_metadata.file_path"))
-    first = with_path.groupBy(column).agg(F.min("_path").alias("_path"))
-    return with_path.join(first, [column, "_path"], "left_semi").drop("_path")
+def first_file_paths(spark: SparkSession, table: str, column: str, n: int) -> list[str]:
+    """The first file, by name, of each of n partitions that are evenly spread over the sorted ones: found by listing alone."""
+    store, table = Store(spark, table), table.rstrip("/")
+    folders = [f for f in store.folders(table) if f.startswith(f"{column}=")]
+    chosen = [folders[k] for k in spread_places(len(folders), n)]
+    first = [(f, next((n for n in store.files(f"{table}/{f}") if n.endswith(".parquet")), None)) for f in chosen]
+    return [f"{table}/{f}/{name}" for f, name in first if name]
+
+
+def citation_sample(works: DataFrame, column: str, n: int) -> DataFrame:
+    """id and cited_by_count above 0 of n spread partitions."""
+    return sample_partitions(works, column, n).where("cited_by_count > 0").select("id", "cited_by_count")
 
 
-def citation_sample(works: DataFrame, column: str, n: int, one_file: bool = False) -> DataFrame:
-    """id and cited_by_count above 0 of n spread partitions; with one_file (works must be read from files) of the first file of
-    each alone."""
-    some = sample_partitions(works, column, n)
-    return (first_files(some, column) if one_file else some).where("cited_by_count > 0").select("id", "cited_by_count")
+def citation_sample_of_files(spark: SparkSession, table: str, column: str, n: int, schema: str = "id string, cited_by_count bigint") -> DataFrame:
+    """The same of the first file of each of n spread partitions of a table on disk; no other file is opened."""
+    paths = first_file_paths(spark, table, column, n)
+    rows = spark.read.schema(schema).option("basePath", table).parquet(*paths) if paths else spark.createDataFrame([], schema)
+    return rows.where("cited_by_count > 0").select("id", "cited_by_count")
 
 
 def country_map(institutions: DataFrame) -> DataFrame:
