@@ -104,9 +104,9 @@ def _lists(rows: dict[int, dict[str, list]], tag: str, kinds: dict) -> pa.Table:
 
 _SEEN = {"hash": pa.int64(), "docs": pa.int32()}
 _SHARED = {"hash": pa.int64(), "docs": pa.int32()}
-_STRINGS = {"hash": pa.int64(), "doc": pa.int32(), "key": pa.int64(), "string": pa.binary(), "starts": pa.int32(), "start": pa.int32(), "sure_doc": pa.int32(), "sure_start": pa.int32(), "sure_windows": pa.int32()}
+_STRINGS = {"hash": pa.int64(), "doc": pa.int32(), "key": pa.int64(), "bytes": pa.int32(), "starts": pa.int32(), "start": pa.int32(), "sure_doc": pa.int32(), "sure_start": pa.int32(), "sure_windows": pa.int32()}
 _MARKS = {"doc": pa.int32(), "start": pa.int32(), "windows": pa.int32()}
-_SQL = {pa.int64(): "bigint", pa.int32(): "int", pa.binary(): "binary"}
+_SQL = {pa.int64(): "bigint", pa.int32(): "int"}
 
 
 def _schema(kinds: dict, *tags: str) -> str:
@@ -155,45 +155,78 @@ def _shared(_, table):
     return _lists(rows, "batch", _SHARED)
 
 
+def _taken(values: np.ndarray, first: np.ndarray, sizes: np.ndarray) -> np.ndarray:
+    """The parts of values from first on, sizes long, one after another."""
+    return values[np.repeat(first - (np.cumsum(sizes) - sizes), sizes) + np.arange(sizes.sum())]
+
+
 def _strings(length: int, ranges: int, most: int):
     """For cogroup: the strings of a batch whose hash is shared, by range.  Of documents with the same string only that of the smallest
     key sends it; the windows of the others are sure to go."""
 
     def strings(key, table, shared):
         texts, keys = _bodies(table)
-        rows: dict = defaultdict(lambda: {n: [] for n in _STRINGS})
+        data, begins, keys = np.frombuffer(b"".join(texts), np.uint8), np.cumsum([0, *map(len, texts)]), np.array(keys, np.int64)
         wanted = np.concatenate([np.zeros(0, np.int64), *(c.flatten().to_numpy() for c in shared.column("hash").chunks)]).view(np.uint64)
         docs = np.concatenate([np.zeros(0, np.int32), *(c.flatten().to_numpy() for c in shared.column("docs").chunks)])
         order = np.argsort(wanted)
         wanted, docs = wanted[order], docs[order]
-        held: dict = {}
-        crowds: dict = {}
+        found = [[np.zeros(0, np.uint64)], *([np.zeros(0, np.int64)] for _ in range(4))]
         for k, some in _pieces(texts) if len(wanted) else ():
             hashes, doc, start, windows = _runs(some, length)
             at = np.minimum(np.searchsorted(wanted, hashes), len(wanted) - 1)
-            for j in np.flatnonzero(wanted[at] == hashes):
-                h, d, s, w = int(hashes[j]), int(doc[j]), int(start[j]), int(windows[j])
-                held.setdefault((h, some[d][s : s + w + length - 1]), {}).setdefault(d + k, []).append(s)
-                crowds[h] = int(docs[at[j]])
-        for (h, string), by_doc in held.items():
-            least, crowd = min(keys[d] for d in by_doc), crowds[h]
-            for d, starts in by_doc.items():
+            kept = np.flatnonzero(wanted[at] == hashes)
+            for column, v in zip(found, (hashes[kept], doc[kept] + k, start[kept], windows[kept], docs[at[kept]])):
+                column.append(v)
+        lane, doc, start, windows, crowd = (np.concatenate(c) for c in found)
+        order = np.argsort(lane, kind="stable")
+        lane, doc, start, windows, crowd = (v[order] for v in (lane, doc, start, windows, crowd))
+        change = np.append(True, lane[1:] != lane[:-1]) if len(lane) else np.zeros(0, bool)
+        alone = change & np.append(change[1:], True) & (crowd < most) if len(lane) else change
+        out = [[v[alone]] for v in (lane, doc, begins[doc] + start, windows + length - 1, np.ones(len(lane), np.int64))]
+        starts, sure = [start[alone]], [[], [], [], []]
+        held: dict = {}
+        for h, d, s, w, c in zip(*(v[~alone].tolist() for v in (lane, doc, start, windows, crowd))):
+            held.setdefault((h, c, texts[d][s : s + w + length - 1]), {}).setdefault(d, []).append(s)
+        rest: list = [[], [], [], [], []]
+        for (h, c, string), by_doc in held.items():
+            least = min(keys[d] for d in by_doc)
+            for d, at in by_doc.items():
                 if keys[d] > least:
-                    row = rows[h % ranges]
-                    row["sure_doc"] += [d] * len(starts)
-                    row["sure_start"] += starts
-                    row["sure_windows"] += [len(string) - length + 1] * len(starts)
-                    continue  # rows that repeat a key all send it
-                for x in range(len(string) - length + 1) if crowd >= most else (0,):
-                    part, lane = string, h
-                    if crowd >= most:
-                        part = string[x : x + length]
-                        lane = (h + xxhash.xxh3_64_intdigest(part) % max(2, crowd // 8) * 0x9E3779B97F4A7C15) % (1 << 64)
-                    row = rows[lane % ranges]
-                    for name, value in (("hash", lane - (1 << 64) if lane >> 63 else lane), ("doc", d), ("key", least), ("string", part), ("starts", len(starts))):
-                        row[name].append(value)
-                    row["start"] += [s + x for s in starts]
-        return _lists(rows, "range", _STRINGS).append_column("batch", pa.array([key[0].as_py()] * len(rows), pa.int64())).select(["range", "batch", *_STRINGS])
+                    for column, v in zip(sure, ([h] * len(at), [d] * len(at), at, [len(string) - length + 1] * len(at))):
+                        column += v
+                elif c < most:  # rows that repeat a key all send it
+                    for column, v in zip(rest, (h, d, int(begins[d]) + at[0], len(string), len(at))):
+                        column.append(v)
+                    starts.append(at)
+                else:
+                    for x in range(len(string) - length + 1):
+                        share = (h + xxhash.xxh3_64_intdigest(string[x : x + length]) % max(2, c // 8) * 0x9E3779B97F4A7C15) % (1 << 64)
+                        for column, v in zip(rest, (share, d, int(begins[d]) + at[0] + x, length, len(at))):
+                            column.append(v)
+                        starts.append([s + x for s in at])
+        lane, doc, at, size, n = (np.concatenate([v[0], np.array(r, v[0].dtype)]) for v, r in zip(out, rest))
+        starts = np.concatenate([np.asarray(v, np.int64) for v in starts])
+        sure_range = np.array(sure[0], np.uint64) % np.uint64(ranges)
+        target = lane % np.uint64(ranges)
+        likeness = _words(data)[at] if len(at) else at
+        order = np.lexsort((likeness, target))  # likely neighbours, so the text is packed well
+        lane, doc, at, size, n, target, first = (v[order] for v in (lane, doc, at, size, n, target, np.cumsum(n) - n))
+        starts, text, sure_order = _taken(starts, first, n), _taken(data, at, size), np.argsort(sure_range, kind="stable")
+        sent = np.union1d(target, sure_range)
+
+        def cut(by, values=None):  # offsets of each range in what is ordered by range
+            upto = np.append(np.searchsorted(by, sent), len(by))
+            return upto if values is None else np.append(0, np.cumsum(values))[upto]
+
+        lists = lambda offsets, v, t: pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), pa.array(v, t))
+        own, of_text = cut(target), cut(target, size)
+        packed = [pa.compress(text[x:y].tobytes(), codec="zstd", asbytes=True) for x, y in zip(of_text, of_text[1:])]
+        columns = [pa.array(sent.astype(np.int64)), pa.array([key[0].as_py()] * len(sent), pa.int64()), pa.array(packed, pa.binary())]
+        values = {"hash": lane.view(np.int64), "doc": doc, "key": keys[doc], "bytes": size, "starts": n}
+        columns += [lists(own, v, _STRINGS[c]) for c, v in values.items()] + [lists(cut(target, n), starts, pa.int32())]
+        columns += [lists(cut(sure_range[sure_order]), np.array(v, np.int64)[sure_order], pa.int32()) for v in sure[1:]]
+        return pa.table(columns, names=["range", "batch", "text", *_STRINGS])
 
     return strings
 
@@ -212,7 +245,7 @@ def repeated_windows(lanes: list[list[tuple[bytes, int]]], length: int) -> list[
     sizes = np.array([len(s) for s in data], np.int64)
     begins = np.cumsum(sizes + 1) - (sizes + 1)
     raw = np.frombuffer(b"\0".join(data) + b"\0", np.uint8)
-    symbols = raw.astype(np.int64) + 2
+    symbols = raw.astype(np.uint16) + np.uint16(2)
     symbols[begins + sizes] = 1
     ends = np.cumsum(lane_size)
     symbols[ends - 1] = 0
@@ -245,13 +278,14 @@ def _marks(length: int, most: int = 4 << 20):
         lanes: dict = defaultdict(dict)
         rows: dict = defaultdict(lambda: {n: [] for n in _MARKS})
         for r in table.to_batches():
-            for batch, hashes, docs, keys, strings, counts, starts, *sure in zip(*(r.column(n).to_pylist() for n in ("batch", *_STRINGS))):
-                row, at = rows[batch], 0
+            for batch, text, hashes, docs, keys, lengths, counts, starts, *sure in zip(*(r.column(n).to_pylist() for n in ("batch", "text", *_STRINGS))):
+                row, at, place = rows[batch], 0, 0
+                text = pa.decompress(text, sum(lengths), codec="zstd", asbytes=True)
                 for name, values in zip(_MARKS, sure):
                     row[name] += values
-                for h, d, key, string, n in zip(hashes, docs, keys, strings, counts):
-                    lanes[h].setdefault(string, []).append((key, batch, d, starts[at : at + n]))
-                    at += n
+                for h, d, key, size, n in zip(hashes, docs, keys, lengths, counts):
+                    lanes[h].setdefault(text[place : place + size], []).append((key, batch, d, starts[at : at + n]))
+                    at, place = at + n, place + size
 
         def mark(holder, first, windows):
             _, batch, d, starts = holder
@@ -376,7 +410,7 @@ def remove_repeats(docs: DataFrame, key: str = "doc_id", text: str = "text", len
         held = spark.table(name).groupBy("batch")
         seen = held.applyInArrow(_seen(length, ranges), _schema(_SEEN, "range", "batch"))
         shared = stored(seen.groupBy("range").applyInArrow(_shared, _schema(_SHARED, "batch")), "shared-hashes")
-        strings = held.cogroup(shared.groupBy("batch")).applyInArrow(_strings(length, ranges, crowd), _schema(_STRINGS, "range", "batch"))
+        strings = held.cogroup(shared.groupBy("batch")).applyInArrow(_strings(length, ranges, crowd), f"range bigint, batch bigint, text binary, {_schema(_STRINGS)}")
         marks = stored(strings.groupBy("range").applyInArrow(_marks(length), _schema(_MARKS, "batch")), "marks")
         out = held.cogroup(marks.groupBy("batch")).applyInArrow(_removed(length, to_arrow_type(kind)), f"key {kind.simpleString()}, n_bytes bigint, n_removed bigint, spans array<struct<start: bigint, stop: bigint>>, kept binary")
         return stored(out.withColumnRenamed("key", key), "without-repeats")

@@ -20,47 +20,55 @@ def _starts(sizes: np.ndarray) -> np.ndarray:
 
 def _ranges(first: np.ndarray, sizes: np.ndarray) -> np.ndarray:
     """first, first + 1, ... of each, sizes long, one after another."""
-    return np.repeat(first - _starts(sizes), sizes) + np.arange(sizes.sum())
+    return np.repeat(first - _starts(sizes), sizes) + np.arange(sizes.sum(), dtype=np.int32)
+
+
+def _sorted(symbols: np.ndarray, lane: np.ndarray) -> np.ndarray:
+    """Places by string, then by symbol (numbers of 16 bits are sorted by their digits)."""
+    narrow = lambda x: x.astype(np.uint16) if len(x) and x.max() < 1 << 16 else x
+    by_symbol = np.argsort(narrow(symbols), kind="stable")
+    return by_symbol[np.argsort(narrow(lane[by_symbol]), kind="stable")].astype(np.int32)
 
 
 def _groups(symbols: np.ndarray, base: np.ndarray, sizes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """The first place of every suffix's group and its pointer (-1: none) after phase 1."""
+    """The first place of every suffix's group and its pointer after phase 1.  A pointer of none is a place in the string before, whose
+    groups all come earlier (-1 for the first string, which stands for a group before all)."""
     n = len(symbols)
-    lane = np.repeat(np.arange(len(sizes)), sizes)
-    first = base[lane]
-    members = np.argsort(lane * (int(symbols.max()) + 1) + symbols, kind="stable")
-    place = np.empty(n, np.int64)
-    place[members] = np.arange(n)
-    ordered = symbols[members]
+    lane = np.repeat(np.arange(len(sizes), dtype=np.int32), sizes)
+    members = _sorted(symbols, lane)
+    place = np.empty(n, np.int32)
+    place[members] = np.arange(n, dtype=np.int32)
+    ordered, of = symbols[members], lane[members]
     new = np.ones(n, bool)
-    new[1:] = (ordered[1:] != ordered[:-1]) | (lane[members][1:] != lane[members][:-1])
-    begins = np.flatnonzero(new)
-    size = np.zeros(n, np.int64)
+    new[1:] = (ordered[1:] != ordered[:-1]) | (of[1:] != of[:-1])
+    begins = np.flatnonzero(new).astype(np.int32)
+    size = np.zeros(n, np.int32)
     size[begins] = np.diff(np.append(begins, n))
-    group = np.empty(n, np.int64)
+    group = np.full(n + 1, -1, np.int32)
     group[members] = np.repeat(begins, size[begins])
-    pointer, flag, end, low = np.full(n, -1), np.zeros(n, bool), base + sizes, base
+    pointer, flag, end, low = np.full(n + 1, -1, np.int32), np.zeros(n, bool), base + sizes, base
     while len(end):
         at = group[members[end - 1]]  # the last group that has not been taken yet, of every string
-        i = members[_ranges(at, end - at)]
-        mine = np.repeat(at, end - at)
-        p = np.where(i > first[i], i - 1, -1)
-        while True:  # over suffixes of larger groups, whose pointers are known
-            over = np.flatnonzero((p >= 0) & (group[p] > mine))
-            if not len(over):
-                break
+        count = end - at
+        i = members[_ranges(at, count)] if len(at) != count.sum() else members[at]
+        mine, first = np.repeat(at, count), np.repeat(low, count)
+        p = i - 1
+        over = np.flatnonzero(group[p] > mine)
+        while len(over):  # over suffixes of larger groups, whose pointers are known
             p[over] = pointer[p[over]]
+            over = over[group[p[over]] > mine[over]]
         pointer[i] = p
-        while True:  # and over members of the same group
-            over = np.flatnonzero((p >= 0) & (group[p] == mine))
-            if not len(over):
-                break
+        over = np.flatnonzero(group[p] == mine)
+        while len(over):  # and over members of the same group
             p[over] = pointer[p[over]]
+            over = over[group[p[over]] == mine[over]]
         pointer[i] = p
-        aims, times = np.unique(p[p >= 0], return_counts=True)
-        if len(aims):
+        p = np.sort(p[p >= first])
+        if len(p):
+            own = np.flatnonzero(np.append(True, p[1:] != p[:-1]))
+            aims, times = p[own], np.diff(np.append(own, len(p)))
             old = group[aims]
-            order = np.lexsort((times, old))
+            order = np.argsort(old.astype(np.int64) * n + times)
             aims, times, old = aims[order], times[order], old[order]
             change = np.flatnonzero(np.append(True, old[1:] != old[:-1]))
             moved = np.diff(np.append(change, len(old)))
@@ -70,10 +78,11 @@ def _groups(symbols: np.ndarray, base: np.ndarray, sizes: np.ndarray) -> tuple[n
             flag[slots] = True
             holes = np.sort(was[~flag[was]])
             flag[slots] = False
-            flag[was] = True
-            shifted = members[np.sort(slots[~flag[slots]])]
-            flag[was] = False
-            members[holes], place[shifted] = shifted, holes
+            if len(holes):
+                flag[was] = True
+                shifted = members[np.sort(slots[~flag[slots]])]
+                flag[was] = False
+                members[holes], place[shifted] = shifted, holes
             members[slots], place[aims] = aims, slots
             size[home] -= moved
             fresh = np.flatnonzero(np.append(True, (old[1:] != old[:-1]) | (times[1:] != times[:-1])))
@@ -88,31 +97,34 @@ def _groups(symbols: np.ndarray, base: np.ndarray, sizes: np.ndarray) -> tuple[n
 def suffix_orders(symbols: np.ndarray, sizes: np.ndarray) -> np.ndarray:
     """The places of all suffixes in order, string by string.
 
-    symbols holds the strings one after another (sizes of each, above 0); each ends in a symbol 0, smaller than all its others."""
-    sizes = np.asarray(sizes, np.int64)
-    base, symbols = _starts(sizes), np.asarray(symbols, np.int64)
-    if not len(symbols):
-        return np.zeros(0, np.int64)
+    symbols holds the strings one after another (sizes of each, above 0; under 2^31 in all); each ends in a symbol 0, smaller than all
+    its others."""
+    sizes = np.asarray(sizes, np.int32)
+    base, symbols, n = _starts(sizes).astype(np.int32), np.asarray(symbols), len(symbols)
+    if not n:
+        return np.zeros(0, np.int32)
     group, pointer = _groups(symbols, base, sizes)
-    order, free, placed = np.full(len(symbols), -1), np.arange(len(symbols)), np.zeros(len(symbols), bool)
+    order, free, left = np.full(n, -1, np.int32), np.arange(n, dtype=np.int32), np.ones(n + 1, bool)
     order[base] = base + sizes - 1
-    placed[base + sizes - 1] = True
-    at, low, high = base.copy(), base, base + sizes
+    left[base + sizes - 1] = left[-1] = False  # so a chain ends where it leaves its string
+    at, high = base.copy(), base + sizes
     s = order[at] - 1
     while len(at):
-        go = (s >= low) & ~placed[s]
+        go = np.flatnonzero(left[s])
         put = s[go]
-        to = free[group[put]]
-        order[to], placed[put] = put, True
-        free[group[put]] += 1
+        home = group[put]
+        to = free[home]
+        order[to], left[put], free[home] = put, False, to + 1
         s[go] = pointer[put]
-        stop = np.flatnonzero(~((s >= low) & ~placed[s]))
+        stop = np.flatnonzero(~left[s])
         at[stop] += 1
-        more = at < high
-        if not more.all():
-            stop = stop[more[stop]]
+        over = at[stop] >= high[stop]
+        if over.any():
+            more = np.ones(len(at), bool)
+            more[stop[over]] = False
+            stop = stop[~over]
             s[stop] = order[at[stop]] - 1
-            at, low, high, s = at[more], low[more], high[more], s[more]
+            at, high, s = at[more], high[more], s[more]
         else:
             s[stop] = order[at[stop]] - 1
     return order
