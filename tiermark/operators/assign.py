@@ -6,6 +6,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from tiermark.sources.files import stored
+
 LEVELS = ["field", "subfield", "domain", "topic"]
 
 
@@ -86,12 +88,19 @@ def canonical_name(df: DataFrame, key: str, name: str) -> DataFrame:
     return df.join(best, key, "left").withColumn(name, F.coalesce("_name", name)).drop("_name")
 
 
-def build_authors(snapshot: DataFrame, version: str | None = None) -> DataFrame:
-    """Snapshot rows to one flat row an author: institution, modal field, subfield, domain and topic, canonical names.  Authors
+def flat_authors(snapshot: DataFrame, version: str | None = None) -> DataFrame:
+    """Snapshot rows to one flat row an author: institution, modal field, subfield, domain and topic, each label worked out once.  Authors
     without a field are left out; with `version` an id that occurs again counts once, in its latest form."""
     staged = staged_filter(latest_version(snapshot, "id", version) if version else snapshot)
-    flat = staged.select(F.col("id").alias("author_id"), "h_index", "works_count", _latest("education").alias("_i"), *[_modal(v).alias(f"_{v}") for v in LEVELS]).where("_i IS NOT NULL AND _field IS NOT NULL")
-    labels = [c for v in LEVELS for c in (F.col(f"_{v}.id").alias(v), F.col(f"_{v}.name").alias(f"{v}_name"))]
-    flat = flat.select("author_id", "h_index", "works_count", F.col("_i.id").alias("institution_id"), F.col("_i.name").alias("institution_name"), *labels)
-    columns = ["author_id", "h_index", "works_count", "institution_id", "institution_name", *[c for v in LEVELS for c in (v, f"{v}_name")]]
-    return canonical_name(flat, "institution_id", "institution_name").select(*columns)
+    # one array with one entry: a generator is not evaluated again where its columns are filtered
+    entry = F.array(F.struct(_latest("education").alias("i"), *[_modal(v).alias(v) for v in LEVELS]))
+    flat = staged.select(F.col("id").alias("author_id"), "h_index", "works_count", F.inline(entry)).where("i IS NOT NULL AND field IS NOT NULL")
+    labels = [c for v in LEVELS for c in (F.col(f"{v}.id").alias(v), F.col(f"{v}.name").alias(f"{v}_name"))]
+    return flat.select("author_id", "h_index", "works_count", F.col("i.id").alias("institution_id"), F.col("i.name").alias("institution_name"), *labels)
+
+
+def build_authors(snapshot: DataFrame, version: str | None = None) -> DataFrame:
+    """flat_authors with the most frequent name of each institution on all its rows.  The flat rows are written once, so the nested work
+    is not done again to count the names."""
+    flat = stored(flat_authors(snapshot, version))
+    return canonical_name(flat, "institution_id", "institution_name").select(*flat.columns)

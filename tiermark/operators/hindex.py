@@ -18,11 +18,35 @@ def h_index(df: DataFrame, keys: list[str], value: str, carry: list[str] | None
     carry = carry or []
     held = [F.max(c).alias(c) for c in carry]
     counts = df.groupBy(*keys, F.floor(F.col(value)).cast("bigint").alias("_v")).agg(F.count("*").alias("_c"), *held)
+    best = h_of_histogram(counts, keys, carry, h_as, count_as)
+    return best if keep_zero else best.where(F.col(h_as) > 0)
+
+
+def h_of_histogram(counts: DataFrame, keys: list[str], carry: list[str], h_as: str, count_as: str) -> DataFrame:
+    """keys, carry, h, member count from rows of keys, _v (value) and _c (members with it)."""
     above = Window.partitionBy(*keys).orderBy(F.col("_v").desc_nulls_last()).rowsBetween(Window.unboundedPreceding, 0)
     reach = F.least("_v", F.sum("_c").over(above))
+    held = [F.max(c).alias(c) for c in carry]
     best = counts.withColumn("_h", F.when(F.col("_v") >= 1, reach)).groupBy(*keys).agg(*held, F.coalesce(F.max("_h"), F.lit(0)).cast("bigint").alias(h_as), F.sum("_c").alias(count_as))
-    best = best.select(*keys, *carry, h_as, count_as)
-    return best if keep_zero else best.where(F.col(h_as) > 0)
+    return best.select(*keys, *carry, h_as, count_as)
+
+
+def h2_levels(authors: DataFrame) -> DataFrame:
+    """h2 by institution, by institution and field, and by institution and subfield in one pass over the authors: level, institution_id,
+    label (null overall), institution_name, label_name, h2, author_count.
+
+    Grouping sets over the values: every author row becomes three, which are counted before the shuffle; the h-indexes of all
+    levels come from one histogram.  Authors without a subfield are in no group of that level."""
+    value = F.floor("h_index").cast("bigint")
+    rows = authors.select("institution_id", "institution_name", "field", "field_name", "subfield", "subfield_name", value.alias("_v"))
+    sets = [["institution_id", "_v"], ["institution_id", "_v", "field"], ["institution_id", "_v", "subfield"]]
+    names = [F.max(c).alias(c) for c in ("institution_name", "field_name", "subfield_name")]
+    counts = rows.groupingSets(sets, "institution_id", "_v", "field", "subfield").agg(F.grouping("field").alias("_f"), F.grouping("subfield").alias("_s"), F.count("*").alias("_c"), *names)
+    level = F.when(F.col("_f") == 0, "field").when(F.col("_s") == 0, "subfield").otherwise("institution")
+    at = lambda a, b: F.when(F.col("_f") == 0, F.col(a)).when(F.col("_s") == 0, F.col(b))
+    each = counts.select(level.alias("level"), "institution_id", at("field", "subfield").alias("label"), "_v", "_c", "institution_name", at("field_name", "subfield_name").alias("label_name"))
+    each = each.where("level = 'institution' OR label IS NOT NULL OR level = 'field'")
+    return h_of_histogram(each, ["level", "institution_id", "label"], ["institution_name", "label_name"], "h2", "author_count").where("h2 > 0")
 
 
 def h2_by_institution(authors: DataFrame) -> DataFrame:

@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
-from pyspark import StorageLevel
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tiermark.operators import assign, hindex
+from tiermark.sources.files import work_folder
 from tiermark.sources.snapshots import country_map
 
 EXCLUDED = ["PROMO", "ECONOMY"]
@@ -56,21 +58,33 @@ def institutions(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "supplier").join(nations, "s_nationkey").select(F.col("s_suppkey").alias("id"), F.when(F.col("s_suppkey") % 20 != 0, F.col("n_name")).alias("country_code"))
 
 
-_KEPT: dict[tuple[str, str], DataFrame] = {}
+_KEPT: dict[tuple[str, str], str] = {}
+
+
+def flat_authors(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Author rows before institutions get their canonical names."""
+    return assign.flat_authors(snapshot(spark, sf_dir))
 
 
 def authors(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The flat author table, kept for the session: nearly every query begins with it."""
+    """The flat author table, bucketed by institution and written once a session: nearly every query begins with it, and what groups
+    by institution needs no exchange of it."""
     key = (spark.sparkContext.applicationId, sf_dir)
     if key not in _KEPT:
-        _KEPT[key] = assign.build_authors(snapshot(spark, sf_dir)).persist(StorageLevel.MEMORY_AND_DISK)
-    return _KEPT[key]
+        name = f"authors_{uuid.uuid4().hex}"
+        buckets = int(spark.conf.get("spark.sql.shuffle.partitions"))
+        rows = assign.build_authors(snapshot(spark, sf_dir)).repartition(buckets, "institution_id")
+        rows.write.bucketBy(buckets, "institution_id").option("path", work_folder(spark)).saveAsTable(name)
+        _KEPT[key] = name
+    return spark.table(_KEPT[key])
 
 
 def forget() -> None:
     """Let go of the author tables that `authors` keeps."""
-    for df in _KEPT.values():
-        df.unpersist()
+    spark = SparkSession.getActiveSession()
+    for (application, _), name in _KEPT.items():
+        if spark and spark.sparkContext.applicationId == application:
+            spark.sql(f"DROP TABLE IF EXISTS {name}")
     _KEPT.clear()
 
 

@@ -155,6 +155,11 @@ _Q = {
     "h3_by_country": "SELECT * FROM h3",
     "h3_by_country_field": "SELECT * FROM h3f",
     "h3_by_country_subfield": "SELECT * FROM h3s",
+    "h2_levels": """SELECT 'institution' AS level, institution_id, CAST(NULL AS VARCHAR) AS label, institution_name, CAST(NULL AS VARCHAR) AS label_name, h2, author_count FROM h2
+        UNION ALL SELECT 'field', institution_id, field, institution_name, field_name, h2, author_count FROM h2f
+        UNION ALL SELECT 'subfield', institution_id, subfield, institution_name, subfield_name, h2, author_count FROM h2s""",
+    "h2_by_institution_incremental": "SELECT * FROM h2",
+    "h2_by_institution_field_incremental": "SELECT * FROM h2f",
     "h2_excluding_fields": _h("authors", "institution_id, institution_name", "h_index", "h2", "author_count", f"field_name NOT IN ({_OUT})"),
     "h2_threshold": "SELECT institution_name, h2 FROM h2 WHERE institution_name = (SELECT lead_name FROM leader)",
     "staged_filter": """SELECT author_id AS id, h_index, works_count, n_affiliations, n_topics FROM h1

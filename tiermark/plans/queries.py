@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tiermark.functions.special import zeta_sql  # noqa: F401  (used by the SQL side)
-from tiermark.operators import assign, hindex, metrics, rank, tailfit, validate
+from tiermark.operators import assign, hindex, increment, metrics, rank, tailfit, validate
 from tiermark.plans import bindings
 from tiermark.plans.bindings import Index, table
 from tiermark.sources import snapshots
@@ -56,6 +56,34 @@ def h3_by_country_subfield(spark, sf):
     return Index(spark, sf).h3_subfield
 
 
+@query
+def h2_levels(spark, sf):
+    return hindex.h2_levels(Index(spark, sf).authors)
+
+
+def _store(spark, sf):
+    """Authors in three batches: all but every third, some of them in an older version with another index, institution and field; then
+    the rest; then the latest versions of the older ones."""
+    rows, store = bindings.flat_authors(spark, sf), increment.HistogramStore(spark, work_folder(spark))
+    late, old = F.col("author_id") % 3 == 0, F.col("author_id") % 4 == 1
+    other = {"h_index": F.col("h_index") + 2, "institution_id": F.col("institution_id") + 1, "institution_name": F.lower("institution_name"), "field": F.upper(F.reverse("field")), "field_name": F.upper(F.reverse("field"))}
+    store.add(rows.where(~late).withColumns({c: F.when(old, v).otherwise(F.col(c)) for c, v in other.items()}), 1)
+    store.add(rows.where(late), 2)
+    store.fold()
+    store.add(rows.where(~late & old), 3)
+    return store
+
+
+@query
+def h2_by_institution_incremental(spark, sf):
+    return _store(spark, sf).h2()
+
+
+@query
+def h2_by_institution_field_incremental(spark, sf):
+    return _store(spark, sf).h2("field")
+
+
 @query
 def h2_excluding_fields(spark, sf):
     return hindex.h_index_excluding(Index(spark, sf).authors, ["institution_id"], "h_index", "field_name", bindings.EXCLUDED, carry=["institution_name"], h_as="h2", count_as="author_count")
