@@ -2,10 +2,10 @@
 
 from __future__ import annotations
 
-from tiermark.functions.special import zeta_sql
+from tiermark.functions.special import zeta_slope_sql, zeta_sql
 from tiermark.plans.bindings import EXCLUDED
 
-BETA_1, BETA_2 = 2.963, 2.998
+BETA_1, BETA_2, WORKS_CAP = 2.963, 2.998, 15
 _OUT = ", ".join(f"'{x}'" for x in EXCLUDED)
 
 
@@ -76,13 +76,40 @@ _CTES = {
         UNION ALL SELECT 'Top', institution, '(overall)', author_id, h_index, 'leads its institution' FROM (
             SELECT institution, author_id, h_index, row_number() OVER (PARTITION BY institution ORDER BY h_index DESC, author_id) AS rn FROM cfg JOIN authors ON institution = institution_name) WHERE rn <= 3
         UNION ALL SELECT * FROM (SELECT 'Leaders of all', institution_name, '(overall)', author_id, h_index, 'leads all authors' FROM authors ORDER BY h_index DESC, author_id LIMIT 5)""",
-    "smp": """SELECT 'citations' AS label, citations AS value FROM papers UNION ALL SELECT 'authors', h_index FROM h1 UNION ALL SELECT 'institutions', h2 FROM h2 UNION ALL SELECT 'authors_size', works_count FROM h1 UNION ALL SELECT 'institutions_size', author_count FROM h2""",
+    "smp": """SELECT 'citations' AS label, citations AS value FROM papers UNION ALL SELECT 'authors', h_index FROM h1 UNION ALL SELECT 'institutions', h2 FROM h2 UNION ALL SELECT 'authors_size', works_count FROM h1 WHERE works_count <= 15 UNION ALL SELECT 'institutions_size', author_count FROM h2""",
     "hist": "SELECT label, value AS x, count(*) AS c FROM smp WHERE value > 0 GROUP BY ALL",
     "tails": "SELECT a.label, a.x, sum(b.c) AS n, sum(b.c * ln(b.x)) AS s, count(*) AS d FROM hist a JOIN hist b ON a.label = b.label AND b.x >= a.x GROUP BY ALL",
+    "best_fits": f"""SELECT label, alpha, xmin, CAST(n_tail AS BIGINT) AS n_tail, CAST(n_total AS BIGINT) AS n_total, d_ks, CASE WHEN v > 0 THEN r / (sqrt(n_tail) * sqrt(v)) ELSE 0 END AS r_exp FROM (
+        SELECT b.label, alpha, xmin, n_tail, n_total, d_ks, sum(c * d) AS r, sum(c * d * d) / n_tail - pow(sum(c * d) / n_tail, 2) AS v FROM (
+            SELECT f.*, x, c, -alpha * ln(x) - ln({zeta_sql('alpha', 'xmin')}) - (ln(1 - exp(-rate)) - rate * (x - xmin)) AS d FROM (
+                SELECT *, ln(1 + 1 / (sx / n_tail - xmin)) AS rate FROM (
+                    SELECT k.*, (SELECT sum(h.c * h.x) FROM hist h WHERE h.label = k.label AND h.x >= k.xmin) AS sx, (SELECT sum(h.c) FROM hist h WHERE h.label = k.label) AS n_total FROM (
+                        SELECT *, row_number() OVER (PARTITION BY label ORDER BY round(d_ks, 9), xmin) AS rn FROM (
+                            SELECT c.label, xmin, max(n_tail) AS n_tail, max(alpha) AS alpha, max(abs(t.n / n_tail - {zeta_sql('alpha', 't.x')} / {zeta_sql('alpha', 'xmin')})) AS d_ks
+                            FROM cand c JOIN tails t ON c.label = t.label AND t.x >= xmin GROUP BY c.label, xmin)) k WHERE rn = 1)) f JOIN hist h ON f.label = h.label AND h.x >= f.xmin) b
+        WHERE n_total >= 50 GROUP BY b.label, alpha, xmin, n_tail, n_total, d_ks)""",
+    "beta_fit": f"SELECT coalesce((SELECT round(alpha, 4) FROM best_fits WHERE label = 'authors'), {BETA_1}) AS beta",
     "cand": "SELECT label, x AS xmin, n AS n_tail, 1 + n / (s - n * ln(x - 0.5)) AS alpha FROM tails WHERE d > 1",
 }
 
 
+def _ordered(need: set[str]) -> list[tuple[str, str]]:
+    """The common tables in need, each behind those that it uses."""
+    import re
+
+    out: dict[str, str] = {}
+
+    def place(name: str) -> None:
+        for other in need - set(out) - {name}:
+            if re.search(rf"\b(FROM|JOIN)\s+{other}\b", _CTES[name]):
+                place(other)
+        out.setdefault(name, _CTES[name])
+
+    for name in sorted(need):
+        place(name)
+    return list(out.items())
+
+
 def _with(body: str) -> str:
     """body after the common tables that it uses, directly or not."""
     import re
@@ -94,7 +121,9 @@ def _with(body: str) -> str:
             if name not in need and re.search(rf"\b(FROM|JOIN)\s+{name}\b", text):
                 need.add(name)
                 todo.append(_CTES[name])
-    used = ",\n".join(f"{k} AS MATERIALIZED ({v})" for k, v in _CTES.items() if k in need)
+    used = ",\n".join(f"{k} AS MATERIALIZED ({v})" for k, v in _ordered(need))
+    if body.startswith("WITH RECURSIVE "):
+        return f"WITH RECURSIVE {used},\n{body.removeprefix('WITH RECURSIVE ')}"
     return f"WITH {used}\n{body}" if used else body
 
 
@@ -104,7 +133,7 @@ def _ranks(level: str, source: str, column: str, value: str, h: str, n: str, key
         SELECT *, rank() OVER ({part}ORDER BY {h} DESC) AS rk, count(*) OVER ({part}) AS total FROM {source}) WHERE {column} = (SELECT {value})"""
 
 
-def _eff(source: str, keys: str, h: str, n: str, beta: float, least: int, ties: str, scope: str, name: str) -> str:
+def _eff(source: str, keys: str, h: str, n: str, beta: float | str, least: int, ties: str, scope: str, name: str) -> str:
     inner = f"SELECT *, row_number() OVER (ORDER BY {h} DESC, {ties}) AS {name} FROM {source}" + (f" WHERE {n} >= {least}" if scope == "filtered" else "")
     return f"""SELECT {keys}, {h}, {n}, round({h} / pow({n}, 1 / {beta}), 4) AS efficiency, {name}, row_number() OVER (ORDER BY {h} / pow({n}, 1 / {beta}) DESC, {ties}) AS efficiency_rank
         FROM ({inner}) WHERE {n} >= {least}"""
@@ -209,15 +238,21 @@ _Q = {
     "country_ranks": " UNION ALL ".join([_ranks("overall", "h3", "country_code", "lead_code FROM lead_c", "h3", "institution_count", None), _ranks("field", "h3f", "country_code", "lead_code FROM lead_c", "h3", "institution_count", "field_name"), _ranks("subfield", "h3s", "country_code", "lead_code FROM lead_c", "h3", "institution_count", "subfield_name")]),
     "tail_fit": f"""SELECT c.label, xmin, max(CAST(n_tail AS BIGINT)) AS n_tail, round(max(alpha), 6) AS alpha, round(max(abs(t.n / n_tail - {zeta_sql('alpha', 't.x')} / {zeta_sql('alpha', 'xmin')})), 6) AS ks
         FROM cand c JOIN tails t ON c.label = t.label AND t.x >= xmin GROUP BY ALL""",
-    "tail_fit_best": f"""SELECT label, round(alpha, 6) AS alpha, xmin, CAST(n_tail AS BIGINT) AS n_tail, CAST(n_total AS BIGINT) AS n_total, round(d_ks, 6) AS d_ks, round(CASE WHEN v > 0 THEN r / (sqrt(n_tail) * sqrt(v)) ELSE 0 END, 4) AS r_exp FROM (
-        SELECT b.label, alpha, xmin, n_tail, n_total, d_ks, sum(c * d) AS r, sum(c * d * d) / n_tail - pow(sum(c * d) / n_tail, 2) AS v FROM (
-            SELECT f.*, x, c, -alpha * ln(x) - ln({zeta_sql('alpha', 'xmin')}) - (ln(1 - exp(-rate)) - rate * (x - xmin)) AS d FROM (
-                SELECT *, ln(1 + 1 / (sx / n_tail - xmin)) AS rate FROM (
-                    SELECT k.*, (SELECT sum(h.c * h.x) FROM hist h WHERE h.label = k.label AND h.x >= k.xmin) AS sx, (SELECT sum(h.c) FROM hist h WHERE h.label = k.label) AS n_total FROM (
-                        SELECT *, row_number() OVER (PARTITION BY label ORDER BY round(d_ks, 9), xmin) AS rn FROM (
-                            SELECT c.label, xmin, max(n_tail) AS n_tail, max(alpha) AS alpha, max(abs(t.n / n_tail - {zeta_sql('alpha', 't.x')} / {zeta_sql('alpha', 'xmin')})) AS d_ks
-                            FROM cand c JOIN tails t ON c.label = t.label AND t.x >= xmin GROUP BY c.label, xmin)) k WHERE rn = 1)) f JOIN hist h ON f.label = h.label AND h.x >= f.xmin) b
-        WHERE n_total >= 50 GROUP BY b.label, alpha, xmin, n_tail, n_total, d_ks)""",
+    "tail_fit_best": "SELECT label, round(alpha, 6) AS alpha, xmin, n_tail, n_total, round(d_ks, 6) AS d_ks, round(r_exp, 4) AS r_exp FROM best_fits",
+    # halving the interval in which the slope of the likelihood changes its sign; the error by a difference of slopes
+    "tail_fit_exact": f"""WITH RECURSIVE f AS (SELECT label, xmin, n_tail, s / n AS m FROM best_fits JOIN (SELECT label AS l, x, n, s FROM tails) ON l = label AND x = xmin),
+        it AS (SELECT *, CAST(1.0001 AS DOUBLE) AS a, CAST(60 AS DOUBLE) AS b, 0 AS k FROM f
+            UNION ALL SELECT label, xmin, n_tail, m, CASE WHEN g < 0 THEN mid ELSE a END, CASE WHEN g < 0 THEN b ELSE mid END, k + 1 FROM (
+                SELECT *, {zeta_slope_sql("mid", "xmin")} / {zeta_sql("mid", "xmin")} + m AS g FROM (SELECT *, (a + b) / 2 AS mid FROM it)) WHERE k < 50),
+        done AS (SELECT label, xmin, n_tail, a AS alpha, a - 1e-4 AS lo, a + 1e-4 AS hi FROM it WHERE k = 50)
+        SELECT label, xmin, n_tail, round(alpha, 6) AS alpha, round(1 / sqrt(n_tail * ({zeta_slope_sql("hi", "xmin")} / {zeta_sql("hi", "xmin")} - {zeta_slope_sql("lo", "xmin")} / {zeta_sql("lo", "xmin")}) / 2e-4), 6) AS alpha_se FROM done""",
+    "tail_fit_summary": f"""SELECT round(alpha_0, 4) AS alpha_0, round(alpha_1, 4) AS alpha_1, round(alpha_2, 4) AS alpha_2, round(beta_1, 4) AS beta_1, round(beta_2, 4) AS beta_2, verdicts,
+        round(beta_1 / alpha_1, 4) AS alpha_0_from_beta1, round(beta_2 / (alpha_1 * alpha_2), 4) AS alpha_0_from_beta2, round(beta_1 * alpha_2, 4) AS beta_2_predicted,
+        round(100 * (beta_2 - beta_1 * alpha_2) / (beta_1 * alpha_2), 4) AS beta_2_deviation, CAST({WORKS_CAP} AS BIGINT) AS works_cap, (SELECT count(*) FROM h1 WHERE works_count > {WORKS_CAP}) AS works_cap_excluded FROM (
+        SELECT max(alpha) FILTER (WHERE label = 'citations') AS alpha_0, max(alpha) FILTER (WHERE label = 'authors_size') AS alpha_1, max(alpha) FILTER (WHERE label = 'institutions_size') AS alpha_2,
+            max(alpha) FILTER (WHERE label = 'authors') AS beta_1, max(alpha) FILTER (WHERE label = 'institutions') AS beta_2,
+            coalesce(string_agg(label || ': ' || CASE WHEN abs(r_exp) <= 1.959963984540054 THEN 'neither' WHEN r_exp > 0 THEN 'power law' ELSE 'exponential' END || ' is favored', '; ' ORDER BY label || ': '), '') AS verdicts FROM best_fits)""",
+    "efficiency_by_fitted_exponent": "SELECT *, (SELECT beta FROM beta_fit) AS beta FROM (" + _eff("h2", "institution_id, institution_name", "h2", "author_count", "(SELECT beta FROM beta_fit)", 10, "institution_name, institution_id", "filtered", "h2_rank") + ")",
     "subsample": "SELECT work_id, citations FROM papers ORDER BY md5('42:' || work_id), work_id LIMIT 5000",
     "fit_origin_h2": f"SELECT round(sum(x * h2) / sum(x * x), 6) AS slope, round(1 - (sum(h2 * h2) - sum(x * h2) / sum(x * x) * sum(x * h2)) / sum(h2 * h2), 6) AS r2, count(*) AS n FROM (SELECT h2, pow(author_count, 1 / {BETA_1}) AS x FROM h2 WHERE author_count >= 10)",
     "fit_origin_h3": f"SELECT round(sum(x * h3) / sum(x * x), 6) AS slope, round(1 - (sum(h3 * h3) - sum(x * h3) / sum(x * x) * sum(x * h3)) / sum(h3 * h3), 6) AS r2, count(*) AS n FROM (SELECT h3, pow(institution_count, 1 / {BETA_2}) AS x FROM h3 WHERE institution_count >= 2)",

@@ -12,7 +12,7 @@ from tiermark.plans.bindings import Index, table
 from tiermark.sources import snapshots
 from tiermark.sources.files import work_folder
 
-BETA_1, BETA_2 = 2.963, 2.998
+BETA_1, BETA_2, WORKS_CAP = 2.963, 2.998, 15
 QUERIES: dict = {}
 
 
@@ -276,7 +276,8 @@ def country_ranks(spark, sf):
 def _samples(spark, sf):
     """label, value: what the tails are fitted to."""
     i = Index(spark, sf)
-    parts = [("citations", bindings.papers(spark, sf), "citations"), ("authors", bindings.h1_by_author(spark, sf), "h_index"), ("institutions", i.h2, "h2"), ("authors_size", bindings.h1_by_author(spark, sf), "works_count"), ("institutions_size", i.h2, "author_count")]
+    people = bindings.h1_by_author(spark, sf)
+    parts = [("citations", bindings.papers(spark, sf), "citations"), ("authors", people, "h_index"), ("institutions", i.h2, "h2"), ("authors_size", metrics.apply_cap(people, "works_count", WORKS_CAP)[0], "works_count"), ("institutions_size", i.h2, "author_count")]
     out = None
     for label, df, column in parts:
         one = df.select(F.lit(label).alias("label"), F.col(column).alias("value"))
@@ -297,9 +298,20 @@ def tail_fit_best(spark, sf):
     return fits.select("label", F.round("alpha", 6).alias("alpha"), "xmin", "n_tail", "n_total", F.round("d_ks", 6).alias("d_ks"), F.round("r_exp", 4).alias("r_exp"))
 
 
+@query
+def tail_fit_exact(spark, sf):
+    """The exact exponents at the best fits' xmin, with standard errors."""
+    samples = _samples(spark, sf)
+    found = tailfit.exact_exponents(samples, tailfit.fit_tail(samples, ["label"], "value"), ["label"], "value")
+    return found.select("label", "xmin", "n_tail", F.round("alpha", 6).alias("alpha"), F.round("alpha_se", 6).alias("alpha_se"))
+
+
 @query
 def tail_fit_summary(spark, sf):
-    return tailfit.fit_summary(tailfit.fit_tail(_samples(spark, sf), ["label"], "value"))
+    """alphas, betas and what follows from them, rounded; p_exp decides the verdicts."""
+    report = metrics.apply_cap(bindings.h1_by_author(spark, sf), "works_count", WORKS_CAP)[1]
+    done = tailfit.fit_summary(tailfit.fit_tail(_samples(spark, sf), ["label"], "value"), report, WORKS_CAP)
+    return done.select(*[F.round(c, 4).alias(c) if kind == "double" else F.col(c) for c, kind in done.dtypes])
 
 
 @query
@@ -462,4 +474,4 @@ def efficiency_by_fitted_exponent(spark, sf):
     snapshots.write_report(tail_fit_summary(spark, sf), path)
     beta = snapshots.read_report(spark, path, "beta_1 double")["beta_1"] or BETA_1
     done = metrics.efficiency(Index(spark, sf).h2, ["institution_id", "institution_name"], "h2", "author_count", beta, 10, "filtered", ["institution_name", "institution_id"], "h2_rank")
-    return done.withColumn("beta", F.round(F.lit(beta), 6))
+    return done.withColumn("beta", F.lit(beta))
