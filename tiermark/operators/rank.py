@@ -6,6 +6,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from tiermark.sources.files import stored
+
 
 def position(df: DataFrame, value: str, ties: list[str], alias: str, bucket: Column | None = None) -> DataFrame:
     """df with the global row number by value descending, then ties.
@@ -19,6 +21,21 @@ def position(df: DataFrame, value: str, ties: list[str], alias: str, bucket: Col
     return b.join(higher, b["_b"].eqNullSafe(higher["_b"])).drop(higher["_b"]).withColumn(alias, (F.col("_before") + F.row_number().over(inside)).cast("bigint")).drop("_b", "_before")
 
 
+def position_by_range(df: DataFrame, value: str, ties: list[str], alias: str, parts: int | None = None) -> DataFrame:
+    """The same, of rows in ranges of (value, ties): no task has more than its share however many rows have one value, as long as ties
+    tell them apart.
+
+    The rows are dealt out by ranges, sorted and stored with their places; the counts of the ranges, one row each, add up to
+    what stands before each.  Rows that agree in value and ties are numbered in any order."""
+    order = [F.col(value).desc_nulls_last(), *map(F.col, ties)]
+    parts = parts or int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    placed = stored(df.repartitionByRange(parts, *order).sortWithinPartitions(*order).withColumn("_m", F.monotonically_increasing_id()))
+    placed = placed.withColumn("_part", F.shiftright("_m", 33)).withColumn("_in", F.col("_m").bitwiseAND(F.lit((1 << 33) - 1)))
+    counts = placed.groupBy("_part").agg(F.count("*").alias("_c"))
+    before = counts.select("_part", (F.sum("_c").over(Window.orderBy("_part")) - F.col("_c")).alias("_before"))
+    return placed.join(F.broadcast(before), "_part").withColumn(alias, (F.col("_before") + F.col("_in") + 1).cast("bigint")).drop("_m", "_part", "_in", "_before")  # a row a range
+
+
 def rank_of(df: DataFrame, value: str, keys: list[str] | None = None, rank_as: str = "rank", total_as: str = "total") -> DataFrame:
     """df with RANK() by value descending and the number of rows, overall or within keys, from the histogram of values."""
     keys = keys or []

@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from tiermark.functions.special import erfc, zeta_and_slopes, zeta_sql
+from tiermark.functions.special import erfc, scaled_zeta_sql, zeta_and_slopes
 from tiermark.sources.files import stored
 
 
@@ -21,11 +21,11 @@ def tail_histogram(df: DataFrame, keys: list[str], value: str) -> DataFrame:
 
 
 def _candidates(hist: DataFrame, keys: list[str], xmin: int | None = None) -> DataFrame:
-    """keys, xmin, alpha (closed form), n_tail, sum_tail and z_min (zeta at xmin) of every distinct value with a greater one (or of xmin)."""
+    """keys, xmin, alpha (closed form), n_tail, sum_tail and z_min (zeta at xmin, in the unit xmin^-alpha) of every distinct value with a greater one (or of xmin)."""
     top = hist.groupBy(*keys).agg(F.max("x").alias("top"))
     pick = (F.col("x") == xmin) if xmin is not None else (F.col("x") < F.col("top"))
     cand = hist.join(top, keys).where(pick).select(*keys, F.col("x").alias("xmin"), F.col("n").alias("n_tail"), F.col("slog").alias("s"), F.col("sx").alias("sum_tail"))
-    return cand.withColumn("alpha", 1 + F.col("n_tail") / (F.col("s") - F.col("n_tail") * F.ln(F.col("xmin") - 0.5))).withColumn("z_min", F.expr(zeta_sql("alpha", "xmin"))).drop("s")
+    return cand.withColumn("alpha", 1 + F.col("n_tail") / (F.col("s") - F.col("n_tail") * F.ln(F.col("xmin") - 0.5))).withColumn("z_min", F.expr(scaled_zeta_sql("alpha", "xmin", "xmin"))).drop("s")
 
 
 def _greatest_gaps(cand: DataFrame, points: DataFrame, keys: list[str], few_points: bool, spread: int = 64) -> DataFrame:
@@ -35,7 +35,7 @@ def _greatest_gaps(cand: DataFrame, points: DataFrame, keys: list[str], few_poin
     share = lambda c: F.pmod(F.hash(c), F.lit(spread))
     points = points.select(*keys, "x", "n", (dealt if few_points else share("x")).alias("part"))
     pairs = cand.withColumn("part", share("xmin") if few_points else dealt).join(points, [*keys, "part"]).where("x >= xmin")
-    gap = F.abs(F.col("n") / F.col("n_tail") - F.expr(zeta_sql("alpha", "x")) / F.col("z_min"))
+    gap = F.abs(F.col("n") / F.col("n_tail") - F.expr(scaled_zeta_sql("alpha", "x", "xmin")) / F.col("z_min"))
     found = pairs.groupBy(*keys, "xmin").agg(*[F.max(c).alias(c) for c in ("alpha", "n_tail", "sum_tail", "z_min")], F.max(gap).alias("ks"), F.count("*").alias("pairs"))
     return found
 
@@ -94,7 +94,7 @@ def fit_tail(df: DataFrame, keys: list[str], value: str, xmin: int | None = None
     fit = best.join(total, keys)
     rate = F.ln(1 + 1 / (F.col("sum_tail") / F.col("n_tail") - F.col("xmin")))
     each = hist.select(*keys, "x", "c").join(fit, keys).where("x >= xmin")
-    power = -F.col("alpha") * F.ln(F.col("x").cast("double")) - F.ln(F.expr(zeta_sql("alpha", "xmin")))
+    power = -F.col("alpha") * F.ln(F.col("x").cast("double") / F.col("xmin")) - F.ln(F.expr(scaled_zeta_sql("alpha", "xmin", "xmin")))
     geometric = F.ln(1 - F.exp(-rate)) - rate * (F.col("x") - F.col("xmin"))
     each = each.withColumn("d", power - geometric)
     sums = each.groupBy(*keys).agg(F.sum(F.col("c") * F.col("d")).alias("r"), F.sum(F.col("c") * F.col("d") * F.col("d")).alias("rr"))
@@ -112,8 +112,8 @@ def exact_exponents(df: DataFrame, fits: DataFrame, keys: list[str], value: str,
     xmin; the standard error is by the curvature at the solution.  Null where the tail has one distinct value (no finite solution)."""
     at = fits.select(*keys, "xmin")
     tails = tail_histogram(df, keys, value).withColumnRenamed("x", "xmin").join(at, [*keys, "xmin"])
-    tails = tails.withColumn("q", F.col("xmin").cast("double")).withColumn("m", F.col("slog") / F.col("n"))
-    start = 1 + 1 / (F.col("m") - F.ln(F.col("q") - 0.5))
+    tails = tails.withColumn("q", F.col("xmin").cast("double")).withColumn("m", F.col("slog") / F.col("n") - F.ln("q"))  # of ln(x / xmin)
+    start = 1 + 1 / (F.col("m") - F.ln((F.col("q") - 0.5) / F.col("q")))
 
     def newton(a: Column, _: Column) -> Column:
         z = zeta_and_slopes(a, F.col("q"))
@@ -121,7 +121,7 @@ def exact_exponents(df: DataFrame, fits: DataFrame, keys: list[str], value: str,
         new = a - (slope + F.col("m")) / (z["z2"] / z["z"] - slope * slope)
         return F.when(new > 1, new).otherwise((a + 1) / 2)
 
-    solved = tails.where(F.col("m") > F.ln("q") + 1e-12).withColumn("alpha", F.aggregate(F.sequence(F.lit(1), F.lit(steps)), start, newton)).withColumn("z", zeta_and_slopes(F.col("alpha"), F.col("q")))
+    solved = tails.where(F.col("m") > 1e-12).withColumn("alpha", F.aggregate(F.sequence(F.lit(1), F.lit(steps)), start, newton)).withColumn("z", zeta_and_slopes(F.col("alpha"), F.col("q")))
     spread = F.col("z.z2") / F.col("z.z") - F.pow(F.col("z.z1") / F.col("z.z"), F.lit(2.0))
     found = solved.select(*keys, "xmin", "alpha", (1 / F.sqrt(F.col("n") * spread)).alias("alpha_se"))
     return tails.select(*keys, "xmin", F.col("n").alias("n_tail")).join(found, [*keys, "xmin"], "left")

@@ -265,6 +265,9 @@ _Q = {
     "validation_enriched": "SELECT bucket, institution, field, name, val.author_id, orcid, reason, affiliation_text, h_index_local, h_index_external FROM val LEFT JOIN prof USING (author_id)",
     "agreement": """SELECT source, count(*) AS n_covered, round(avg(d), 4) AS mean_difference, round(avg(abs(d)), 4) AS mean_abs_difference, arg_min(name, (-abs(d), name)) AS worst_case, CAST(max(abs(d)) AS DOUBLE) AS worst_abs_difference
         FROM (SELECT 'source ' || (author_id % 3) AS source, name, h_index_external - h_index AS d FROM h1 JOIN prof USING (author_id)) GROUP BY 1""",
+    "price_percentiles": """SELECT q, round(v, 4) AS value FROM (SELECT unnest([0.01, 0.25, 0.5, 0.75, 0.9, 0.99])::DOUBLE AS q,
+        unnest(quantile_cont(CAST(o_totalprice AS DOUBLE), [0.01, 0.25, 0.5, 0.75, 0.9, 0.99])) AS v FROM orders)""",
+    "author_positions": "SELECT author_id, h_index, row_number() OVER (ORDER BY h_index DESC, author_id) AS place FROM authors",
     "topk_per_field": "SELECT field_name, rk AS rank, institution_name, h2 FROM (SELECT *, row_number() OVER (PARTITION BY field ORDER BY h2 DESC, institution_name, institution_id) AS rk FROM h2f) WHERE rk <= 10",
     "topk_documents_per_lang": "SELECT doc_id, lang, n_chars, rk AS rank FROM (SELECT *, row_number() OVER (PARTITION BY lang ORDER BY n_chars DESC, doc_id) AS rk FROM documents) WHERE rk <= 10",
     "rankings_document": " UNION ALL ".join([_document("overall", "h2", "h3", None, ""), _document("field", "h2f", "h3f", "field_name", "WHERE rk <= 100"), _document("subfield", "h2s", "h3s", "subfield_name", "WHERE rk <= 100")]),
@@ -285,7 +288,7 @@ _Q = {
         UNION ALL SELECT * FROM (SELECT 'top', institution_name || ' / ' || field_name, CAST(CAST(h2 AS DOUBLE) AS VARCHAR) FROM h2f ORDER BY h2 DESC, institution_name, institution_id, field LIMIT 5)
         UNION ALL SELECT * FROM (SELECT 'top in subfield', institution_name || ' / ' || subfield_name, CAST(CAST(h2 AS DOUBLE) AS VARCHAR) FROM h2s ORDER BY h2 DESC, institution_name, institution_id, subfield LIMIT 5)
         UNION ALL SELECT 'spot check', institution_name || ' / ' || field_name, CAST(CAST(h2 AS DOUBLE) AS VARCHAR) FROM (
-            SELECT *, row_number() OVER (PARTITION BY institution_id ORDER BY h2 DESC, field) AS rn FROM h2f WHERE institution_name ILIKE '%#00000001%') WHERE rn <= 5""",
+            SELECT *, row_number() OVER (PARTITION BY institution_id ORDER BY h2 DESC, field) AS rn FROM h2f WHERE institution_name ILIKE '%#00000001%' OR institution_name ILIKE '%#00000003%') WHERE rn <= 5""",
 }
 _COLUMNS = {"modal_labels": "author_id, field, field_name, subfield, subfield_name, domain, domain_name, topic, topic_name"}
 

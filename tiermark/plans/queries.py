@@ -379,7 +379,19 @@ def agreement(spark, sf):
 
 @query
 def quality_report(spark, sf):
-    return validate.quality_report(Index(spark, sf).h2_field, Index(spark, sf).h2_subfield, "#00000001")
+    return validate.quality_report(Index(spark, sf).h2_field, Index(spark, sf).h2_subfield, ["#00000001", "#00000003"])
+
+
+@query
+def price_percentiles(spark, sf):
+    done = validate.exact_percentiles(table(spark, sf, "orders"), "o_totalprice", [0.01, 0.25, 0.5, 0.75, 0.9, 0.99], small=1000)
+    return done.select("q", F.round("value", 4).alias("value"))
+
+
+@query
+def author_positions(spark, sf):
+    """The global place of every author by h; most authors share a few values."""
+    return rank.position_by_range(Index(spark, sf).authors.select("author_id", "h_index"), "h_index", ["author_id"], "place")
 
 
 @query
