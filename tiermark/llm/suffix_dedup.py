@@ -296,9 +296,9 @@ def _marks(length: int, most: int = 4 << 20):
                 row["windows"] += windows
 
         todo, size = [], 0
-        for lane in sorted(lanes.values(), key=lambda strings: sum(map(len, strings))):
+        for lane in lanes.values():
             todo.append(lane)
-            size += sum(map(len, lane))
+            size += len(lane) * 2 * length
             if size >= most:
                 _settle(todo, length, mark)
                 todo, size = [], 0
@@ -337,20 +337,25 @@ def _settle(lanes: list[dict], length: int, mark) -> None:
     parts = []
     for of_lane, lane in zip(found, lanes):
         if len(lane) > 1:
-            listed = [(s, min(h[0] for h in holders), n, 0) for n, (s, holders) in enumerate(lane.items())]
+            listed = [(s, holders[0][0] if len(holders) == 1 else min(h[0] for h in holders), n, 0) for n, (s, holders) in enumerate(lane.items())]
             parts += [(of_lane, part) for part in _compared(listed, length, lambda n, place, of_lane=of_lane: of_lane[n].append([place]))]
     parts.sort(key=lambda p: sum(len(s[0]) for s in p[1]))
     hits = repeated_windows([[(s, key) for s, key, _, _ in part] for _, part in parts], length) if parts else []
     for (of_lane, part), at in zip(parts, hits):
         for (_, _, n, offset), windows in zip(part, at):
             if len(windows):
-                of_lane[n].append(windows + offset)
+                of_lane[n].append((windows + offset).tolist())
     for lane, of_lane in zip(lanes, found):
         for (string, holders), at in zip(lane.items(), of_lane):
+            if len(holders) == 1 and not at:
+                continue
             least, all_of_it = min(h[0] for h in holders), len(string) - length + 1
-            at = np.unique(np.concatenate(at)) if at else np.zeros(0, np.int64)
-            cut = np.flatnonzero(np.append(True, np.diff(at) != 1)) if len(at) else at
-            first, windows = at[cut].tolist(), np.diff(np.append(cut, len(at))).tolist() if len(at) else []
+            at = np.unique(np.concatenate(at)).tolist() if len(at) > 1 else list(at[0]) if at else at
+            if at and at[-1] - at[0] == len(at) - 1:
+                first, windows = [at[0]], [len(at)]
+            else:
+                cut = [k for k, x in enumerate(at) if not k or x != at[k - 1] + 1]
+                first, windows = [at[k] for k in cut], [b - a for a, b in zip(cut, [*cut[1:], len(at)])]
             for holder in holders:
                 if holder[0] > least:
                     mark(holder, [0], [all_of_it])

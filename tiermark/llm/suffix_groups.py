@@ -46,7 +46,7 @@ def _groups(symbols: np.ndarray, base: np.ndarray, sizes: np.ndarray) -> tuple[n
     size[begins] = np.diff(np.append(begins, n))
     group = np.full(n + 1, -1, np.int32)
     group[members] = np.repeat(begins, size[begins])
-    pointer, flag, end, low = np.full(n + 1, -1, np.int32), np.zeros(n, bool), base + sizes, base
+    pointer, flag, hits, end, low = np.full(n + 1, -1, np.int32), np.zeros(n, bool), np.zeros(n, np.int32), base + sizes, base
     while len(end):
         at = group[members[end - 1]]  # the last group that has not been taken yet, of every string
         count = end - at
@@ -64,36 +64,53 @@ def _groups(symbols: np.ndarray, base: np.ndarray, sizes: np.ndarray) -> tuple[n
             over = over[group[p[over]] == mine[over]]
         pointer[i] = p
         p = np.sort(p[p >= first])
-        if len(p):
-            own = np.flatnonzero(np.append(True, p[1:] != p[:-1]))
-            aims, times = p[own], np.diff(np.append(own, len(p)))
-            old = group[aims]
-            order = np.argsort(old.astype(np.int64) * n + times)
-            aims, times, old = aims[order], times[order], old[order]
-            change = np.flatnonzero(np.append(True, old[1:] != old[:-1]))
-            moved = np.diff(np.append(change, len(old)))
-            home = old[change]
-            slots = _ranges(home + size[home] - moved, moved)
-            was = place[aims]
-            flag[slots] = True
-            holes = np.sort(was[~flag[was]])
-            flag[slots] = False
-            if len(holes):
-                flag[was] = True
-                shifted = members[np.sort(slots[~flag[slots]])]
-                flag[was] = False
-                members[holes], place[shifted] = shifted, holes
-            members[slots], place[aims] = aims, slots
-            size[home] -= moved
-            fresh = np.flatnonzero(np.append(True, (old[1:] != old[:-1]) | (times[1:] != times[:-1])))
-            count = np.diff(np.append(fresh, len(old)))
-            size[slots[fresh]] = count
-            group[aims] = np.repeat(slots[fresh], count)
+        own = np.flatnonzero(np.append(True, p[1:] != p[:-1])) if len(p) else p
+        aims, times = p[own], np.diff(np.append(own, len(p)))
+        old = group[aims]
+        hits[old] = 0
+        np.add.at(hits, old, 1)
+        single = hits[old] == 1
+        if not single.all():
+            several = ~single
+            _part(aims[several], times[several], old[several], members, place, group, size, flag)
+            aims, old = aims[single], old[single]
+        # one suffix leaves its group: it changes places with the last of it
+        size[old] -= 1
+        slots, was = old + size[old], place[aims]
+        other = members[slots]
+        members[was], place[other] = other, was
+        members[slots], place[aims] = aims, slots
+        size[slots], group[aims] = 1, slots
         left = at > low
         end, low = at[left], low[left]
     return group, pointer
 
 
+def _part(aims, times, old, members, place, group, size, flag) -> None:
+    """Move the aims, pointed at so many times, out of their old groups to new ones right behind, by times."""
+    order = np.argsort(old.astype(np.int64) * len(members) + times)
+    aims, times, old = aims[order], times[order], old[order]
+    change = np.flatnonzero(np.append(True, old[1:] != old[:-1]))
+    moved = np.diff(np.append(change, len(old)))
+    home = old[change]
+    slots = _ranges(home + size[home] - moved, moved)
+    was = place[aims]
+    flag[slots] = True
+    holes = np.sort(was[~flag[was]])
+    flag[slots] = False
+    if len(holes):
+        flag[was] = True
+        shifted = members[np.sort(slots[~flag[slots]])]
+        flag[was] = False
+        members[holes], place[shifted] = shifted, holes
+    members[slots], place[aims] = aims, slots
+    size[home] -= moved
+    fresh = np.flatnonzero(np.append(True, (old[1:] != old[:-1]) | (times[1:] != times[:-1])))
+    count = np.diff(np.append(fresh, len(old)))
+    size[slots[fresh]] = count
+    group[aims] = np.repeat(slots[fresh], count)
+
+
 def suffix_orders(symbols: np.ndarray, sizes: np.ndarray) -> np.ndarray:
     """The places of all suffixes in order, string by string.
 
