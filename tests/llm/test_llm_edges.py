@@ -182,6 +182,18 @@ def test_side_by_side_agendas_equal_the_heap():
     assert len(long) > 1 << 20 and enc.encode_texts([long])[0][0].tolist() == enc.library.encode(long, add_eos=True)
 
 
+def test_five_million_new_characters_at_once():
+    """One text of more characters, in more segments, than a part of the agenda holds."""
+    import random
+
+    rng, enc = random.Random(6), pieces.PieceEncoder(tokenizer_path("piece_bpe_32k.model"))
+    text = " ".join("".join(rng.choices("abcdefghijklmnop", k=29)) for _ in range(172_000))
+    (got,), differ = enc.encode_texts([text])
+    assert len(text) > 5_000_000 and differ == 0 and got.tolist() == enc.library.encode(text, add_eos=True)
+    ids, n = enc.merge_all(enc.split(text))
+    assert np.array_equal(ids, got[:-1]) and len(n) == 172_000
+
+
 def test_a_difference_from_the_library_is_seen():
     """With one score made worse the agenda goes wrong; the library's ids are taken and the difference is counted."""
     enc = pieces.PieceEncoder(tokenizer_path("piece_bpe_32k.model"))
@@ -222,6 +234,21 @@ def test_top_k_of_any_finite_components(spark):
     assert {tuple(r) for r in got.select("query_id", "rank", "vec_id", "score").collect()} == want
 
 
+def test_top_k_beyond_longs(spark):
+    """Scores that no long holds are shown as the nearest, and ranked by what they are, on both sides."""
+    rng = np.random.default_rng(4)
+    rows = [(k, [float(rng.integers(1, 1000)) * 1e300 * (1 if k % 3 else -1)] + rng.normal(size=2).tolist()) for k in range(80)]
+    rows += [(100, [1.0]), (101, [-1.0]), (102, [2.0**57]), (120, [2.0**57, 0.0]), (121, [-(2.0**57)])]
+    df = spark.createDataFrame(rows, "vec_id bigint, embedding array<double>").repartition(3)
+    whole = {i: [math.floor(64 * x) for x in v] for i, v in rows}
+    want = set()
+    for i in (k for k in whole if k % 20 == 0):
+        scores = sorted((-sum(a * b for a, b in zip(whole[i], v)), j) for j, v in whole.items() if j != i)[:70]
+        want |= {(i, n + 1, j, min(max(-s, -(1 << 63)), (1 << 63) - 1)) for n, (s, j) in enumerate(scores)}
+    got = topk.exact_top_k(df, F.col("vec_id") % 20 == 0, k=70, n_pivots=2, block_rows=8, group_queries=2)
+    assert {tuple(r) for r in got.select("query_id", "rank", "vec_id", "score").collect()} == want
+
+
 def test_pivots_eliminate_and_stop_exactly():
     """Vectors near a plane: places from distances bound products from above, and few candidates are evaluated."""
     rng = np.random.default_rng(3)
@@ -398,18 +425,42 @@ def test_rare_toxic_words_and_their_misspellings_are_learnt():
     assert np.mean([model.word_logits([w])[0] > 0.3 * model.word_logits([bad[k // 2]])[0] for k, w in enumerate(misspelt)]) > 0.8
 
 
+def _near_targets(before, after):
+    """What a mix takes: no document over three times, every source near its target."""
+    size = {i: len((t or "").encode().split()) for i, (t, _) in before.items()}
+    total, taken, copies = Counter(), Counter(), Counter(after)
+    for i, (_, source) in before.items():
+        total[source] += size[i]
+        taken[source] += size[i] * copies[i]
+    want = mixing.targets(total)
+    assert max(copies.values()) <= 3 and set(copies) <= set(before)
+    for source in total:
+        smallest = min((n for i, n in size.items() if before[i][1] == source and n), default=0)
+        assert abs(taken[source] - want[source]) <= max(50, 0.02 * want[source], smallest)
+
+
 def test_pipeline_stages(spark, sf, tmp_path):
+    """Each stage against a plain version on its own input (toxicity: the scores of op1's operator, row by row)."""
+    import sentencepiece
+
     import corpus_pipeline
+    from tiermark.llm.queries import toxicity_model
 
     docs = spark.read.parquet(f"{sf}/documents.parquet")
     columns = docs.columns
     for name, stage in corpus_pipeline.STAGES:
         before = {r["doc_id"]: r["text"] for r in docs.select("doc_id", "text").collect()}
+        rows = {r["doc_id"]: (r["text"], r["source"]) for r in docs.collect()}
         out = stage(spark, docs, sf)
         out.write.parquet(str(tmp_path / name))
         out = spark.read.parquet(str(tmp_path / name))
         if name == "pieces":
-            assert out.count() == docs.count()
+            lib = sentencepiece.SentencePieceProcessor(model_file=tokenizer_path("piece_bpe_32k.model"))
+            sha = lambda s: hashlib.sha256(s.encode()).hexdigest()
+            ids = {i: lib.encode(t or "", add_eos=True) for i, t in before.items()}
+            got = out.select("doc_id", "n_tokens", "ids_sha256", "decoded_sha256").collect()
+            assert len(got) == docs.count()
+            assert {tuple(r) for r in got} == {(i, len(x), sha(" ".join(map(str, x))), sha(lib.decode(x))) for i, x in ids.items()}
             break
         assert out.columns == columns
         after = out.select("doc_id", "text").collect()
@@ -418,5 +469,32 @@ def test_pipeline_stages(spark, sf, tmp_path):
         elif name == "near-dedup":
             assert sorted(r["doc_id"] for r in after) == sorted(set(jaccard_groups(before).values()))
         else:
-            assert {r["doc_id"] for r in after} <= set(before) and all(before[r["doc_id"]] == r["text"] for r in after)
+            assert all(before[r["doc_id"]] == r["text"] for r in after)
+            if name == "toxicity":
+                scores = dict(docs.select("doc_id", toxicity.toxicity_score(docs, toxicity_model(spark, docs, sf))).collect())
+                assert sorted(r["doc_id"] for r in after) == sorted(i for i, s in scores.items() if s < 0.5)
+            else:
+                _near_targets(rows, [r["doc_id"] for r in after])
         docs = out
+
+
+def test_pipeline_stages_on_odd_rows(spark, sf, odd, none, tmp_path):
+    """Nulls, repeats, and columns with the names that stages use inside; and an empty table."""
+    import corpus_pipeline
+
+    for frame in (odd, none):
+        docs = frame.withColumns({c: F.lit("mine") for c in ("kept_text", "__n_lines", "__n_dropped", "score", "pattern", "copies")})
+        columns = docs.columns
+        for name, stage in corpus_pipeline.STAGES:
+            path = str(tmp_path / f"{name}-{frame is odd}")
+            stage(spark, docs, sf).write.parquet(path)
+            out = spark.read.parquet(path)
+            assert name == "pieces" or out.columns == columns
+            if name != "pieces":
+                assert out.where("kept_text <> 'mine' OR __n_lines <> 'mine' OR __n_dropped <> 'mine'").isEmpty()
+            if name == "line dedup":
+                want = Counter((i, k) for i, _, _, k in brute.line_dedup([tuple(r) for r in docs.select("doc_id", "text").collect()]))
+                assert Counter(tuple(r) for r in out.select("doc_id", "text").collect()) == want
+            assert frame is odd or out.isEmpty()
+            docs = out
+        assert frame is none or not docs.isEmpty()

@@ -93,15 +93,18 @@ def repeated_lines(docs: DataFrame, key: str = "doc_id", text: str = "text", lea
     hashed.write.partitionBy("batch").parquet(path)
     lines = spark.read.schema(hashed.schema).parquet(path)
     runs = LineRuns(spark, fan_out=fan_out)
-    for k in range(len(cuts) + 1):
-        runs.add(lines.where(F.col("batch") == k))
-    found = stored(runs.all().where(F.col("n") >= least_docs).select("h1", "h2", "owner"), "repeated")
-    runs.close()
+    try:
+        for k in range(len(cuts) + 1):
+            runs.add(lines.where(F.col("batch") == k))
+        found = stored(runs.all().where(F.col("n") >= least_docs).select("h1", "h2", "owner"), "repeated")
+    finally:
+        runs.close()
     return lines.join(found, ["h1", "h2"]).where(~F.col("id").eqNullSafe(F.col("owner"))).select("id", "th", "at")
 
 
-def dedup_lines(docs: DataFrame, key: str = "doc_id", text: str = "text", kept: str = "kept_text", **settings) -> DataFrame:
-    """docs with every column, and kept (the lines that stay, joined by \\n), __n_lines and __n_dropped (in place of columns so named).
+def dedup_lines(docs: DataFrame, key: str = "doc_id", text: str = "text", kept: str = "kept_text", counts: tuple[str, str] = ("__n_lines", "__n_dropped"), **settings) -> DataFrame:
+    """docs with every column, and kept (the lines that stay, joined by \\n) and counts (all lines, dropped ones), in place of columns
+    so named.
 
     A null or empty text is one empty line.  Each row counts as a document; rows that repeat an id with the same text get the
     same lines dropped; a row with a null id counts and never owns a key while another id holds it.
@@ -112,5 +115,5 @@ def dedup_lines(docs: DataFrame, key: str = "doc_id", text: str = "text", kept:
     joined = hashed.join(drop, F.col(key).eqNullSafe(F.col(i)) & (F.col(th) == F.col(t)), "left").withColumn(ls, _lines(text))
     stay = F.array_except(F.sequence(F.lit(0), F.size(ls) - 1), F.col(d))
     rest = F.array_join(F.transform(stay, lambda k: F.get(F.col(ls), k)), "\n")
-    new = {kept: F.when(F.col(d).isNull(), text_or_empty(text)).otherwise(rest), "__n_lines": F.size(ls).cast("bigint"), "__n_dropped": F.coalesce(F.size(d), F.lit(0)).cast("bigint")}
+    new = {kept: F.when(F.col(d).isNull(), text_or_empty(text)).otherwise(rest), counts[0]: F.size(ls).cast("bigint"), counts[1]: F.coalesce(F.size(d), F.lit(0)).cast("bigint")}
     return joined.select(*[F.col(f"`{c}`") for c in docs.columns if c not in new], *[v.alias(n) for n, v in new.items()])

@@ -104,7 +104,14 @@ class PieceEncoder:
         return out
 
     def merge_all(self, segments: list[str]) -> tuple[np.ndarray, np.ndarray]:
-        """Ids of many segments, one after the other, and how many each has.
+        """Ids of many segments, one after the other, and how many each has, some 2^21 characters at a time (so places fit in 22 bits)."""
+        size = np.cumsum(np.minimum(np.fromiter(map(len, segments), np.int64, len(segments)), _SHORT))
+        cut = [0, *(np.flatnonzero(np.diff(size >> 21)) + 1).tolist(), len(segments)]
+        ids, n = zip(*(self._merged(segments[a:b]) for a, b in zip(cut, cut[1:])))
+        return np.concatenate(ids), np.concatenate(n)
+
+    def _merged(self, segments: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """The same of under 2^22 characters of short segments.
 
         In every round each segment takes the best pair of its agenda (the leftmost of equals) until none is left.  Segments that
         are long, or have a character that is no piece, go by `merge`."""

@@ -25,7 +25,19 @@ from tiermark.llm.common import stored
 
 #: Of the longest vector: what rounding may do to a place or an altitude.
 _SHARE = 2e-6
-_FOUND = "query_id bigint, vec_id bigint, score bigint"
+_FOUND = "query_id bigint, vec_id bigint, score bigint, beyond string"
+_LEAST, _MOST = -(1 << 63), (1 << 63) - 1
+
+
+def _beyond(score: int) -> str:
+    """What orders scores that no long holds behind the nearest long: greater strings for greater scores, "" for the others (":" for
+    the least long, which is above all scores below it)."""
+    if score > _MOST:
+        return f"{len(str(score)):06d}{score}"
+    if score < _LEAST:
+        digits = str(-score)
+        return f"{999_999 - len(digits):06d}{''.join(str(9 - int(d)) for d in digits)}"
+    return ":" if score == _LEAST else ""
 
 
 def scaled(embedding: str = "embedding", scale: int = 64) -> Column:
@@ -160,8 +172,8 @@ def _searched(pairs: DataFrame, k: int, unit: float) -> DataFrame:
                 dx, dq = (np.frombuffer(b"".join(get(c)), dtype=np.float32).reshape(n, -1) for c, n in (("dxs", len(xs)), ("dqs", len(qs))))
                 q_ids, floors = np.array(get("q_ids"), dtype=np.int64), np.array(get("floors"), dtype=np.float64)
                 i, ids, scores, _ = search_block(_matrix(qs, dims), q_ids, dq, _matrix(xs, dims), np.array(get("x_ids"), dtype=np.int64), dx, k, floors, unit)
-                scores = [min(max(v, -(1 << 63)), (1 << 63) - 1) for v in scores]
-                yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in (q_ids[i], ids, scores)], names=["query_id", "vec_id", "score"])
+                near = [min(max(v, _LEAST), _MOST) for v in scores]
+                yield pa.RecordBatch.from_arrays([*(pa.array(c, pa.int64()) for c in (q_ids[i], ids, near)), pa.array(map(_beyond, scores), pa.string())], names=["query_id", "vec_id", "score", "beyond"])
 
     return pairs.mapInArrow(search, _FOUND)
 
@@ -173,7 +185,7 @@ def exact_top_k(vectors: DataFrame, queries: Column, k: int = 20, key: str = "ve
     Rows with a null id, and vectors null or with a null or non-finite component, take no part; a repeated id counts once
     (its smallest vector); shorter vectors are filled with zeros.  The pivots come from at most sample_rows rows (of the
     smallest hash); all rows are indexed.  Any finite component is welcome; a score that no long holds is shown as the nearest
-    long, after ranking within its block by its true value.
+    long, but ranked by its true value.
     """
     base = vectors.select(F.col(key).cast("bigint").alias("id"), queries.alias("is_query"), scaled(embedding, scale).alias("values")).where("id IS NOT NULL AND values IS NOT NULL")
     packed = stored(base.select("id", F.coalesce("is_query", F.lit(False)).alias("is_query"), _packed("values").alias("v")).groupBy("id").agg(F.max("is_query").alias("is_query"), F.min("v").alias("v")), "vectors")
@@ -223,8 +235,9 @@ def exact_top_k(vectors: DataFrame, queries: Column, k: int = 20, key: str = "ve
     salt = F.pmod(F.xxhash64("id", F.lit(7)), F.lit(-(-total // group_queries)))  # a group has about group_queries at most
     home = group(asked.select("id", "v", "d", "cell", F.col("home").alias("sub"), salt.alias("g")), F.lit(float("-inf")))
     near = _searched(blocks.join(home, ["cell", "sub"]), k, unit)
-    ranked = near.withColumn("n", F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id"))).where(F.col("n") == k)
-    floor = stored(ranked.select(F.col("query_id").alias("id"), F.col("score").cast("double").alias("f")), "floors")
+    ranked = near.withColumn("n", F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), F.desc("beyond"), "vec_id"))).where(F.col("n") == k)
+    known = F.when(F.col("score") > _LEAST, F.col("score").cast("double")).otherwise(F.lit(float("-inf")))
+    floor = stored(ranked.select(F.col("query_id").alias("id"), known.alias("f")), "floors")
 
     @F.arrow_udf("array<int>")
     def cells_left(d: pa.Array, f: pa.Array) -> pa.Array:
@@ -241,7 +254,7 @@ def exact_top_k(vectors: DataFrame, queries: Column, k: int = 20, key: str = "ve
     all_subs = F.create_map(*[F.lit(x) for c in names for x in (c, subs[c])])
     visits = visits.withColumn("sub", F.explode(F.sequence(F.lit(0), F.element_at(all_subs, F.col("cell")) - 1)))
     found = _searched(blocks.join(group(visits.withColumn("g", salt), F.col("f")), ["cell", "sub"]), k, unit)
-    best = found.withColumn("rank", F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id"))).where(F.col("rank") <= k)
+    best = found.withColumn("rank", F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), F.desc("beyond"), "vec_id"))).where(F.col("rank") <= k)
     return best.select("query_id", "rank", "vec_id", "score")
 
 
