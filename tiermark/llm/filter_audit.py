@@ -69,10 +69,11 @@ class _Shard:
         found, begin = np.unique(at[order], return_index=True)
         terms = pa.ListArray.from_arrays(pa.array(np.append(begin, len(order)), pa.int32()), pa.array([words[k] for k in order], pa.binary()).cast(pa.string()))
         lists = {c: pa.concat_arrays([b[k] for b in self.rows]) for k, c in enumerate(columns)} | {t: pa.array(self.traits[t], kind) for t, (kind, _) in traits.items()}
-        lists |= {"indptr": pa.array(self.ptr, pa.int32()), "indices": pa.array(place[np.frombuffer(self.indices, np.int32)]), "counts": pa.array(np.frombuffer(self.counts, np.int32))}
+        lists["indptr"] = pa.array(self.ptr, pa.int32())
         lists["vocabulary"] = pa.StructArray.from_arrays([pa.array(found), pa.array(begin, pa.int32()), terms], ["range", "first", "terms"])
         wrapped = {c: pa.ListArray.from_arrays(pa.array([0, len(v)], pa.int32()), v) for c, v in lists.items()}
-        return pa.RecordBatch.from_pydict({"shard": pa.array([shard], pa.int64())} | wrapped)
+        entries = {"indices": place[np.frombuffer(self.indices, np.int32)].tobytes(), "counts": self.counts.tobytes()}
+        return pa.RecordBatch.from_pydict({"shard": pa.array([shard], pa.int64())} | wrapped | {n: pa.array([b], pa.binary()) for n, b in entries.items()})
 
 
 def _local_shards(columns: list[str], traits: dict, shard_bytes: int, ranges: int):
@@ -112,12 +113,13 @@ def _encoded(names: list[str]):
     def encoded(_, shards, numbers):
         if not len(shards):
             return shards.select(names)
-        own = shards.column("indices").combine_chunks().flatten().to_numpy()
+        own, counts = (np.frombuffer(shards.column(c)[0].as_buffer(), np.int32) for c in ("indices", "counts"))
         to = np.zeros(sum(map(len, numbers.column("inside"))), np.int64)
         for first, inside, base in zip(numbers.column("first").to_pylist(), numbers.column("inside"), numbers.column("base").to_pylist()):
             to[first : first + len(inside)] = inside.values.to_numpy().astype(np.int64) + base
-        indices = pa.ListArray.from_arrays(pa.array([0, len(own)], pa.int32()), pa.array(to[own]))
-        return shards.set_column(shards.schema.get_field_index("indices"), "indices", indices).select(names)
+        for c, v in (("indices", to[own]), ("counts", counts)):
+            shards = shards.set_column(shards.schema.get_field_index(c), c, pa.ListArray.from_arrays(pa.array([0, len(v)], pa.int32()), pa.array(v)))
+        return shards.select(names)
 
     return encoded
 
@@ -136,7 +138,7 @@ def document_terms(docs: DataFrame, columns: list[str], text: str = "text", trai
     rows = docs.select(*columns, text_or_empty(text).alias("text"))
     kinds = [T.StructField(c, T.ArrayType(k)) for c, k in [*((c, rows.schema[c].dataType) for c in columns), *((t, from_arrow_type(k)) for t, (k, _) in traits.items())]]
     several = lambda n, t: T.StructField(n, T.ArrayType(t))
-    schema = T.StructType([T.StructField("shard", T.LongType()), *kinds, several("indptr", T.IntegerType()), several("indices", T.IntegerType()), several("counts", T.IntegerType()), several("vocabulary", T.StructType.fromDDL("range bigint, first int, terms array<string>"))])
+    schema = T.StructType([T.StructField("shard", T.LongType()), *kinds, several("indptr", T.IntegerType()), several("vocabulary", T.StructType.fromDDL("range bigint, first int, terms array<string>")), T.StructField("indices", T.BinaryType()), T.StructField("counts", T.BinaryType())])
     written = rows.mapInArrow(_local_shards(columns, traits, shard_bytes, ranges or 4 * partitions), schema).write.bucketBy(partitions, "shard")
     try:
         written.option("path", scratch_dir(spark, name)).option("compression", "zstd").saveAsTable(name)
@@ -145,7 +147,7 @@ def document_terms(docs: DataFrame, columns: list[str], text: str = "text", trai
         numbered = stored(words.groupBy("range").applyInArrow(_numbered, "range bigint, shard bigint, first int, inside array<int>, terms array<string>"), "numbered")
         counts = numbered.groupBy("range").agg(F.sum(F.size("terms")).alias("c"))
         base = F.broadcast(counts.select("range", (F.sum("c").over(Window.orderBy("range")) - F.col("c")).alias("base")))  # a row a range
-        kept = T.StructType([f if f.name != "indices" else T.StructField("indices", T.ArrayType(T.LongType())) for f in schema if f.name != "vocabulary"])
+        kept = T.StructType([*schema.fields[:-3], several("indices", T.LongType()), several("counts", T.IntegerType())])
         numbers = numbered.select("range", "shard", "first", "inside").join(base, "range")
         shards = stored(local.drop("vocabulary").groupBy("shard").cogroup(numbers.groupBy("shard")).applyInArrow(_encoded(kept.names), kept), "shards")
     finally:
