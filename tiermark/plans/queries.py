@@ -10,7 +10,7 @@ from tiermark.operators import assign, hindex, increment, metrics, rank, tailfit
 from tiermark.plans import bindings
 from tiermark.plans.bindings import Index, table
 from tiermark.sources import snapshots
-from tiermark.sources.files import work_folder
+from tiermark.sources.files import stored, work_folder
 
 BETA_1, BETA_2, WORKS_CAP = 2.963, 2.998, 15
 QUERIES: dict = {}
@@ -64,7 +64,7 @@ def h2_levels(spark, sf):
 def _store(spark, sf):
     """Authors in three batches: all but every third, some of them in an older version with another index, institution and field; then
     the rest; then the latest versions of the older ones."""
-    rows, store = bindings.flat_authors(spark, sf), increment.HistogramStore(spark, work_folder(spark))
+    rows, store = stored(bindings.flat_authors(spark, sf)), increment.HistogramStore(spark, work_folder(spark))
     late, old = F.col("author_id") % 3 == 0, F.col("author_id") % 4 == 1
     other = {"h_index": F.col("h_index") + 2, "institution_id": F.col("institution_id") + 1, "institution_name": F.lower("institution_name"), "field": F.upper(F.reverse("field")), "field_name": F.upper(F.reverse("field"))}
     store.add(rows.where(~late).withColumns({c: F.when(old, v).otherwise(F.col(c)) for c, v in other.items()}), 1)
