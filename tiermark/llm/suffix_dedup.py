@@ -277,15 +277,18 @@ def _marks(length: int, most: int = 4 << 20):
     def marks(_, table):
         lanes: dict = defaultdict(dict)
         rows: dict = defaultdict(lambda: {n: [] for n in _MARKS})
-        for r in table.to_batches():
-            for batch, text, hashes, docs, keys, lengths, counts, starts, *sure in zip(*(r.column(n).to_pylist() for n in ("batch", "text", *_STRINGS))):
-                row, at, place = rows[batch], 0, 0
-                text = pa.decompress(text, sum(lengths), codec="zstd", asbytes=True)
-                for name, values in zip(_MARKS, sure):
-                    row[name] += values
-                for h, d, key, size, n in zip(hashes, docs, keys, lengths, counts):
-                    lanes[h].setdefault(text[place : place + size], []).append((key, batch, d, starts[at : at + n]))
-                    at, place = at + n, place + size
+        flat = {n: table.column(n).combine_chunks() for n in _STRINGS}
+        ends = {n: (c.offsets.to_numpy() - c.offsets[0].as_py()).tolist() for n, c in flat.items()}
+        values = {n: c.flatten().to_numpy().tolist() for n, c in flat.items()}
+        for k, (batch, text) in enumerate(zip(table.column("batch").to_pylist(), table.column("text").to_pylist())):
+            hashes, docs, keys, lengths, counts, starts, *sure = (values[n][ends[n][k] : ends[n][k + 1]] for n in _STRINGS)
+            row, at, place = rows[batch], 0, 0
+            text = pa.decompress(text, sum(lengths), codec="zstd", asbytes=True)
+            for name, v in zip(_MARKS, sure):
+                row[name] += v
+            for h, d, key, size, n in zip(hashes, docs, keys, lengths, counts):
+                lanes[h].setdefault(text[place : place + size], []).append((key, batch, d, starts[at : at + n]))
+                at, place = at + n, place + size
 
         def mark(holder, first, windows):
             _, batch, d, starts = holder

@@ -46,7 +46,7 @@ def _groups(symbols: np.ndarray, base: np.ndarray, sizes: np.ndarray) -> tuple[n
     size[begins] = np.diff(np.append(begins, n))
     group = np.full(n + 1, -1, np.int32)
     group[members] = np.repeat(begins, size[begins])
-    pointer, flag, hits, end, low = np.full(n + 1, -1, np.int32), np.zeros(n, bool), np.zeros(n, np.int32), base + sizes, base
+    pointer, flag, last, end, low = np.full(n + 1, -1, np.int32), np.zeros(n, bool), np.zeros(n, np.int32), base + sizes, base
     while len(end):
         at = group[members[end - 1]]  # the last group that has not been taken yet, of every string
         count = end - at
@@ -67,11 +67,14 @@ def _groups(symbols: np.ndarray, base: np.ndarray, sizes: np.ndarray) -> tuple[n
         own = np.flatnonzero(np.append(True, p[1:] != p[:-1])) if len(p) else p
         aims, times = p[own], np.diff(np.append(own, len(p)))
         old = group[aims]
-        hits[old] = 0
-        np.add.at(hits, old, 1)
-        single = hits[old] == 1
-        if not single.all():
-            several = ~single
+        number = np.arange(len(old), dtype=np.int32)
+        last[old] = number
+        again = old[last[old] != number]
+        if len(again):  # groups that several leave
+            flag[again] = True
+            several = flag[old]
+            flag[again] = False
+            single = ~several
             _part(aims[several], times[several], old[several], members, place, group, size, flag)
             aims, old = aims[single], old[single]
         # one suffix leaves its group: it changes places with the last of it
