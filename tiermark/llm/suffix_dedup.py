@@ -10,7 +10,7 @@ Documents are stored once, in a table bucketed by batch; after that only hashes,
 
 from __future__ import annotations
 
-import functools
+import contextlib
 import gc
 import uuid
 from collections import defaultdict
@@ -123,20 +123,16 @@ def _by_range(hashes: np.ndarray, ranges: int):
         yield int(at[order[a]]), order[a:b]
 
 
-def _uncollected(f):
-    """f with Python's collector of cycles off: there are none, and it would walk the growing lists again and again."""
-
-    @functools.wraps(f)
-    def run(*a):
-        was = gc.isenabled()
-        gc.disable()
-        try:
-            return f(*a)
-        finally:
-            if was:
-                gc.enable()
-
-    return run
+@contextlib.contextmanager
+def _uncollected():
+    """With Python's collector of cycles off: there are none, and it would walk the growing lists again and again."""
+    was = gc.isenabled()
+    gc.disable()
+    try:
+        yield
+    finally:
+        if was:
+            gc.enable()
 
 
 def _seen(length: int, ranges: int):
@@ -245,7 +241,11 @@ def _strings(length: int, ranges: int, most: int):
         columns += [lists(cut(sure_range[sure_order]), np.array(v, np.int64)[sure_order], pa.int32()) for v in sure[1:]]
         return pa.table(columns, names=["range", "batch", "text", *_STRINGS])
 
-    return _uncollected(strings)
+    def run(key, table, shared):
+        with _uncollected():
+            return strings(key, table, shared)
+
+    return run
 
 
 def repeated_windows(lanes: list[list[tuple[bytes, int]]], length: int) -> list[list[np.ndarray]]:
@@ -325,7 +325,11 @@ def _marks(length: int, most: int = 4 << 20):
         _settle(todo, length, mark)
         return _lists({b: r for b, r in rows.items() if r["doc"]}, "batch", _MARKS)
 
-    return _uncollected(marks)
+    def run(key, table):
+        with _uncollected():
+            return marks(key, table)
+
+    return run
 
 
 def _compared(strings: list[tuple[bytes, int, int, int]], length: int, hit, seed: int = 1) -> list[list[tuple[bytes, int, int, int]]]:
