@@ -16,7 +16,8 @@ def work_folder(spark: SparkSession) -> str:
     in local mode alone: on a cluster executors would not see each other's files."""
     base = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
     if not base:
-        if not spark.sparkContext.master.startswith("local["):
+        master = spark.sparkContext.master
+        if master != "local" and not master.startswith("local["):
             raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
         base = tempfile.mkdtemp(prefix="spark-", dir="/tmp")
         atexit.register(shutil.rmtree, base, ignore_errors=True)
