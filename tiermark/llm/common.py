@@ -19,9 +19,13 @@ _BLANKS = " \t\n\x0b\x0c\r"
 
 
 def scratch_dir(spark: SparkSession, tag: str) -> str:
-    """A new folder name below spark.checkpoint.dir, which driver and executors share; a temporary folder only where that is unset."""
+    """A new folder name below spark.checkpoint.dir, which driver and executors share.  Where that is unset a temporary folder is taken,
+    in local mode alone: on a cluster executors would not see each other's files."""
     base = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
     if not base:
+        master = spark.sparkContext.master
+        if master != "local" and not master.startswith("local["):
+            raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
         base = tempfile.mkdtemp(prefix="spark-", dir="/tmp")
         atexit.register(shutil.rmtree, base, ignore_errors=True)
         spark.conf.set("spark.checkpoint.dir", base)
