@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+
 from tiermark.functions.special import zeta_slope_sql, zeta_sql
 from tiermark.plans.bindings import EXCLUDED
 
@@ -93,6 +95,12 @@ _CTES = {
 }
 
 
+# the same over the works of every author, without the cap
+_CTES["every_smp"] = _CTES["smp"].replace("FROM h1 WHERE works_count <= 15", "FROM h1")
+for _name in ("hist", "tails", "cand", "best_fits"):
+    _CTES[f"every_{_name}"] = re.sub(r"\b(FROM|JOIN) (smp|hist|tails|cand)\b", r"\1 every_\2", _CTES[_name])
+
+
 def _ordered(need: set[str]) -> list[tuple[str, str]]:
     """The common tables in need, each behind those that it uses."""
     import re
@@ -237,8 +245,8 @@ _Q = {
     "institution_ranks": " UNION ALL ".join([_ranks("overall", "h2", "institution_name", "lead_name FROM leader", "h2", "author_count", None), _ranks("field", "h2f", "institution_name", "lead_name FROM leader", "h2", "author_count", "field_name"), _ranks("subfield", "h2s", "institution_name", "lead_name FROM leader", "h2", "author_count", "subfield_name")]),
     "country_ranks": " UNION ALL ".join([_ranks("overall", "h3", "country_code", "lead_code FROM lead_c", "h3", "institution_count", None), _ranks("field", "h3f", "country_code", "lead_code FROM lead_c", "h3", "institution_count", "field_name"), _ranks("subfield", "h3s", "country_code", "lead_code FROM lead_c", "h3", "institution_count", "subfield_name")]),
     "tail_fit": f"""SELECT c.label, xmin, max(CAST(n_tail AS BIGINT)) AS n_tail, round(max(alpha), 6) AS alpha, round(max(abs(t.n / n_tail - {zeta_sql('alpha', 't.x')} / {zeta_sql('alpha', 'xmin')})), 6) AS ks
-        FROM cand c JOIN tails t ON c.label = t.label AND t.x >= xmin GROUP BY ALL""",
-    "tail_fit_best": "SELECT label, round(alpha, 6) AS alpha, xmin, n_tail, n_total, round(d_ks, 6) AS d_ks, round(r_exp, 4) AS r_exp FROM best_fits",
+        FROM every_cand c JOIN every_tails t ON c.label = t.label AND t.x >= xmin GROUP BY ALL""",
+    "tail_fit_best": "SELECT label, round(alpha, 6) AS alpha, xmin, n_tail, n_total, round(d_ks, 6) AS d_ks, round(r_exp, 4) AS r_exp FROM every_best_fits",
     # halving the interval in which the slope of the likelihood changes its sign; the error by a difference of slopes
     "tail_fit_exact": f"""WITH RECURSIVE f AS (SELECT label, xmin, n_tail, s / n AS m FROM best_fits JOIN (SELECT label AS l, x, n, s FROM tails) ON l = label AND x = xmin),
         it AS (SELECT *, CAST(1.0001 AS DOUBLE) AS a, CAST(60 AS DOUBLE) AS b, 0 AS k FROM f
