@@ -197,17 +197,25 @@ def fit_toxicity(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text:
     The sample is chosen among keys and labels alone; only its texts are then read out of docs (a join with 2 * max_rows keys,
     no text is shuffled for it).  Labels other than 0 and 1, and labels of no document, don't count; of labels of one key that
     disagree the toxic one does, of its texts the first; a null text is empty; no rows, or one class alone, give a constant score.
-    The driver holds the sampled texts, whole.
+    One task holds the sampled texts, whole, and trains; the driver gets the model.
     """
     known = labels.where(F.col(label).isin(0, 1) & F.col(key).isNotNull()).select(F.col(key).alias("k"), F.col(label).cast("int").alias("y")).groupBy("k").agg(F.max("y").alias("y"))
     rows = known.join(docs.select(F.col(key).alias("k")), "k", "left_semi").withColumn("h", F.xxhash64("k"))
     total = {r["y"]: r["n"] for r in rows.groupBy("y").agg(F.count("*").alias("n")).collect()}
     sample = rows.where("y = 0").orderBy("h", "k").limit(max_rows).unionByName(rows.where("y = 1").orderBy("h", "k").limit(max_rows))
     texts = docs.select(F.col(key).alias("k"), F.coalesce(F.col(text), F.lit("")).alias("t")).join(F.broadcast(sample), "k").groupBy("k", "y", "h").agg(F.min("t").alias("t"))
-    got = sorted(texts.collect(), key=lambda r: (r["h"], r["k"]))
-    n, sample, marks = [sum(r["y"] == y for r in got) for y in (0, 1)], [r["t"] for r in got], [r["y"] for r in got]
-    del got
-    return train(sample, marks, tuple(total.get(y, 0) / max(1, n[y]) for y in (0, 1)), **settings)
+
+    def fit(batches):
+        got = sorted((r for b in batches for r in b.to_pylist()), key=lambda r: (r["h"], r["k"]))
+        n, sample, marks = [sum(r["y"] == y for r in got) for y in (0, 1)], [r["t"] for r in got], [r["y"] for r in got]
+        del got
+        model = train(sample, marks, tuple(total.get(y, 0) / max(1, n[y]) for y in (0, 1)), **settings)
+        yield pa.RecordBatch.from_pydict({"weight": [model.weight.astype("<f4").tobytes()], "bias": [model.bias], "scale": [model.scale]})
+
+    fitted = texts.repartition(1).mapInArrow(fit, "weight binary, bias double, scale double").collect()  # one row of a fixed size
+    if not fitted:  # no task had rows
+        return train([], [], **settings)
+    return ToxicityModel(np.frombuffer(fitted[0]["weight"], dtype="<f4"), fitted[0]["bias"], fitted[0]["scale"])
 
 
 _CACHE: dict[str, float] = {}
