@@ -36,7 +36,8 @@ def drop_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def drop_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each group of near copies (five-word shingles, Jaccard similarity of 0.8 or more) the document of the smallest id stays.  Texts
+    """Of each group of near copies the document of the smallest id stays: SimHash fingerprints of five-word shingles within two bits,
+    verified by Jaccard similarity (0.8 or more), and an exact search for what is as similar but further apart in 64 bits.  Texts
     without words are one group; rows with a null id all stay; of rows that repeat an id and text one stays."""
     return simhash.drop_near_duplicates(docs, words=5, similarity=(4, 5))
 

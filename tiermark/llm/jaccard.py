@@ -1,4 +1,7 @@
-"""Near copies by the Jaccard similarity of word shingles, exactly: prefix filters, bitmap filters, leaders.
+"""Near copies by the Jaccard similarity of word shingles, exactly: SimHash first, then prefix filters, bitmap filters, leaders.
+
+Documents whose SimHash fingerprints are within a few bits of each other are verified by their whole sets and joined; what is
+similar enough but further apart in 64 bits, an exact search adds on top of these components.
 
 Two sets of similarity t or more share one of the first |S| - ceil(t |S|) + 1 shingles of each, in whatever order all sets
 have in common.  Here common shingles come last, the others by their hash; which are common is read from a first count and has
@@ -20,6 +23,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from tiermark.llm import simhash
 from tiermark.llm.common import joined_further, stored, text_or_empty
 
 _LONGS = 16  # of a bitmap
@@ -27,14 +31,7 @@ _LONGS = 16  # of a bitmap
 
 def shingles(text: str | None, words: int = 5) -> np.ndarray:
     """Sorted distinct hashes of the shingles, words as in simhash.  Fewer words than a shingle has: one of them all; none: empty."""
-    tokens = text.encode("utf-8", "surrogatepass").lower().split() if text else []
-    if not tokens:
-        return np.zeros(0, dtype=np.int64)
-    joined, n = b" ".join(tokens), max(1, len(tokens) - words + 1)
-    ends = np.cumsum(np.fromiter(map(len, tokens), dtype=np.int64, count=len(tokens)) + 1) - 1
-    starts = np.concatenate(([0], ends[:-1] + 1))
-    digest = xxhash.xxh64_intdigest
-    return np.unique(np.array([digest(joined[a:b], 42) for a, b in zip(starts[:n].tolist(), ends[-n:].tolist())], dtype=np.uint64).view(np.int64))
+    return np.unique(simhash.shingle_digests(text, words).view(np.int64))
 
 
 def node_of(s: np.ndarray) -> int:
@@ -65,14 +62,18 @@ def _keys(text: str, words: int, least: tuple[int, int]) -> Column:
 
 
 def _summary(text: str, words: int, least: tuple[int, int], common: np.ndarray) -> Column:
-    """node (hash of the set), size, rare (shingles that are not common), bits, keys (the prefix)."""
+    """node (hash of the set), fp (fingerprint), size, rare (shingles that are not common), bits, keys (the prefix)."""
 
-    @F.arrow_udf("struct<node: bigint, size: int, rare: int, bits: array<bigint>, keys: array<bigint>>")
+    @F.arrow_udf("struct<node: bigint, fp: bigint, size: int, rare: int, bits: array<bigint>, keys: array<bigint>>")
     def summary(texts: pa.Array) -> pa.Array:
-        found = [shingles(t.as_py(), words) for t in texts]
+        found, fps = [], []
+        for t in texts:
+            digests = simhash.shingle_digests(t.as_py(), words)
+            found.append(np.unique(digests.view(np.int64)))
+            fps.append(simhash.fingerprint_of(digests))
         longs, first = pa.list_(pa.int64()), [prefix(s, least, common) for s in found]
-        columns = [pa.array([node_of(s) for s in found], pa.int64()), pa.array([len(s) for s in found], pa.int32()), pa.array([n for _, n in first], pa.int32()), pa.array([bitmap(s) for s in found], longs), pa.array([k for k, _ in first], longs)]
-        return pa.StructArray.from_arrays(columns, names=["node", "size", "rare", "bits", "keys"])
+        columns = [pa.array([node_of(s) for s in found], pa.int64()), pa.array(fps, pa.int64()), pa.array([len(s) for s in found], pa.int32()), pa.array([n for _, n in first], pa.int32()), pa.array([bitmap(s) for s in found], longs), pa.array([k for k, _ in first], longs)]
+        return pa.StructArray.from_arrays(columns, names=["node", "fp", "size", "rare", "bits", "keys"])
 
     return summary(F.col(text))
 
@@ -86,12 +87,24 @@ def _sets(text: str, words: int) -> Column:
     return whole(F.col(text))
 
 
-def jaccard_components(docs: DataFrame, key: str = "doc_id", text: str = "text", words: int = 5, least: tuple[int, int] = (4, 5), common_docs: int = 50, most_common: int = 200_000, bucket_rows: int = 32, rounds: int = 2, broadcast_ids: int = 200_000) -> DataFrame:
+def fingerprint_pairs(rows: DataFrame, max_bits: int = 2, blocks: int = 5) -> DataFrame:
+    """Pairs (node_a, node_b) of nodes, of rows with node and fp, whose fingerprints are within max_bits: one pair for every link
+    between fingerprints, and each node with the least one of its fingerprint."""
+    each = rows.select("fp", "node").distinct()
+    least = stored(each.groupBy("fp").agg(F.min("node").alias("node")), "fingerprints")
+    same = each.join(least.withColumnRenamed("node", "node_a"), "fp").where("node <> node_a").select("node_a", F.col("node").alias("node_b"))
+    links = simhash.hamming_links(least.select("fp"), max_bits, blocks)
+    for s in ("a", "b"):
+        links = links.join(least.select(F.col("fp").alias(s), F.col("node").alias(f"node_{s}")), s)
+    return links.select("node_a", "node_b").where("node_a <> node_b").unionByName(same)
+
+
+def jaccard_components(docs: DataFrame, key: str = "doc_id", text: str = "text", words: int = 5, least: tuple[int, int] = (4, 5), common_docs: int = 50, most_common: int = 200_000, bucket_rows: int = 32, rounds: int = 2, broadcast_ids: int = 200_000, max_bits: int = 2, blocks: int = 5) -> DataFrame:
     """One row a row of docs with a key: id (the key), th (xxhash64 of the text), and of the component that pairs of similarity
     least[0] / least[1] or more form: component_id, the smallest key, and component_th, the smallest text hash under it.
 
     Null and empty texts, and others without words, are copies of each other.  common_docs, most_common, bucket_rows,
-    rounds and broadcast_ids change the cost, not the result.
+    rounds, broadcast_ids, max_bits and blocks change the cost, not the result.
     """
     p, q = least
     given = docs.where(F.col(key).isNotNull()).select(F.col(key).alias("id"), F.col(text).alias("body"))
@@ -141,13 +154,14 @@ def jaccard_components(docs: DataFrame, key: str = "doc_id", text: str = "text",
         """Entries with a class of about a size; the classes move by a part each turn."""
         return entries.withColumn("class", F.floor(F.ln(F.greatest("size", F.lit(1))) / float(np.log(q / p)) + turn / rounds).cast("int"))
 
-    # first every set with the centre of its class in each bucket
+    # after the fingerprints every set with the centre of its class in each bucket
     def led(entries: DataFrame) -> DataFrame:
         centre = in_class(entries, 0).groupBy("token", "class").agg(F.min(F.struct("rare", "node", "size", "pos")).alias("l"), F.count("*").alias("k")).where("k > 1")
         centre = stored(centre.select("token", "class", *[F.col(f"l.{c}").alias(f"{c}_b") for c in ("node", "size", "pos")]), "centres")
         return side(in_class(entries, 0), "a").withColumnRenamed("class_a", "class").join(centre, ["token", "class"]).where("node_a <> node_b").where(fits).where(placed_fits).select("node_a", "node_b")
 
-    roots = joined_further(None, verified(led(small).unionByName(led(dense)), True))
+    roots = joined_further(None, verified(fingerprint_pairs(rows, max_bits, blocks), True))
+    roots = joined_further(roots, verified(led(small).unionByName(led(dense)), True))
     # in large buckets, turn by turn, what is not in the main component of its class with the centres of that and of the others
     for turn in range(1, rounds + 1):
         placed = stored(in_class(rooted(dense, roots), turn), "placed")

@@ -24,21 +24,33 @@ _BITS = np.unpackbits(np.arange(256, dtype=np.uint8)[:, None], axis=1, bitorder=
 _LANES = np.arange(8, dtype=np.int64) * 256
 
 
-def simhash(text: str | None, words: int = 3) -> int:
-    """The fingerprint as a signed 64-bit integer.  Fewer words than a shingle has: one shingle of them all; none: zero."""
+def shingle_digests(text: str | None, words: int = 3) -> np.ndarray:
+    """XXH64 of every shingle, repeats included.  Fewer words than a shingle has: one shingle of them all; none: empty."""
     tokens = text.encode("utf-8", "surrogatepass").lower().split() if text else []
     if not tokens:
-        return 0
+        return np.zeros(0, dtype=np.uint64)
     joined, n = b" ".join(tokens), max(1, len(tokens) - words + 1)
     ends = np.cumsum(np.fromiter(map(len, tokens), dtype=np.int64, count=len(tokens)) + 1) - 1
     starts = np.concatenate(([0], ends[:-1] + 1))
     digest = xxhash.xxh64_intdigest
-    h = np.array([digest(joined[a:b], 42) for a, b in zip(starts[:n].tolist(), ends[-n:].tolist())], dtype=np.uint64)
-    by_byte = np.bincount((h.view(np.uint8).reshape(n, 8) + _LANES).ravel(), minlength=2048).reshape(8, 256)
+    return np.array([digest(joined[a:b], 42) for a, b in zip(starts[:n].tolist(), ends[-n:].tolist())], dtype=np.uint64)
+
+
+def fingerprint_of(digests: np.ndarray) -> int:
+    """A bit is 1 if set in over half of the digests; of none the fingerprint is zero.  As a signed 64-bit integer."""
+    n = len(digests)
+    if not n:
+        return 0
+    by_byte = np.bincount((digests.view(np.uint8).reshape(n, 8) + _LANES).ravel(), minlength=2048).reshape(8, 256)
     ones = (by_byte @ _BITS).ravel()
     return int(np.packbits(2 * ones > n, bitorder="little").view(np.int64)[0])
 
 
+def simhash(text: str | None, words: int = 3) -> int:
+    """The fingerprint of a text as a signed 64-bit integer."""
+    return fingerprint_of(shingle_digests(text, words))
+
+
 def simhash_column(text: str = "text", words: int = 3) -> Column:
     r"""Fingerprints of whole texts: A-Z lower-cased, words [^\x20\x09-\x0D]+, shingles of `words` words, XXH64 with seed 42."""
 
@@ -108,15 +120,16 @@ def simhash_components(docs: DataFrame, key: str = "doc_id", text: str = "text",
 def drop_near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", words: int = 3, similarity: tuple[int, int] | None = None, max_bits: int = 2, blocks: int = 5, bucket_rows: int = 32) -> DataFrame:
     """The rows of docs, all columns, of which each component keeps one: that of its smallest key.
 
-    With `similarity`, a fraction, documents are linked where their sets of shingles have that Jaccard similarity or more, in place
-    of fingerprints within max_bits: 64 bits can't tell 0.8 from 0.7 (see the README).  Rows with a null key all stay: no
+    With `similarity`, a fraction, documents are linked where their sets of shingles have that Jaccard similarity or more: fingerprints
+    within max_bits are verified by it, and what 64 bits can't tell (0.8 from 0.7, see the README) an exact search
+    adds.  Rows with a null key all stay: no
     decision can name them.  Rows of one key with different texts are documents of their own; of rows that repeat key and
     text one stays.
     """
     if similarity:
         from tiermark.llm.jaccard import jaccard_components
 
-        found = jaccard_components(docs, key, text, words, similarity)
+        found = jaccard_components(docs, key, text, words, similarity, max_bits=max_bits, blocks=blocks)
     else:
         found = _classes(docs.where(F.col(key).isNotNull()), key, text, words, max_bits, blocks, bucket_rows)
     kept = found.where((F.col("id") == F.col("component_id")) & (F.col("th") == F.col("component_th")))
