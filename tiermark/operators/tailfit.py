@@ -46,7 +46,7 @@ def tail_candidates(df: DataFrame, keys: list[str], value: str, xmin: int | None
     alpha is the closed form for discrete data, 1 + n / sum ln(x / (xmin - 1/2)); ks the greatest difference between the
     empirical and the model's survival function at the distinct values.  Every distinct value is a candidate and is compared
     with every value of its tail; `best_candidates` finds the best without that."""
-    hist = tail_histogram(df, keys, value)
+    hist = stored(tail_histogram(df, keys, value))
     return _greatest_gaps(_candidates(hist, keys, xmin), hist, keys, True, spread).drop("z_min", "pairs")
 
 
@@ -89,7 +89,7 @@ def fit_tail(df: DataFrame, keys: list[str], value: str, xmin: int | None = None
     """One row a key: alpha, xmin, n_tail, n_total, ks, and against a geometric tail the normalized log-likelihood ratio r_exp
     (positive: the power law fits better) with p_exp.  Keys of fewer than least_points positive values have no fit."""
     best = _least(tail_candidates(df, keys, value, xmin), keys) if xmin is not None else best_candidates(df, keys, value).drop("pairs", "all_pairs")
-    hist = tail_histogram(df, keys, value)
+    hist = stored(tail_histogram(df, keys, value))
     total = hist.groupBy(*keys).agg(F.sum("c").alias("n_total"), F.max("x").alias("max_x")).where(F.col("n_total") >= least_points)
     fit = best.join(total, keys)
     rate = F.ln(1 + 1 / (F.col("sum_tail") / F.col("n_tail") - F.col("xmin")))
