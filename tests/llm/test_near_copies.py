@@ -1,12 +1,14 @@
 """The near-dedup stage of the pipeline against all pairs by Jaccard similarity."""
 
 import random
+import time
+import uuid
 from collections import Counter
 
 import numpy as np
 import pytest
 
-from tiermark.llm import jaccard, simhash
+from tiermark.llm import common, jaccard, simhash
 
 
 def _shingles(text, k=5):
@@ -103,3 +105,25 @@ def test_null_and_repeated_keys(spark, similarity):
     got = Counter((r["doc_id"], " ".join((r["text"] or "").split())) for r in simhash.drop_near_duplicates(df, similarity=similarity).collect())
     assert got == Counter({(None, "a b c"): 2, (3, "a b c"): 1, (7, ""): 1, (3, "something else"): 1})
     assert simhash.drop_near_duplicates(df.limit(0), similarity=similarity).count() == 0
+
+
+def test_intermediate_tables_and_shuffles_go(spark, tmp_path, monkeypatch):
+    """What is left on disk are the narrow tables that the result is read from."""
+    manager = spark.sparkContext._jsc.sc().env().blockManager().diskBlockManager()
+    monkeypatch.setattr(common, "scratch_dir", lambda _, tag: f"file://{tmp_path}/{tag}-{uuid.uuid4().hex}")
+
+    def shuffles():
+        files = manager.getAllFiles()
+        return {n for n in (files.apply(k).getName() for k in range(files.size())) if n.startswith("shuffle_")}
+
+    setting = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+    before, there = spark.conf.get(setting, None), shuffles()
+    got = jaccard.jaccard_components(spark.createDataFrame(list(_family(40).items()), "doc_id bigint, text string").repartition(3))
+    assert Counter(p.name.rpartition("-")[0] for p in tmp_path.iterdir()) == {"names": 1, "classes": 1, "fingerprints": 1, "blocks": 1}
+    for _ in range(50):  # Spark deletes them in the background
+        if not (more := shuffles() - there):
+            break
+        time.sleep(0.2)
+    assert not more
+    assert spark.conf.get(setting, None) == before
+    assert {r["id"]: r["component_id"] for r in got.collect()} == _components(_family(40))

@@ -13,6 +13,9 @@ that and with one of the others.  Only pairs of different components are left af
 overlap by sizes, by the place of the shared shingle, and by bitmaps: sets that differ in d shingles have parity bitmaps that
 differ in at most d bits.  What passes all bounds is verified by whole sets.  Every step only leaves out pairs that can't be
 links or that are joined already, so no component is lost.  Shingles and sets are told apart by 64-bit hashes.
+
+Hashes of the shingles take about as much disk as the texts.  So every stored table is deleted as soon as no step is left that
+reads it, and the result is read from two narrow ones.
 """
 
 from __future__ import annotations
@@ -24,7 +27,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tiermark.llm import simhash
-from tiermark.llm.common import joined_further, stored, text_or_empty
+from tiermark.llm.common import brief_shuffles, forget, joined_further, stored, text_or_empty
 
 _LONGS = 16  # of a bitmap
 
@@ -106,19 +109,23 @@ def jaccard_components(docs: DataFrame, key: str = "doc_id", text: str = "text",
     Null and empty texts, and others without words, are copies of each other.  common_docs, most_common, bucket_rows,
     rounds, broadcast_ids, max_bits and blocks change the cost, not the result.
     """
-    p, q = least
+    p, q, spark = *least, docs.sparkSession
     given = docs.where(F.col(key).isNotNull()).select(F.col(key).alias("id"), F.col(text).alias("body"))
-    often = given.select(F.explode(_keys("body", words, least)).alias("token")).groupBy("token").agg(F.count("*").alias("n")).where(F.col("n") > common_docs)
-    often = often.orderBy(F.desc("n"), "token").limit(most_common).select("token").collect()  # most_common values at most
+    with brief_shuffles(spark):
+        often = given.select(F.explode(_keys("body", words, least)).alias("token")).groupBy("token").agg(F.count("*").alias("n")).where(F.col("n") > common_docs)
+        often = often.orderBy(F.desc("n"), "token").limit(most_common).select("token").collect()  # most_common values at most
     common = np.sort(np.array([r["token"] for r in often], dtype=np.int64))
     rows = stored(given.select("id", F.xxhash64(text_or_empty("body")).alias("th"), _summary("body", words, least, common).alias("s")).select("id", "th", "s.*"), "shingles")
+    named = stored(rows.select("id", "th", "node", "fp"), "names")
     nodes = stored(rows.groupBy("node").agg(F.min(F.struct("id", "th")).alias("least"), F.min("size").alias("size"), F.min("rare").alias("rare"), F.min("bits").alias("bits")), "nodes")
     reps = nodes.select(F.col("least.id").alias("id"), F.col("least.th").alias("th"))
     one = stored(rows.select("id", "th", "node", "keys").join(reps, ["id", "th"], "left_semi").select("node", "keys"), "keys")
+    forget(rows)
     lone = one.select("node", F.posexplode("keys").alias("pos", "token"))
     counts = stored(lone.groupBy("token").agg(F.count("*").alias("n")).where("n > 1"), "counts")  # rows that repeat id and text count too: no harm
     entries = lone.join(counts, "token").join(nodes.select("node", "size", "rare"), "node").distinct()
     entries = stored(entries.withColumn("dense", F.col("n") > bucket_rows).drop("n"), "prefixes")
+    forget(one, counts)
     small, dense = entries.where("NOT dense").drop("dense"), entries.where("dense").drop("dense")
     bits = nodes.select("node", "bits")
 
@@ -138,13 +145,20 @@ def jaccard_components(docs: DataFrame, key: str = "doc_id", text: str = "text",
         pairs = stored(pairs.select("a", "b"), "pairs")
         asked = pairs.select(F.col("a").alias("node")).union(pairs.select(F.col("b").alias("node"))).distinct()
         ids = stored(asked.join(nodes, "node").select(F.col("least.id").alias("id"), F.col("least.th").alias("th")), "asked")
-        if ids.count() <= broadcast_ids:  # else the texts are shuffled to them
-            ids = F.broadcast(ids)
-        texts = given.withColumn("th", F.xxhash64(text_or_empty("body"))).join(ids, ["id", "th"], "left_semi")
+        with brief_shuffles(spark):
+            few = ids.count() <= broadcast_ids  # else the texts are shuffled to them
+        texts = given.withColumn("th", F.xxhash64(text_or_empty("body"))).join(F.broadcast(ids) if few else ids, ["id", "th"], "left_semi")
         sets = stored(texts.select(_sets("body", words).alias("s")).select("s.*").dropDuplicates(["node"]), "whole-sets")
         both = pairs.join(sets.select(F.col("node").alias("a"), F.col("hashes").alias("x")), "a").join(sets.select(F.col("node").alias("b"), F.col("hashes").alias("y")), "b")
         same = F.size(F.array_intersect("x", "y"))
-        return stored(both.where(q * same >= p * (F.size("x") + F.size("y") - same)).select("a", "b"), "links")
+        links = stored(both.where(q * same >= p * (F.size("x") + F.size("y") - same)).select("a", "b"), "links")
+        forget(pairs, ids, sets)
+        return links
+
+    def further(roots: DataFrame | None, links: DataFrame) -> DataFrame:
+        more = joined_further(roots, links)
+        forget(links, *([roots] if roots is not None and more is not roots else []))
+        return more
 
     def rooted(entries: DataFrame, roots: DataFrame) -> DataFrame:
         """Entries with the root of their component."""
@@ -154,14 +168,18 @@ def jaccard_components(docs: DataFrame, key: str = "doc_id", text: str = "text",
         """Entries with a class of about a size; the classes move by a part each turn."""
         return entries.withColumn("class", F.floor(F.ln(F.greatest("size", F.lit(1))) / float(np.log(q / p)) + turn / rounds).cast("int"))
 
+    centres = []
+
     # after the fingerprints every set with the centre of its class in each bucket
     def led(entries: DataFrame) -> DataFrame:
         centre = in_class(entries, 0).groupBy("token", "class").agg(F.min(F.struct("rare", "node", "size", "pos")).alias("l"), F.count("*").alias("k")).where("k > 1")
         centre = stored(centre.select("token", "class", *[F.col(f"l.{c}").alias(f"{c}_b") for c in ("node", "size", "pos")]), "centres")
+        centres.append(centre)
         return side(in_class(entries, 0), "a").withColumnRenamed("class_a", "class").join(centre, ["token", "class"]).where("node_a <> node_b").where(fits).where(placed_fits).select("node_a", "node_b")
 
-    roots = joined_further(None, verified(fingerprint_pairs(rows, max_bits, blocks), True))
-    roots = joined_further(roots, verified(led(small).unionByName(led(dense)), True))
+    roots = further(None, verified(fingerprint_pairs(named, max_bits, blocks), True))
+    roots = further(roots, verified(led(small).unionByName(led(dense)), True))
+    forget(*centres)
     # in large buckets, turn by turn, what is not in the main component of its class with the centres of that and of the others
     for turn in range(1, rounds + 1):
         placed = stored(in_class(rooted(dense, roots), turn), "placed")
@@ -173,20 +191,26 @@ def jaccard_components(docs: DataFrame, key: str = "doc_id", text: str = "text",
         leaders = stored(both.select("token", "class", *[F.col(f"l.{c}").alias(f"{c}_b") for c in ("node", "size", "pos", "root")]), "leaders")
         rest = stored(placed.join(main.select("token", "class", "main"), ["token", "class"]).where("root <> main").drop("main"), "rest")
         pairs = side(rest, "a").withColumnRenamed("class_a", "class").join(leaders, ["token", "class"]).where("root_a <> root_b").where(fits).where(placed_fits)
-        roots = joined_further(roots, verified(pairs.select("node_a", "node_b"), True))
+        roots = further(roots, verified(pairs.select("node_a", "node_b"), True))
+        forget(placed, parts, main, leaders, rest)
     # then every pair of different components that is left: of large buckets, one of them not in the main component
     placed = stored(rooted(dense, roots).join(bits, "node"), "placed")
     main = stored(placed.groupBy("token", "root").agg(F.count("*").alias("k")).groupBy("token").agg(F.count("*").alias("parts"), F.max_by("root", F.struct("k", "root")).alias("main")).where("parts > 1").select("token", "main"), "main")
     open_ = stored(placed.join(main, "token").withColumn("in_main", F.col("root") == F.col("main")).drop("main"), "open")
     left = stored(open_.where("NOT in_main"), "left")
     pairs = side(left, "a").join(side(open_, "b"), "token").where("root_a <> root_b AND (in_main_b OR node_a < node_b)").where(fits).where(placed_fits).where(bits_fit)
-    roots = joined_further(roots, verified(pairs.select("node_a", "node_b"), False))
+    roots = further(roots, verified(pairs.select("node_a", "node_b"), False))
+    forget(placed, main, open_, left)
     placed = stored(rooted(small, roots), "placed")
+    forget(entries)
     several = placed.groupBy("token").agg(F.min("root").alias("low"), F.max("root").alias("high")).where("low <> high").select("token")
-    placed = stored(placed.join(several, "token", "left_semi"), "open")
-    pairs = side(placed, "a").join(side(placed, "b"), "token").where("node_a < node_b AND root_a <> root_b").where(fits).where(placed_fits)
-    roots = joined_further(roots, verified(pairs.select("node_a", "node_b"), True))
-    named = nodes.select("node", "least").join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
-    ids = named.groupBy("root").agg(F.min("least").alias("first"))
-    classes = stored(named.select("node", "root").join(ids, "root").select("node", F.col("first.id").alias("component_id"), F.col("first.th").alias("component_th")), "classes")
-    return rows.select("id", "th", "node").join(classes, "node").select("id", "th", "component_id", "component_th")
+    open_ = stored(placed.join(several, "token", "left_semi"), "open")
+    forget(placed)
+    pairs = side(open_, "a").join(side(open_, "b"), "token").where("node_a < node_b AND root_a <> root_b").where(fits).where(placed_fits)
+    roots = further(roots, verified(pairs.select("node_a", "node_b"), True))
+    forget(open_)
+    each = nodes.select("node", "least").join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
+    ids = each.groupBy("root").agg(F.min("least").alias("first"))
+    classes = stored(each.select("node", "root").join(ids, "root").select("node", F.col("first.id").alias("component_id"), F.col("first.th").alias("component_th")), "classes")
+    forget(nodes, roots)
+    return named.select("id", "th", "node").join(classes, "node").select("id", "th", "component_id", "component_th")

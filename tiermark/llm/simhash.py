@@ -18,7 +18,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from tiermark.llm.common import connected, keep_first, stored, temporary, text_or_empty
+from tiermark.llm.common import connected, forget, keep_first, stored, temporary, text_or_empty
 
 _BITS = np.unpackbits(np.arange(256, dtype=np.uint8)[:, None], axis=1, bitorder="little").astype(np.int64)
 _LANES = np.arange(8, dtype=np.int64) * 256
@@ -100,11 +100,13 @@ def _classes(docs: DataFrame, key: str, text: str, words: int, max_bits: int, bl
     first = F.min(F.struct(F.col("id").isNull().alias("none"), "id", "th"))
     nodes = stored(rows.groupBy("fp").agg(first.alias("least")), "nodes")
     links = hamming_links(nodes.select("fp"), max_bits, blocks, bucket_rows)
-    roots = stored(connected(links), "roots")
+    roots = connected(links)
     joined = nodes.join(roots.withColumnRenamed("node", "fp"), "fp", "left").withColumn("root", F.coalesce("root", "fp"))
     named = joined.groupBy("root").agg(F.min("least").alias("first"))
     lone = joined.select("fp", "root").join(named, "root").select("fp", F.col("first.id").alias("component_id"), F.col("first.th").alias("component_th"))
-    return rows.join(stored(lone, "classes"), "fp")  # both sides of the join are plain: a fingerprint may have a third of the rows
+    classes = stored(lone, "classes")
+    forget(nodes, roots)
+    return rows.join(classes, "fp")  # both sides of the join are plain: a fingerprint may have a third of the rows
 
 
 def simhash_components(docs: DataFrame, key: str = "doc_id", text: str = "text", words: int = 3, max_bits: int = 2, blocks: int = 5, bucket_rows: int = 32) -> DataFrame:
