@@ -143,6 +143,8 @@ def jaccard_components(docs: DataFrame, key: str = "doc_id", text: str = "text",
                 pairs = pairs.join(nodes.select(F.col("node").alias(s), F.col("bits").alias(f"bits_{s}"), F.col("size").alias(f"size_{s}")), s)
             pairs = pairs.where(bits_fit)
         pairs = stored(pairs.select("a", "b"), "pairs")
+        if pairs.isEmpty():
+            return pairs
         asked = pairs.select(F.col("a").alias("node")).union(pairs.select(F.col("b").alias("node"))).distinct()
         ids = stored(asked.join(nodes, "node").select(F.col("least.id").alias("id"), F.col("least.th").alias("th")), "asked")
         with brief_shuffles(spark):
@@ -186,6 +188,9 @@ def jaccard_components(docs: DataFrame, key: str = "doc_id", text: str = "text",
         centre = F.min(F.struct("rare", F.xxhash64("node", F.lit(turn)).alias("h"), "node", "size", "pos", "root"))
         parts = stored(placed.groupBy("token", "class", "root").agg(F.count("*").alias("k"), centre.alias("l")), "parts")
         main = stored(parts.groupBy("token", "class").agg(F.count("*").alias("parts"), F.max(F.struct("k", "root", "l")).alias("m")).where("parts > 1").select("token", "class", F.col("m.root").alias("main"), F.col("m.l").alias("l1")), "main")
+        if main.isEmpty():  # each class of each bucket is one component
+            forget(placed, parts, main)
+            continue
         other = parts.join(main, ["token", "class"]).where("root <> main").groupBy("token", "class").agg(F.min("l").alias("l2"))
         both = main.join(other, ["token", "class"]).select("token", "class", F.explode(F.array("l1", "l2")).alias("l"))
         leaders = stored(both.select("token", "class", *[F.col(f"l.{c}").alias(f"{c}_b") for c in ("node", "size", "pos", "root")]), "leaders")
@@ -196,11 +201,13 @@ def jaccard_components(docs: DataFrame, key: str = "doc_id", text: str = "text",
     # then every pair of different components that is left: of large buckets, one of them not in the main component
     placed = stored(rooted(dense, roots).join(bits, "node"), "placed")
     main = stored(placed.groupBy("token", "root").agg(F.count("*").alias("k")).groupBy("token").agg(F.count("*").alias("parts"), F.max_by("root", F.struct("k", "root")).alias("main")).where("parts > 1").select("token", "main"), "main")
-    open_ = stored(placed.join(main, "token").withColumn("in_main", F.col("root") == F.col("main")).drop("main"), "open")
-    left = stored(open_.where("NOT in_main"), "left")
-    pairs = side(left, "a").join(side(open_, "b"), "token").where("root_a <> root_b AND (in_main_b OR node_a < node_b)").where(fits).where(placed_fits).where(bits_fit)
-    roots = further(roots, verified(pairs.select("node_a", "node_b"), False))
-    forget(placed, main, open_, left)
+    if not main.isEmpty():
+        open_ = stored(placed.join(main, "token").withColumn("in_main", F.col("root") == F.col("main")).drop("main"), "open")
+        left = stored(open_.where("NOT in_main"), "left")
+        pairs = side(left, "a").join(side(open_, "b"), "token").where("root_a <> root_b AND (in_main_b OR node_a < node_b)").where(fits).where(placed_fits).where(bits_fit)
+        roots = further(roots, verified(pairs.select("node_a", "node_b"), False))
+        forget(open_, left)
+    forget(placed, main)
     placed = stored(rooted(small, roots), "placed")
     forget(entries)
     several = placed.groupBy("token").agg(F.min("root").alias("low"), F.max("root").alias("high")).where("low <> high").select("token")
